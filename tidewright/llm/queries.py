@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import table
 from tidewright.llm.decontaminate import contamination
 from tidewright.llm.fingerprint import edited_likeness
+from tidewright.llm.packing import packed_pieces
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.substring import remove_repeated
+from tidewright.llm.tokencount import token_counts
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +70,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packed_pieces(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=1024, end=0)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_fingerprint": op2_fingerprint,
         "op3_substring_dedup": op3_substring_dedup,
         "op6_simhash": op6_simhash,
+        "op7_token_counts": op7_token_counts,
+        "op8_packing": op8_packing,
     }
 
 
