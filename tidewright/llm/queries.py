@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import table
 from tidewright.llm.decontaminate import contamination
 from tidewright.llm.fingerprint import edited_likeness
+from tidewright.llm.linededup import drop_boilerplate
 from tidewright.llm.packing import packed_pieces
+from tidewright.llm.quality import held_out, quality_scores
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.substring import remove_repeated
 from tidewright.llm.tokencount import token_counts
@@ -65,6 +67,11 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), k=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -86,16 +93,35 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_boilerplate(table(spark, sf_dir, "documents"), host="source", ratio=0.1, min_pages=3)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+c AS (SELECT source, trim(line) AS line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
+t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+b AS (SELECT c.source, line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > total * CAST(0.1 AS DOUBLE)),
+m AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line),
+d AS (SELECT doc_id, count(*) AS n_lines, CASE WHEN count(*) FILTER (trim(line) <> '' AND NOT gone) = 0 THEN 0 ELSE count(*) FILTER (gone) END AS n_dropped,
+             string_agg(line, chr(10) ORDER BY p) AS whole, string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, sha256(CASE WHEN n_dropped = 0 THEN whole ELSE kept END) AS kept_sha256 FROM d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_fingerprint": op2_fingerprint,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_quality": op4_quality,
         "op6_simhash": op6_simhash,
         "op7_token_counts": op7_token_counts,
         "op8_packing": op8_packing,
+        "op9_line_dedup": op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_substring_dedup": OP3_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op9_line_dedup": OP9_SQL}
