@@ -12,7 +12,9 @@ from tidewright.llm.decontaminate import contamination
 from tidewright.llm.fingerprint import edited_likeness
 from tidewright.llm.linededup import drop_boilerplate
 from tidewright.llm.packing import packed_pieces
+from tidewright.llm.pii import pseudonymize
 from tidewright.llm.quality import held_out, quality_scores
+from tidewright.llm.shard import shard_rows
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.substring import remove_repeated
 from tidewright.llm.tokencount import token_counts
@@ -72,6 +74,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), k=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -110,16 +117,23 @@ SELECT doc_id, n_lines, n_dropped, sha256(CASE WHEN n_dropped = 0 THEN whole ELS
 """
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="change this key in production")
+    return found.select("doc_id", "n_pii", F.array_join(F.map_keys("kinds"), ",").alias("kinds"), "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_fingerprint": op2_fingerprint,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_quality": op4_quality,
+        "op5_sharding": op5_sharding,
         "op6_simhash": op6_simhash,
         "op7_token_counts": op7_token_counts,
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
+        "op10_pii": op10_pii,
     }
 
 
