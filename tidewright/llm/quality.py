@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, shingles, utf8, word_hashes
 
@@ -216,3 +217,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
             yield pa.record_batch([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     return stats.mapInArrow(run, "doc_id long, score double")
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, score: str = "score", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """docs with one more column, the score of each row's text; rows are not moved between tasks."""
+    model = fit(checkpointed(document_statistics(docs)), labels, fit_rows)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(at))
+            for i, j in cuts(offsets, CHUNK_BYTES):
+                scores = np.full(j - i, model) if isinstance(model, float) else model.score(statistics(data, offsets[i : j + 1]))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], schema=part.schema.append(pa.field(score, pa.float64())))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))

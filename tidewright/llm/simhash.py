@@ -1,19 +1,20 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Equal fingerprints are merged first. Two fingerprints that differ in at most `max_bits` of 64 bits
-agree on at least one of max_bits + 1 disjoint bit blocks, so each fingerprint is sent to one task
-group per block, keyed by the block's bits: the upper part of a binary trie over the bits rotated
-to put that block first, with no error spent yet. Groups that are too large go down the trie
+Equal fingerprints are merged first. The 64 bits are cut into blocks; two fingerprints that differ
+in at most blocks - exact bits agree on at least `exact` blocks, so each fingerprint is sent to one
+task group per choice of that many blocks, keyed by their bits: the upper part of a binary trie
+over the bits in that order, with no error spent yet. Groups that are too large go down the trie
 further: pairs of sub-tries whose paths differ in more than max_bits bits are pruned, each other
 pair is a group of its own. Within a group the rest of the trie is traversed by node pairs, level
 by level; a pair of nodes is dropped as soon as its differing bits exceed the budget. A group of n
-fingerprints gives a spanning forest of its links, fewer than n rows, never all pairs. Connected
-components are joined across groups by Spark.
+fingerprints gives a minimum spanning forest of its links, fewer than n rows, never all pairs.
+Connected components are joined across groups by Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import checkpointed
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, text_shingles, utf8, word_hashes
 
 BITS = 64
 #: Fingerprints in one trie group; larger groups are split by the next bits of the trie.
 GROUP_ROWS = 2048
 #: Node pairs of at most so many member pairs are compared at once.
 LEAF_PAIRS = 1024
+#: A table of large groups of at most so many rows is broadcast.
+MAX_BROADCAST = 100_000
 
 
 def simhash(text: bytes, k: int) -> int:
@@ -59,19 +62,37 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp long")
 
 
-def _blocks(max_bits: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of max_bits + 1 blocks, counted from the lowest bit."""
-    bounds = np.linspace(0, BITS, max_bits + 2).astype(int).tolist()
-    return [(a, z - a) for a, z in zip(bounds, bounds[1:])]
+def _tables(blocks: int, exact: int) -> list[tuple[int, int]]:
+    """For each choice of `exact` of the blocks: a mask of their bits, and the bit where the next block begins."""
+    bounds = np.linspace(0, BITS, blocks + 1).astype(int).tolist()
+    mask = lambda i: ((1 << bounds[i + 1]) - 1) ^ ((1 << bounds[i]) - 1)
+    return [(sum(mask(i) for i in chosen), bounds[chosen[-1] + 1] % BITS) for chosen in combinations(range(blocks), exact)]
 
 
-def trie_forest(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each row the smallest row that links reach: rows of a group that differ in 1 to max_bits bits.
+def spanning_links(n: int, links: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Indexes of the links of a minimum spanning forest of n rows, by Kruskal's algorithm."""
+    root, kept = np.arange(n), []
+    for d in np.unique(distance):
+        at = np.flatnonzero(distance == d)
+        while len(at):
+            a, b = root[links[at, 0]], root[links[at, 1]]
+            apart = a != b
+            at, lo, hi = at[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            once = np.unique(hi, return_index=True)[1]  # each root is hooked to a smaller one at most once a turn
+            root[hi[once]] = lo[once]
+            kept.append(at[once])
+            while (root[root] != root).any():
+                root = root[root]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int) -> np.ndarray:
+    """A minimum spanning forest of the links (i, j): rows of a group that differ in at most max_bits bits.
 
     Rows are sorted by (group, side, fp). In a group with both sides only links across are sought.
     Node pairs are ranges of rows; all groups are traversed together.
     """
-    root = np.arange(len(fps))
+    found, distance = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     edge = np.flatnonzero(np.diff(group) != 0) + 1
     lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(fps)]])
     ones = np.concatenate([[0], np.cumsum(side)])
@@ -84,23 +105,27 @@ def trie_forest(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits:
         small = ((ahi - alo) * (bhi - blo) <= LEAF_PAIRS) | (bit < 0)
         if small.any():
             for links in _leaf(fps, alo[small], ahi[small], blo[small], bhi[small], max_bits):
-                root = joined(root, links)
+                found = np.concatenate([found, links])
+                distance = np.bitwise_count(fps[found[:, 0]] ^ fps[found[:, 1]])
+                kept = spanning_links(len(fps), found, distance)
+                found, distance = found[kept], distance[kept]
         keep = ~small
         alo, ahi, blo, bhi, err = (x[keep] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             break
         amid, bmid = _split(fps, alo, ahi, bit), _split(fps, blo, bhi, bit)
         same = alo == blo
+        always = np.ones_like(same)
         parts = [
-            (alo, amid, blo, bmid, err, np.ones_like(same)),
-            (amid, ahi, bmid, bhi, err, np.ones_like(same)),
-            (alo, amid, bmid, bhi, err + 1, np.ones_like(same)),
+            (alo, amid, blo, bmid, err, always),
+            (amid, ahi, bmid, bhi, err, always),
+            (alo, amid, bmid, bhi, err + 1, always),
             (amid, ahi, blo, bmid, err + 1, ~same),
         ]
         alo, ahi, blo, bhi, err = (
-            np.concatenate([p[i][(p[5]) & (p[4] <= max_bits) & (p[1] > p[0]) & (p[3] > p[2])] for p in parts]) for i in range(5)
+            np.concatenate([p[i][p[5] & (p[4] <= max_bits) & (p[1] > p[0]) & (p[3] > p[2])] for p in parts]) for i in range(5)
         )
-    return root
+    return found
 
 
 def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -122,32 +147,26 @@ def _leaf(fps, alo, ahi, blo, bhi, max_bits) -> Iterator[np.ndarray]:
         yield np.stack([i[near], j[near]], 1)
 
 
-def joined(root: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """root after more links; a root is the smallest row of its tree."""
-    while len(links):
-        a, b = root[links[:, 0]], root[links[:, 1]]
-        apart = a != b
-        links, a, b = links[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
-def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect all at most max_bits apart."""
-    blocks = _blocks(max_bits)
-    value = lambda first, bits: F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
-    placed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), value(*b).alias("value")) for i, b in enumerate(blocks)])).alias("p")).select("fp", "p.*")
-    counts = placed.groupBy("block", "value").agg(F.count("*").alias("n"))
-    # depth: bits below the block by which a large group is split into sub-tries
-    counts = counts.withColumn("depth", F.least(F.greatest(F.ceil(F.log2(F.col("n") / GROUP_ROWS)), F.lit(0)), F.lit(12)).cast("int"))
-    placed = placed.join(counts.select("block", "value", "depth"), ["block", "value"])
-    after = F.array(*[F.lit((a + bits) % BITS) for a, bits in blocks])
-    first = F.get(after, F.col("block"))
-    rotated = F.expr("shiftrightunsigned(fp, first) | CASE WHEN first = 0 THEN 0L ELSE shiftleft(fp, 64 - first) END")
-    placed = placed.withColumn("first", first).withColumn("node", F.when(F.col("depth") > 0, rotated.bitwiseAND(F.expr("shiftleft(1L, depth) - 1"))).otherwise(F.lit(0)))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, depth) - 1")), lambda x: F.bit_count(x.bitwiseXOR(F.col("node"))) <= max_bits)
+def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that connect all at most max_bits apart.
+
+    Links of up to blocks - exact bits are all accounted for; of the longer ones, those that leave
+    `exact` blocks equal. Links of fewer bits are preferred.
+    """
+    tables = _tables(blocks, exact)
+    signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
+    choices = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("value")) for i, (mask, _) in enumerate(tables)])
+    placed = distinct.select("fp", F.explode(choices).alias("p")).select("fp", "p.*")
+    # depth: bits below the chosen blocks by which a large group is split into sub-tries
+    large = placed.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS)
+    large = checkpointed(large.select("block", "value", F.least(F.ceil(F.log2(F.col("n") / GROUP_ROWS)), F.lit(12)).cast("int").alias("depth")))
+    small_table = large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    placed = placed.join(F.broadcast(large) if small_table else large, ["block", "value"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    next_bit = F.get(F.array(*[F.lit(bit) for _, bit in tables]), F.col("block"))
+    below = F.expr("shiftrightunsigned(fp, next_bit) | CASE WHEN next_bit = 0 THEN 0L ELSE shiftleft(fp, 64 - next_bit) END")
+    nodes = F.expr("shiftleft(1L, depth) - 1")
+    placed = placed.withColumn("next_bit", next_bit).withColumn("node", below.bitwiseAND(nodes))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), nodes), lambda x: F.bit_count(x.bitwiseXOR(F.col("node"))) <= max_bits)
     pairs = placed.select("fp", "block", "value", "node", F.explode(others).alias("other")).select(
         "fp",
         F.xxhash64("block", "value", F.least("node", "other"), F.greatest("node", "other")).alias("grp"),
@@ -159,10 +178,8 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
 
         def solve(frame: pd.DataFrame) -> pa.RecordBatch:
             fps = frame["fp"].to_numpy().view(np.uint64)
-            group, side = frame["grp"].to_numpy(), frame["side"].to_numpy()
-            root = trie_forest(fps, group, side, max_bits)
-            linked = np.flatnonzero(root != np.arange(len(fps)))
-            return pa.record_batch([pa.array(fps[linked].view(np.int64)), pa.array(fps[root[linked]].view(np.int64))], ["a", "b"])
+            links = trie_links(fps, frame["grp"].to_numpy(), frame["side"].to_numpy(), max_bits)
+            return pa.record_batch([pa.array(fps[links[:, i]].view(np.int64)) for i in range(2)], ["a", "b"])
 
         for batch in batches:
             frame = batch.to_pandas()
@@ -174,7 +191,8 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest)
 
-    ordered = pairs.withColumn("order", F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))).repartition("grp").sortWithinPartitions("grp", "side", "order").select("fp", "grp", "side")
+    order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned
+    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "grp", "side")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -213,3 +231,52 @@ def near_duplicates(docs: DataFrame, k: int = 4, max_bits: int = 4) -> DataFrame
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     label = member.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """fp, shingles of docs(fp, text): hashes of the distinct k-word shingles of the lower-cased text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            for i, j in cuts(offsets, CHUNK_BYTES):
+                sets = [np.unique(h).view(np.int64) for h in text_shingles(*word_hashes(data, offsets[i : j + 1]), k)]
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), np.concatenate(sets))
+                yield pa.record_batch([batch.column(0).slice(i, j - i), lists], ["fp", "shingles"])
+
+    return docs.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 12, blocks: int = 12, exact: int = 2) -> DataFrame:
+    """The rows of docs that stay when one document of each group of near-duplicates is kept.
+
+    Candidates are the nearest fingerprints up to max_bits apart; two are linked if the Jaccard
+    index of their texts' k-word shingles is at least `similarity`, or if the fingerprints are equal.
+    Of each connected group the row with the smallest doc_id (null before all; ties by a hash of the
+    text) stays, of rows repeated with doc_id and text just one. All columns pass through.
+    """
+    row_hash = F.xxhash64("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [simhash((t.as_py() or "").encode(), k) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "row_hash", "fp"])
+
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash.alias("row_hash"), "text")
+    prints = checkpointed(keys.mapInArrow(run, "doc_id long, row_hash long, fp long"))
+    distinct = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    links = checkpointed(near_links(distinct.select("fp"), max_bits, blocks, exact).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
+    chosen = distinct.join(linked, "fp").select("fp", F.col("first.doc_id").alias("d"), F.col("first.row_hash").alias("h"))
+    texts = keys.join(chosen, keys.doc_id.eqNullSafe(F.col("d")) & (keys.row_hash == F.col("h"))).select("fp", "text").dropDuplicates(["fp"])
+    sets = checkpointed(shingle_sets(texts, k))
+    sides = links.join(sets.withColumnsRenamed({"fp": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"fp": "b", "shingles": "sb"}), "b")
+    shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    similar = sides.filter(shared >= similarity * (both - shared)).select("a", "b")
+    roots = components(similar)
+    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.row_hash").alias("_h"))
+    own = F.col("doc_id").cast("long")
+    marked = docs.withColumn("_row_hash", row_hash)
+    return marked.join(kept, own.eqNullSafe(F.col("_d")) & (F.col("_row_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "_row_hash"]).drop("_row_hash")
