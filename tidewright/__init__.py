@@ -1,0 +1 @@
+"""Schema-state and data-change analytics on PySpark."""
