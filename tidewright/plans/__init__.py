@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("rows",)
+FAMILIES = ("rows", "catalog")
 
 
 def queries() -> dict:
