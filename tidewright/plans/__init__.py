@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("rows", "catalog", "schema_health")
+FAMILIES = ("rows", "catalog", "schema_health", "governance")
 
 
 def queries() -> dict:
