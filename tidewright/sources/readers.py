@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Records of JSON files: an array of objects, or one object; what is not an object is dropped."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    corrupt = "_corrupt"
-    rows = spark.read.schema(T.StructType([*kind.fields, T.StructField(corrupt, T.StringType())])).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
-    return rows.filter(F.col(corrupt).isNull()).drop(corrupt)
+    files = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    is_kind = lambda c, name: F.schema_of_variant(c).like(f"{name}%")
+    records = files.select(F.explode(F.when(is_kind(F.col("v"), "ARRAY"), F.col("v").try_cast("array<variant>")).otherwise(F.array("v"))).alias("v"))
+    return records.filter(is_kind(F.col("v"), "OBJECT")).select(F.from_json(F.to_json("v"), kind).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
