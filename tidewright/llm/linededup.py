@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import checkpointed
+from tidewright.llm.common import checkpointed, unused
 
 #: Lists with at most so many hashes in all are broadcast; larger ones are joined by a shuffle.
 MAX_BROADCAST = 500_000
@@ -35,26 +35,31 @@ def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio:
     return frequent.groupBy("host").agg(F.collect_list("line").alias("hashes"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """pages with the boilerplate lines of their host taken out of `text`; more columns n_lines, n_dropped.
+def drop_boilerplate(
+    pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.1, min_pages: int = 3, counts: tuple[str, str] | None = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """pages with the boilerplate lines of their host taken out of `text`.
 
     Lines are compared without blanks around them; blank lines are never dropped. A page that would
     lose every line that is not blank keeps them all: whole copies are for document dedup. Null and
     empty texts stay as they are. Null hosts are one host. Rows that are repeated count as pages
-    each. Other columns pass through.
+    each. Other columns pass through. counts: names of two more columns, the lines of a page and
+    those dropped, which take the place of columns of these names; None for none.
     """
-    lists = checkpointed(boilerplate(pages, host, text, ratio, min_pages).withColumnsRenamed({"host": "_host", "hashes": "_hashes"}))
-    size = lists.agg(F.coalesce(F.sum(F.size("_hashes") + 1), F.lit(0))).first()[0]
-    joined = pages.join(F.broadcast(lists) if size <= MAX_BROADCAST else lists, F.col(host).eqNullSafe(F.col("_host")), "left")
-    hashes = F.coalesce("_hashes", F.expr("cast(array() as array<struct<h:bigint,h2:int>>)"))
-    full = F.size(F.filter("_all", lambda x: F.trim(x) != ""))
-    kept_full = F.size(F.filter("_kept", lambda x: F.trim(x) != ""))
-    dropped = F.when((kept_full == 0) & (full > 0), 0).otherwise(F.size("_all") - F.size("_kept"))
-    return (
-        joined.withColumn("_all", _lines(F.col(text)))
-        .withColumn("_kept", F.when(F.size(hashes) == 0, F.col("_all")).otherwise(F.filter("_all", lambda x: (F.trim(x) == "") | ~F.array_contains(hashes, _hash(x)))))
-        .withColumn("n_lines", F.size("_all").cast("long"))
-        .withColumn("n_dropped", dropped.cast("long"))
-        .withColumn(text, F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("_kept", "\n")))
-        .drop("_host", "_hashes", "_all", "_kept")
+    own_host, hashes_, all_, kept_, dropped_ = unused(pages, "_host", "_hashes", "_all", "_kept", "_dropped")
+    lists = checkpointed(boilerplate(pages, host, text, ratio, min_pages).withColumnsRenamed({"host": own_host, "hashes": hashes_}))
+    size = lists.agg(F.coalesce(F.sum(F.size(hashes_) + 1), F.lit(0))).first()[0]
+    joined = pages.join(F.broadcast(lists) if size <= MAX_BROADCAST else lists, F.col(host).eqNullSafe(F.col(own_host)), "left")
+    hashes = F.coalesce(hashes_, F.expr("cast(array() as array<struct<h:bigint,h2:int>>)"))
+    full = F.size(F.filter(all_, lambda x: F.trim(x) != ""))
+    kept_full = F.size(F.filter(kept_, lambda x: F.trim(x) != ""))
+    dropped = F.when((kept_full == 0) & (full > 0), 0).otherwise(F.size(all_) - F.size(kept_))
+    lines = (
+        joined.withColumn(all_, _lines(F.col(text)))
+        .withColumn(kept_, F.when(F.size(hashes) == 0, F.col(all_)).otherwise(F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(hashes, _hash(x)))))
+        .withColumn(dropped_, dropped.cast("long"))
+        .withColumn(text, F.when(F.col(dropped_) == 0, F.col(text)).otherwise(F.array_join(kept_, "\n")))
     )
+    if counts is not None:
+        lines = lines.withColumns({counts[0]: F.size(all_).cast("long"), counts[1]: F.col(dropped_)})
+    return lines.drop(own_host, hashes_, all_, kept_, dropped_)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, text_shingles, utf8, word_hashes
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, text_shingles, unused, utf8, word_hashes
 
 BITS = 64
 #: Fingerprints in one trie group; larger groups are split by the next bits of the trie.
@@ -276,7 +276,8 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
     similar = sides.filter(shared >= similarity * (both - shared)).select("a", "b")
     roots = components(similar)
     member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.row_hash").alias("_h"))
+    hash_, d, h = unused(docs, "_row_hash", "_d", "_h")
+    kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(d), F.col("first.row_hash").alias(h))
     own = F.col("doc_id").cast("long")
-    marked = docs.withColumn("_row_hash", row_hash)
-    return marked.join(kept, own.eqNullSafe(F.col("_d")) & (F.col("_row_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "_row_hash"]).drop("_row_hash")
+    marked = docs.withColumn(hash_, row_hash)
+    return marked.join(kept, own.eqNullSafe(F.col(d)) & (F.col(hash_) == F.col(h)), "left_semi").dropDuplicates(["doc_id", hash_]).drop(hash_)
