@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import CHUNK_BYTES, cuts, shingles, utf8, word_hashes
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, shingles, utf8, word_hashes
 
 _POSITION_BITS = 32
 
@@ -37,66 +37,69 @@ def _anchors(words: np.ndarray, first: np.ndarray, short: int, width: int) -> tu
 
 
 def _chunks(batch: pa.RecordBatch):
-    """Ranges of rows with their word hashes and first words."""
+    """Ranges of rows with their keys, their tags (text hashes in upper bits), word hashes and first words."""
     data, offsets = utf8(batch.column("text"))
+    keys = batch.column("key").to_numpy()
+    tags = batch.column("text_hash").to_numpy().astype(np.int64) << _POSITION_BITS
     for i, j in cuts(offsets, CHUNK_BYTES):
-        yield i, j, *word_hashes(data, offsets[i : j + 1])
+        yield i, j, keys[i:j], tags[i:j], *word_hashes(data, offsets[i : j + 1])
 
 
-def _tag(batch: pa.RecordBatch, i: int, j: int) -> np.ndarray:
-    """A hash of each text in the upper bits, so that rows with one doc_id but other texts stay apart."""
-    return batch.column("text_hash").to_numpy()[i:j].astype(np.int64) << _POSITION_BITS
+def _spots(h: np.ndarray, keys: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(h.view(np.int64)), pa.array(keys), pa.array(spots)], ["h", "key", "spot"])
 
 
 def _short_windows(short: int, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for i, j, words, first in _chunks(batch):
+            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for i, j, keys, tags, words, first in _chunks(batch):
                 _, doc, anchor = _anchors(words, first, short, width)
                 anchor, at = np.unique(anchor, return_index=True)
                 doc = doc[at]
-                spot = _tag(batch, i, j)[doc] | (anchor - first[doc])
-                h = shingles(words, short)[anchor]
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[i:j][doc]), pa.array(spot)], ["h", "doc_id", "spot"])
+                keep = named[i:j][doc]
+                anchor, doc = anchor[keep], doc[keep]
+                yield _spots(shingles(words, short)[anchor], keys[doc], tags[doc] | (anchor - first[doc]))
 
     return run
 
 
-def _full_windows(short: int, width: int) -> Callable:
-    """Full windows whose anchors are among the document's repeated short windows (column spots)."""
+def _full_windows(short: int, width: int, later_only: bool) -> Callable:
+    """Full windows whose anchors are among the listed short windows (column spots: 2 * position + later)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
             spots = batch.column("spots")
-            for i, j, words, first in _chunks(batch):
+            for i, j, keys, tags, words, first in _chunks(batch):
                 start, doc, anchor = _anchors(words, first, short, width)
-                known = np.zeros(len(words) + 1, bool)
                 part = spots.slice(i, j - i)
-                lengths = part.value_lengths().to_numpy(zero_copy_only=False)
-                known[part.flatten().to_numpy() + np.repeat(first[:-1], lengths)] = True
+                listed = part.flatten().to_numpy()
+                at = (listed >> 1) + np.repeat(first[:-1], part.value_lengths().to_numpy(zero_copy_only=False))
+                known = np.zeros(len(words) + 1, bool)
+                known[at[(listed & 1) == 1] if later_only else at] = True
                 keep = known[anchor]
                 start, doc = start[keep], doc[keep]
-                h = shingles(words, width)[start]
-                spot = _tag(batch, i, j)[doc] | (start - first[doc])
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[i:j][doc]), pa.array(spot)], ["h", "doc_id", "spot"])
+                yield _spots(shingles(words, width)[start], keys[doc], tags[doc] | (start - first[doc]))
 
     return run
 
 
-_SPOTS = "h long, doc_id long, spot long"
+_SPOTS = "h long, key long, spot long"
 
 
-def _repeated(spots: DataFrame, later_only: bool) -> DataFrame:
-    """doc_id, text_hash, spots: where windows start that start in other documents too (or in earlier ones)."""
-    seen = spots.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    back = spots.join(seen.select("h", "first"), "h")
-    if later_only:
-        back = back.filter("doc_id > first")
-    return back.groupBy("doc_id", F.shiftright("spot", _POSITION_BITS).cast("int").alias("text_hash")).agg(
-        F.collect_set(F.col("spot").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))).alias("spots")
-    )
+def _by_document(spots: DataFrame, name: str, later: bool) -> DataFrame:
+    """The positions of spots gathered per document in one list; with later, 2 * position + (key > first)."""
+    at = F.col("spot").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    text_hash = F.shiftright("spot", _POSITION_BITS).cast("int").alias("text_hash")
+    return spots.groupBy("key", text_hash).agg(F.collect_set(2 * at + (F.col("key") > F.col("first")).cast("long") if later else at).alias(name))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """key, text_hash of the documents whose whole text is that of a document with a smaller doc_id."""
+    texts = docs.filter("doc_id is not null").select("key", "text_hash", F.xxhash64("text").alias("h"))
+    first = texts.groupBy("h", "text_hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
+    later = texts.join(first, ["h", "text_hash"]).filter("key > first")
+    return later.select("key", "text_hash").distinct()
 
 
 def remove_repeated(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -108,29 +111,44 @@ def remove_repeated(docs: DataFrame, width: int = 13) -> DataFrame:
     document: none removes from another. A null doc_id is neither earlier nor later than any.
     Repeated rows come out as often; other columns are not read.
     """
-    short = max(1, (width - 1) // 2)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("text_hash"))
-    known = docs.filter("doc_id is not null")
-    candidates = _repeated(known.mapInArrow(_short_windows(short, width), _SPOTS), False)
-    windows = known.join(candidates, ["doc_id", "text_hash"]).mapInArrow(_full_windows(short, width), _SPOTS)
-    starts = _repeated(windows, True)
+    short = max(1, (width - 2) // 2)
+    # the texts are shuffled by (key, text_hash) once: no column of a join key can be null, so that Spark
+    # adds no filter to one of the joins and takes the same exchange for all of them
+    docs = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"),
+    )
+    on = ["key", "text_hash"]
+    # a whole copy is removed as a whole: it needs no windows, whatever the size of its group
+    copies = checkpointed(_copies(docs))
+    spots = docs.join(copies, on, "left_anti").mapInArrow(_short_windows(short, width), _SPOTS)
+    seen = spots.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("h", "first")
+    # an anchor's first document cannot lose the windows around it, but others can lose theirs to it
+    candidates = docs.join(_by_document(spots.join(seen, "h"), "spots", True), on).select("key", "doc_id", "text", "text_hash", "spots")
+    first = candidates.mapInArrow(_full_windows(short, width, False), _SPOTS).groupBy("h").agg(F.min("key").alias("first"))
+    later = candidates.mapInArrow(_full_windows(short, width, True), _SPOTS)
+    starts = _by_document(later.join(first, "h").filter("key > first"), "starts", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, kept = [], [], []
-            for text, spots in zip(batch.column("text"), batch.column("spots")):
+            for text, starts, copy in zip(batch.column("text"), batch.column("starts"), batch.column("copy").to_pylist()):
                 words = text.as_py().encode().split()
-                keep = np.ones(len(words), bool)
-                if spots.is_valid:
+                n.append(len(words))
+                if copy and len(words) >= width:
+                    words = []
+                elif starts.is_valid:
                     cover = np.zeros(len(words) + width + 1, np.int64)
-                    at = spots.values.to_numpy()
+                    at = starts.values.to_numpy()
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + width, -1)
                     keep = np.cumsum(cover)[: len(words)] == 0
                     words = [w for w, k in zip(words, keep) if k]
-                n.append(len(keep))
-                removed.append(int(len(keep) - keep.sum()))
+                removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(starts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spots").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    flagged = docs.join(starts, on, "left").join(copies.withColumn("copy", F.lit(True)), on, "left")
+    return flagged.select("doc_id", "text", "starts", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
