@@ -24,6 +24,11 @@ FEATURES = 256
 FIT_ROWS = 200_000
 FIT_PARTITIONS = 16
 RIDGE = 1e-3
+#: The kernel's width in standard deviations per root of the number of statistics, and how far statistics may stand out.
+WIDTH = 2.0
+CLIP = 3.0
+#: Least standard deviation taken for a statistic.
+LEAST_SCALE = 0.02
 SEED = 7
 BINS = 1000
 
@@ -74,7 +79,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     shares = counts / np.maximum(n, 1)[:, None]
     upper = counts[:, 1] / np.maximum(counts[:, 0] + counts[:, 1], 1)
     extra = [np.log1p(n), (n - counts[:, 3] - counts[:, 4]) / np.maximum(words, 1), upper, words / np.maximum(counts[:, 4] + 1, 1) / 100]
-    return np.column_stack([shares, *extra, _distinct_share(hashes, first, 1), _distinct_share(hashes, first, 3)])
+    return np.column_stack([np.sqrt(shares), *extra, _distinct_share(hashes, first, 1), _distinct_share(hashes, first, 3)])
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ class Model:
     y: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        z = np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
         return np.column_stack([np.sqrt(2 / len(self.b)) * np.cos(z @ self.w + self.b), np.ones(len(x))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -168,9 +173,9 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     moments = _partition_sums(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     k = (len(moments) - 1) // 2
     mean = moments[1 : k + 1] / moments[0]
-    scale = np.sqrt(np.maximum(moments[k + 1 :] / moments[0] - mean**2, 1e-12)) + 1e-6
+    scale = np.sqrt(np.maximum(moments[k + 1 :] / moments[0] - mean**2, 0)) + LEAST_SCALE
     rng = np.random.default_rng(SEED)
-    w, b = rng.normal(size=(k, features)) / np.sqrt(k), rng.uniform(0, 2 * np.pi, features)
+    w, b = rng.normal(size=(k, features)) / (WIDTH * np.sqrt(k)), rng.uniform(0, 2 * np.pi, features)
     empty = np.zeros(0)
     model = Model(mean, scale, w, b, empty, empty, empty)
 
