@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.tokencount import Encoder, parts, whole_tokens
+from tidewright.llm.tokencount import encoder, parts, whole_tokens
 
 CAPACITY = 1024
 #: Tails that are divided together, and the share of padding up to which the window count rises.
@@ -101,7 +101,7 @@ def packed_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     last = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, whole.value)
+        tokens = encoder(path, whole.value)
         sequence = TaskContext.get().partitionId() << 40
         tails: list[tuple] = []  # doc_id, start, ids, doc_tokens
         rows: list[tuple] = []
@@ -127,7 +127,7 @@ def packed_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for i, j in parts(texts):
-                for doc_id, ids in zip(doc_ids[i:j], encoder.ids(texts[i:j])):
+                for doc_id, ids in zip(doc_ids[i:j], tokens.ids(texts[i:j])):
                     ids += last
                     total = len(ids) // 4
                     full = total // capacity * capacity

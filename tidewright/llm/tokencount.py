@@ -11,6 +11,7 @@ and the library might differ, are encoded whole by the library.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,15 @@ from tidewright.llm.common import CHUNK_BYTES
 
 #: Fixed value: the pre-token pattern of this family of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct merged pre-tokens that a task keeps.
-MEMORY = 300_000
+#: Distinct merged pre-tokens that a worker keeps, from task to task.
+MEMORY = 500_000
 
 #: Characters whose classes are the same in every Unicode version since 3.0: printable ASCII with the usual
-#: white space, and Latin letters with their punctuation.
-_SETTLED = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xFFĀ-Ƞ‐-‧]*+")
+#: white space, and Latin letters with their punctuation. On these, the standard library's engine, with the
+#: letters and numbers among them listed, gives the same pre-tokens in half the time.
+_SETTLED = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xFFĀ-Ƞ‐-‧]*")
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-Ƞ", "0-9²³¹¼-¾"
+_SETTLED_PATTERN = re.compile(PATTERN.replace(r"^\s\p{L}\p{N}", rf"^\s{_LETTERS}{_NUMBERS}").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]"))
 
 
 def load(path: str):
@@ -60,7 +64,7 @@ class Encoder:
         self.tokenizer = load(path)
         self.whole = {k: v.to_bytes(4, "little") for k, v in whole.items()}
         self.known = dict(self.whole)
-        self.find = regex.compile(PATTERN).findall
+        self.find = _SETTLED_PATTERN.findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def settled(self, text: str) -> bool:
@@ -84,6 +88,16 @@ class Encoder:
         return [next(odd) if p is None else b"".join(map(known, p)) for p in pieces]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str, whole: dict[str, int]) -> Encoder:
+    """The worker's encoder for a file, with the pre-tokens that earlier tasks have merged."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path, whole)
+    return _encoders[path]
+
+
 def parts(texts: list[str], limit: int = CHUNK_BYTES):
     """Ranges of texts of about `limit` characters, or of a single text."""
     i, size = 0, 0
@@ -105,10 +119,10 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, whole.value)
+        own = encoder(path, whole.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [len(x) // 4 for i, j in parts(texts) for x in encoder.ids(texts[i:j])]
+            counts = [len(x) // 4 for i, j in parts(texts) for x in own.ids(texts[i:j])]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
