@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, text_shingles, unused, utf8, word_hashes
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, mix, text_shingles, unused, utf8, word_hashes
 
 BITS = 64
 #: Fingerprints in one trie group; larger groups are split by the next bits of the trie.
@@ -34,22 +34,32 @@ LEAF_PAIRS = 1024
 MAX_BROADCAST = 100_000
 
 
-def simhash(text: bytes, k: int) -> int:
-    """Majority bits of the XXH64 (seed 42) of the k-word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    """XXH64 (seed 42) of the k-word shingles, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split()  # for bytes: A-Z and ASCII space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(k, len(words))
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    h = np.fromiter((digest(joined[a:z], 42) for a, z in pairs), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:z], 42) for a, z in pairs), np.uint64, len(words) - k + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without hashes."""
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def simhash(text: bytes, k: int) -> int:
+    return majority(shingle_hashes(text, k))
+
+
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) of each row of docs(doc_id, text); null texts count as empty."""
 
@@ -86,9 +96,12 @@ def spanning_links(n: int, links: np.ndarray, distance: np.ndarray) -> np.ndarra
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int) -> np.ndarray:
+def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int, check: np.ndarray, max_total: int) -> np.ndarray:
     """A minimum spanning forest of the links (i, j): rows of a group that differ in at most max_bits bits.
 
+    check: more bits of each row, which the trie does not hold; with them a link has at most
+    max_total bits.
+
     Rows are sorted by (group, side, fp). In a group with both sides only links across are sought.
     Node pairs are ranges of rows; all groups are traversed together.
     """
@@ -104,9 +117,9 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: i
     for bit in range(BITS - 1, -2, -1):
         small = ((ahi - alo) * (bhi - blo) <= LEAF_PAIRS) | (bit < 0)
         if small.any():
-            for links in _leaf(fps, alo[small], ahi[small], blo[small], bhi[small], max_bits):
+            for links in _leaf(fps, check, alo[small], ahi[small], blo[small], bhi[small], max_bits, max_total):
                 found = np.concatenate([found, links])
-                distance = np.bitwise_count(fps[found[:, 0]] ^ fps[found[:, 1]])
+                distance = _bits(fps, *found.T) + _bits(check, *found.T)
                 kept = spanning_links(len(fps), found, distance)
                 found, distance = found[kept], distance[kept]
         keep = ~small
@@ -134,7 +147,11 @@ def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndar
     return hi - (ones[hi] - ones[lo])
 
 
-def _leaf(fps, alo, ahi, blo, bhi, max_bits) -> Iterator[np.ndarray]:
+def _bits(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(values[i] ^ values[j]).astype(np.int64)
+
+
+def _leaf(fps, check, alo, ahi, blo, bhi, max_bits, max_total) -> Iterator[np.ndarray]:
     """Links between the members of node pairs, some million comparisons at a time."""
     sizes = (ahi - alo) * (bhi - blo)
     for part in np.array_split(np.arange(len(alo)), int(sizes.sum()) // 1_000_000 + 1):
@@ -143,20 +160,27 @@ def _leaf(fps, alo, ahi, blo, bhi, max_bits) -> Iterator[np.ndarray]:
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = (bhi - blo)[at]
         i, j = alo[at] + k // width, blo[at] + k % width
-        near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= max_bits)
+        d = np.bitwise_count(fps[i] ^ fps[j])
+        near = np.flatnonzero((i < j) & (d <= max_bits))
+        i, j, d = i[near], j[near], d[near]
+        near = d + _bits(check, i, j) <= max_total
         yield np.stack([i[near], j[near]], 1)
 
 
-def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1) -> DataFrame:
+def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1, max_total: int = 2 * BITS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all at most max_bits apart.
 
+    With columns node and check, links are between nodes, and of at most max_total bits with check's.
     Links of up to blocks - exact bits are all accounted for; of the longer ones, those that leave
     `exact` blocks equal. Links of fewer bits are preferred.
     """
     tables = _tables(blocks, exact)
+    if "node" not in distinct.columns:
+        distinct = distinct.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("check"))
+    row = F.struct("fp", F.col("node").alias("id"), "check")
     signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
     choices = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("value")) for i, (mask, _) in enumerate(tables)])
-    placed = distinct.select("fp", F.explode(choices).alias("p")).select("fp", "p.*")
+    placed = distinct.select("fp", row.alias("row"), F.explode(choices).alias("p")).select("fp", "row", "p.*")
     # depth: bits below the chosen blocks by which a large group is split into sub-tries
     large = placed.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS)
     large = checkpointed(large.select("block", "value", F.least(F.ceil(F.log2(F.col("n") / GROUP_ROWS)), F.lit(12)).cast("int").alias("depth")))
@@ -167,8 +191,8 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
     nodes = F.expr("shiftleft(1L, depth) - 1")
     placed = placed.withColumn("next_bit", next_bit).withColumn("node", below.bitwiseAND(nodes))
     others = F.filter(F.sequence(F.lit(0).cast("long"), nodes), lambda x: F.bit_count(x.bitwiseXOR(F.col("node"))) <= max_bits)
-    pairs = placed.select("fp", "block", "value", "node", F.explode(others).alias("other")).select(
-        "fp",
+    pairs = placed.select("row", "block", "value", "node", F.explode(others).alias("other")).select(
+        "row.*",
         F.xxhash64("block", "value", F.least("node", "other"), F.greatest("node", "other")).alias("grp"),
         (F.col("node") > F.col("other")).cast("int").alias("side"),
     )
@@ -178,8 +202,9 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
 
         def solve(frame: pd.DataFrame) -> pa.RecordBatch:
             fps = frame["fp"].to_numpy().view(np.uint64)
-            links = trie_links(fps, frame["grp"].to_numpy(), frame["side"].to_numpy(), max_bits)
-            return pa.record_batch([pa.array(fps[links[:, i]].view(np.int64)) for i in range(2)], ["a", "b"])
+            check, ids = frame["check"].to_numpy().view(np.uint64), frame["id"].to_numpy()
+            links = trie_links(fps, frame["grp"].to_numpy(), frame["side"].to_numpy(), max_bits, check, max_total)
+            return pa.record_batch([pa.array(ids[links[:, i]]) for i in range(2)], ["a", "b"])
 
         for batch in batches:
             frame = batch.to_pandas()
@@ -192,7 +217,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
             yield solve(rest)
 
     order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned
-    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "grp", "side")
+    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "id", "check", "grp", "side")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -234,7 +259,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, max_bits: int = 4) -> DataFrame
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """fp, shingles of docs(fp, text): hashes of the distinct k-word shingles of the lower-cased text."""
+    """node, shingles of docs(node, text): hashes of the distinct k-word shingles of the lower-cased text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,39 +268,44 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             for i, j in cuts(offsets, CHUNK_BYTES):
                 sets = [np.unique(h).view(np.int64) for h in text_shingles(*word_hashes(data, offsets[i : j + 1]), k)]
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), np.concatenate(sets))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), lists], ["fp", "shingles"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), lists], ["node", "shingles"])
 
-    return docs.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 12, blocks: int = 12, exact: int = 2) -> DataFrame:
+def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 14, blocks: int = 12, exact: int = 2, max_total: int = 28) -> DataFrame:
     """The rows of docs that stay when one document of each group of near-duplicates is kept.
 
-    Candidates are the nearest fingerprints up to max_bits apart; two are linked if the Jaccard
-    index of their texts' k-word shingles is at least `similarity`, or if the fingerprints are equal.
-    Of each connected group the row with the smallest doc_id (null before all; ties by a hash of the
-    text) stays, of rows repeated with doc_id and text just one. All columns pass through.
+    Fingerprints have 128 bits here, of distinct shingles. Candidates are nearest ones of at most
+    max_total differing bits, max_bits at most in one of the halves, each of which has a trie; two are linked if the Jaccard index of their
+    texts' k-word shingles is at least `similarity`, or if all 128 bits are equal. Of each connected
+    group the row with the smallest doc_id (null before all; ties by a hash of the text) stays, of
+    rows repeated with doc_id and text just one. All columns pass through.
     """
     row_hash = F.xxhash64("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [simhash((t.as_py() or "").encode(), k) for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "row_hash", "fp"])
+            hashes = [np.unique(shingle_hashes((t.as_py() or "").encode(), k)) for t in batch.column(2)]
+            halves = [pa.array(np.array([majority(h) for h in half], np.uint64).view(np.int64)) for half in (hashes, map(mix, hashes))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *halves], ["doc_id", "row_hash", "fp", "check"])
 
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash.alias("row_hash"), "text")
-    prints = checkpointed(keys.mapInArrow(run, "doc_id long, row_hash long, fp long"))
-    distinct = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
-    links = checkpointed(near_links(distinct.select("fp"), max_bits, blocks, exact).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    linked = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
-    chosen = distinct.join(linked, "fp").select("fp", F.col("first.doc_id").alias("d"), F.col("first.row_hash").alias("h"))
-    texts = keys.join(chosen, keys.doc_id.eqNullSafe(F.col("d")) & (keys.row_hash == F.col("h"))).select("fp", "text").dropDuplicates(["fp"])
+    prints = checkpointed(keys.mapInArrow(run, "doc_id long, row_hash long, fp long, check long"))
+    node = F.xxhash64("fp", "check")
+    distinct = prints.groupBy(node.alias("node"), "fp", "check").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    halves = distinct.select("fp", "node", "check"), distinct.select(F.col("check").alias("fp"), "node", F.col("fp").alias("check"))
+    links = near_links(halves[0], max_bits, blocks, exact, max_total).unionByName(near_links(halves[1], max_bits, blocks, exact, max_total))
+    links = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    chosen = distinct.join(linked, "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.row_hash").alias("h"))
+    texts = keys.join(chosen, keys.doc_id.eqNullSafe(F.col("d")) & (keys.row_hash == F.col("h"))).select("node", "text").dropDuplicates(["node"])
     sets = checkpointed(shingle_sets(texts, k))
-    sides = links.join(sets.withColumnsRenamed({"fp": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"fp": "b", "shingles": "sb"}), "b")
+    sides = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
     shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     similar = sides.filter(shared >= similarity * (both - shared)).select("a", "b")
-    roots = components(similar)
-    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    roots = components(similar).withColumnRenamed("node", "n")
+    member = distinct.join(roots, F.col("node") == F.col("n"), "left").select("first", F.coalesce("root", "node").alias("root"))
     hash_, d, h = unused(docs, "_row_hash", "_d", "_h")
     kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(d), F.col("first.row_hash").alias(h))
     own = F.col("doc_id").cast("long")
