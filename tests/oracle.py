@@ -26,4 +26,6 @@ def differences(df, connection, sql):
     ours = sorted(tuple(map(plain, row)) for row in df.select(*[f"`{c}`" for c in columns]).collect())
     names = ", ".join(f'"{c}"' for c in columns)
     theirs = sorted(tuple(map(plain, row)) for row in connection.execute(f"SELECT {names} FROM ({sql})").fetchall())
-    return len(ours), *([], []) if ours == theirs else ([x for x in ours if x not in theirs][:3] or ours[:1], [x for x in theirs if x not in ours][:3])
+    if ours == theirs:
+        return len(ours), [], []
+    return len(ours), [x for x in ours if x not in theirs][:3] or ours[:1], [x for x in theirs if x not in ours][:3]
