@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import unused
+
 #: The shapes looked for, in order of preference where they begin at the same place.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)",
     "date": r"(?<![0-9A-Za-z/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![0-9A-Za-z/]|-\d)",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-\d)",
@@ -170,25 +172,31 @@ def pseudonym(match: Column, key: str) -> Column:
     return kind
 
 
-def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", counts: tuple[str, str] = ("n_pii", "kinds")) -> DataFrame:
     """docs with the personal data in `text` replaced; more columns n_pii and kinds (map: kind -> count).
 
     Candidates that fail validation stay. Null texts stay null with no findings; other columns pass
-    through, and so do repeated rows. Texts without candidates are not changed.
+    through, and so do repeated rows. Texts without candidates are not changed. The two columns take
+    the place of columns of these names. A text without digits and @ has no candidates and is not
+    searched: each shape needs one of them.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
+    n_pii, kinds_ = counts
+    found_, changed_ = unused(docs.withColumns({n_pii: F.lit(0), kinds_: F.lit(0)}), "_found", "_changed")
+    none = F.array().cast("array<string>")
+    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(none)
     pieces = F.split(F.col(text), PATTERN, -1)
-    changed = F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("p")))
-    valid = F.filter("_changed", lambda c: c["p"]["new"].isNotNull())
+    changed = F.transform(found_, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("p")))
+    valid = F.filter(changed_, lambda c: c["p"]["new"].isNotNull())
     kinds = F.array_distinct(F.transform(valid, lambda c: c["p"]["kind"]))
-    counts = F.map_from_entries(F.transform(F.array_sort(kinds), lambda k: F.struct(k, F.size(F.filter(valid, lambda c: c["p"]["kind"] == k)))))
-    middle = F.transform("_changed", lambda c: F.coalesce(c["p"]["new"], c["old"]))
-    whole = F.array_join(F.transform(F.arrays_zip(pieces.alias("a"), F.concat(middle, F.array(F.lit(""))).alias("b")), lambda z: F.concat(F.coalesce(z["a"], F.lit("")), F.coalesce(z["b"], F.lit("")))), "")
+    per_kind = F.map_from_entries(F.transform(F.array_sort(kinds), lambda k: F.struct(k, F.size(F.filter(valid, lambda c: c["p"]["kind"] == k)))))
+    middle = F.transform(changed_, lambda c: F.coalesce(c["p"]["new"], c["old"]))
+    zipped = F.arrays_zip(pieces.alias("a"), F.concat(middle, F.array(F.lit(""))).alias("b"))
+    whole = F.array_join(F.transform(zipped, lambda z: F.concat(F.coalesce(z["a"], F.lit("")), F.coalesce(z["b"], F.lit("")))), "")
     return (
-        docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-        .withColumn("_changed", F.when(F.size("_found") > 0, changed).otherwise(F.transform(F.array().cast("array<string>"), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("p")))))
-        .withColumn("n_pii", F.size(valid).cast("long"))
-        .withColumn("kinds", counts)
-        .withColumn(text, F.when(F.col("n_pii") > 0, whole).otherwise(F.col(text)))
-        .drop("_found", "_changed")
+        docs.withColumn(found_, F.coalesce(found, none))
+        .withColumn(changed_, changed)
+        .withColumn(n_pii, F.size(valid).cast("long"))
+        .withColumn(kinds_, per_kind)
+        .withColumn(text, F.when(F.col(n_pii) > 0, whole).otherwise(F.col(text)))
+        .drop(found_, changed_)
     )
