@@ -123,6 +123,3 @@ def version_key(c: Column) -> Column:
     )
     return F.when(core != "", F.struct(*[n.alias(f"n{i}") for i, n in enumerate(numbers)], (pre == "").cast("int").alias("release"), parts.alias("pre")))
 
-
-def compare_values(a: Column, b: Column) -> Column:
-    return ~a.eqNullSafe(b)

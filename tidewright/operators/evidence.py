@@ -80,3 +80,8 @@ def bounded(df: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
     """n_rows, n_bytes, within: whether a table keeps to its limits of rows and JSON bytes."""
     size = F.octet_length(F.to_json(F.struct(*df.columns)))
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes")).withColumn("within", (F.col("n_rows") <= max_rows) & (F.col("n_bytes") <= max_bytes))
+
+
+def at_most(df: DataFrame, n: int) -> DataFrame:
+    """counted, within: whether a result has at most n rows; no more than n + 1 are made."""
+    return df.limit(n + 1).agg(F.count("*").alias("counted")).withColumn("within", F.col("counted") <= n)

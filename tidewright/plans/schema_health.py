@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.config import Thresholds
-from tidewright.operators import lint, stats
+from tidewright.operators import evidence, lint, stats
 from tidewright.plans.common import Registry, table
 
 registry = Registry()
@@ -213,3 +213,21 @@ def a11_derived_risk(spark, sf_dir):
 @registry.add("""SELECT p_brand AS plan_id, 'ch' || p_partkey AS id, p_partkey % 10 = 0 AS destructive, CASE WHEN p_partkey % 10 IN (0, 1, 4, 5, 6, 7, 9) THEN 'access exclusive' ELSE 'share row exclusive' END AS strongest_lock FROM part""")
 def l20_impact_classes(spark, sf_dir):
     return lint.impact_classes(changes(spark, sf_dir))
+
+
+@registry.add(f"""SELECT change_id, '205' AS rule FROM ({_expected(_CHANGES, 5)}) WHERE false UNION ALL SELECT 'ch' || p_partkey, '205' FROM part""")
+def l17_untrusted_changes(spark, sf_dir):
+    return lint.lint_changes(changes(spark, sf_dir), version=16, untrusted=True).filter(c("rule") == "205").select("change_id", "rule")
+
+
+@registry.add("""SELECT 'ch' || p_partkey AS change_id, 'sha256:' || sha256(concat_ws(chr(0), 'simulation-test/v1', 'r' || (p_partkey % 500), CASE p_partkey % 10 WHEN 7 THEN 'create table copy as select * from part' WHEN 8 THEN 'select ''truncate'' /* create index */ ; update part set p = 1' ELSE 'select * into archive from part' END)) AS token,
+CASE p_partkey % 10 WHEN 7 THEN 'create_as_select' WHEN 8 THEN 'create_as_select' ELSE 'select_into' END AS evidence FROM part WHERE p_partkey % 10 >= 7""")
+def l18_test_tokens(spark, sf_dir):
+    found = lint.lint_statements(statements(spark, sf_dir), changes(spark, sf_dir)).filter(c("rule") == "206").select("change_id", "resource_id")
+    joined = found.join(statements(spark, sf_dir).select("change_id", "sql"), "change_id")
+    return joined.select("change_id", lint.test_token(c("resource_id"), c("sql")).alias("token"), lint.copy_evidence(F.lower("sql")).alias("evidence"))
+
+
+@registry.add("SELECT least(count(*), 101) AS counted, count(*) <= 100 AS within FROM part WHERE p_partkey % 10 = 0")
+def o5_max_changes(spark, sf_dir):
+    return evidence.at_most(changes(spark, sf_dir).filter(c("op") == "drop"), 100)
