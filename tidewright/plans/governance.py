@@ -9,7 +9,10 @@ from tidewright.plans.common import Registry, table
 
 registry = Registry()
 c = F.col
-NOW = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+
+
+def now():
+    return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
 
 RULES = [
     {"name": "cheap", "assert": {"not": {"eq": {"ref": "size", "value": 7}}}},
@@ -123,7 +126,7 @@ v AS (SELECT DISTINCT digest, (event_id % 5) + user_id AS approver FROM events J
 n AS (SELECT digest, count(*) FILTER (approver % 3 IN (0, 1)) AS dev, count(*) FILTER (approver % 3 = 0) AS both_, count(*) FILTER (approver % 3 IN (0, 2)) AS dba FROM v GROUP BY 1)
 SELECT p.digest, coalesce(author <> requester AND NOT expired AND CASE env WHEN 'prod' THEN coalesce(dev, 0) >= 2 AND (risk < 3 OR coalesce(both_, 0) >= 1) WHEN 'test' THEN risk < 2 OR coalesce(dba, 0) >= 1 ELSE false END, false) AS allowed FROM p LEFT JOIN n ON p.digest = n.digest""")
 def j18_approval_quorum(spark, sf_dir):
-    return g.approval_quorum(*approval_tables(spark, sf_dir), NOW)
+    return g.approval_quorum(*approval_tables(spark, sf_dir), now())
 
 
 @registry.add("""WITH k AS (SELECT o_custkey AS gate, max(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 1 ELSE 0 END) AS urgent, max(CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' THEN 1 ELSE 0 END) AS high, max(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS bound,

@@ -10,7 +10,10 @@ from tidewright.sources.readers import columns_as_resources
 
 registry = Registry()
 c = F.col
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
+
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
 
 def records(spark, sf_dir):
@@ -21,7 +24,7 @@ def records(spark, sf_dir):
 def s12_replicate(spark, sf_dir):
     r = records(spark, sf_dir)
     ahead = r.withColumn("created_at", F.when(c("k") % 5 == 0, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).otherwise(c("created_at")))
-    return sinks.replicate(ahead, NOW).select("digest", "lag_seconds")
+    return sinks.replicate(ahead, now()).select("digest", "lag_seconds")
 
 
 @registry.add("SELECT 'd' || event_id AS digest, CASE WHEN event_id % 3 = 0 THEN 'primary' ELSE 'backup' END AS origin FROM events WHERE event_id % 3 = 0 OR (event_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-21')")
@@ -29,12 +32,12 @@ def s13_read_with_fallback(spark, sf_dir):
     r = records(spark, sf_dir)
     primary = r.filter(c("k") % 3 == 0).select("digest")
     backup = r.filter(c("k") % 2 == 0).select("digest", c("created_at").alias("replicated_at"))
-    return sinks.read_with_fallback(primary, backup, NOW, 10 * 86400)
+    return sinks.read_with_fallback(primary, backup, now(), 10 * 86400)
 
 
 @registry.add("SELECT 'd' || event_id AS digest, (epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts)))::BIGINT AS age_seconds, (epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts))) <= 864000 AS within FROM events")
 def s14_staleness_report(spark, sf_dir):
-    return sinks.staleness_report(records(spark, sf_dir).withColumnRenamed("created_at", "replicated_at"), NOW, 10 * 86400)
+    return sinks.staleness_report(records(spark, sf_dir).withColumnRenamed("created_at", "replicated_at"), now(), 10 * 86400)
 
 
 @registry.add("""SELECT 'column:' || p_brand || '.' || p_type || '.' || p_partkey AS id, 'column' AS kind, p_brand || '.' || p_type || '.' || p_partkey AS name, 'table:' || p_brand || '.' || p_type AS parent, '{"type":"' || p_name || '","nullable":' || (p_size % 2 = 0) || '}' AS spec FROM part""")
