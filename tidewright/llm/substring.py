@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, shingles, utf8, word_hashes
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, shingles, word_hashes
 
 _POSITION_BITS = 32
 
@@ -36,13 +37,36 @@ def _anchors(words: np.ndarray, first: np.ndarray, short: int, width: int) -> tu
     return starts, doc, starts + per_window[starts].argmin(axis=1)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts one by one compressed, which takes about two thirds of what the shuffle's own codec needs."""
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = pa.array([compress(t.as_py().encode()) for t in batch.column("text")], pa.binary())
+        yield pa.record_batch([*(batch.column(c) for c in ("key", "doc_id", "text_hash")), packed], ["key", "doc_id", "text_hash", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and texts of ranges of rows of about CHUNK_BYTES."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    texts, size, start = [], 0, 0
+    for i, packed in enumerate(batch.column("packed")):
+        texts.append(decompress(packed.as_buffer()))
+        size += len(texts[-1])
+        if size > CHUNK_BYTES:
+            yield start, texts
+            texts, size, start = [], 0, i + 1
+    if texts:
+        yield start, texts
+
+
 def _chunks(batch: pa.RecordBatch):
     """Ranges of rows with their keys, their tags (text hashes in upper bits), word hashes and first words."""
-    data, offsets = utf8(batch.column("text"))
     keys = batch.column("key").to_numpy()
     tags = batch.column("text_hash").to_numpy().astype(np.int64) << _POSITION_BITS
-    for i, j in cuts(offsets, CHUNK_BYTES):
-        yield i, j, keys[i:j], tags[i:j], *word_hashes(data, offsets[i : j + 1])
+    for i, texts in _unpacked(batch):
+        j = i + len(texts)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        yield i, j, keys[i:j], tags[i:j], *word_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)
 
 
 def _spots(h: np.ndarray, keys: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
@@ -94,6 +118,18 @@ def _by_document(spots: DataFrame, name: str, later: bool) -> DataFrame:
     return spots.groupBy("key", text_hash).agg(F.collect_set(2 * at + (F.col("key") > F.col("first")).cast("long") if later else at).alias(name))
 
 
+def _repeated(spots: DataFrame) -> DataFrame:
+    """h, first: windows of more than one document, with the first of them.
+
+    Grouping by a turned h makes the aggregate's partitioning another one than a later join's on h: the
+    join then has an exchange of its own on both sides, and adaptive execution can split a hot window's
+    rows over tasks.
+    """
+    turned = F.lit(0x5555555555555555)
+    per_window = spots.groupBy(F.col("h").bitwiseXOR(turned).alias("t")).agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    return per_window.filter("first < last").select(F.col("t").bitwiseXOR(turned).alias("h"), "first")
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     """key, text_hash of the documents whose whole text is that of a document with a smaller doc_id."""
     texts = docs.filter("doc_id is not null").select("key", "text_hash", F.xxhash64("text").alias("h"))
@@ -112,8 +148,6 @@ def remove_repeated(docs: DataFrame, width: int = 13) -> DataFrame:
     Repeated rows come out as often; other columns are not read.
     """
     short = max(1, (width - 2) // 2)
-    # the texts are shuffled by (key, text_hash) once: no column of a join key can be null, so that Spark
-    # adds no filter to one of the joins and takes the same exchange for all of them
     docs = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -123,32 +157,38 @@ def remove_repeated(docs: DataFrame, width: int = 13) -> DataFrame:
     on = ["key", "text_hash"]
     # a whole copy is removed as a whole: it needs no windows, whatever the size of its group
     copies = checkpointed(_copies(docs))
+    # the texts are shuffled by (key, text_hash) once: no column of a join key can be null, so that Spark
+    # adds no filter to one of the joins and takes the same exchange for all of them
+    docs = docs.mapInArrow(_packed, "key long not null, doc_id long, text_hash int not null, packed binary")
     spots = docs.join(copies, on, "left_anti").mapInArrow(_short_windows(short, width), _SPOTS)
-    seen = spots.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("h", "first")
+    seen = _repeated(spots)
     # an anchor's first document cannot lose the windows around it, but others can lose theirs to it
-    candidates = docs.join(_by_document(spots.join(seen, "h"), "spots", True), on).select("key", "doc_id", "text", "text_hash", "spots")
+    candidates = docs.join(_by_document(spots.join(seen, "h"), "spots", True), on).select("key", "doc_id", "packed", "text_hash", "spots")
     first = candidates.mapInArrow(_full_windows(short, width, False), _SPOTS).groupBy("h").agg(F.min("key").alias("first"))
     later = candidates.mapInArrow(_full_windows(short, width, True), _SPOTS)
     starts = _by_document(later.join(first, "h").filter("key > first"), "starts", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, kept = [], [], []
-            for text, starts, copy in zip(batch.column("text"), batch.column("starts"), batch.column("copy").to_pylist()):
-                words = text.as_py().encode().split()
-                n.append(len(words))
-                if copy and len(words) >= width:
-                    words = []
-                elif starts.is_valid:
-                    cover = np.zeros(len(words) + width + 1, np.int64)
-                    at = starts.values.to_numpy()
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + width, -1)
-                    keep = np.cumsum(cover)[: len(words)] == 0
-                    words = [w for w, k in zip(words, keep) if k]
-                removed.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            starts, copy = batch.column("starts"), batch.column("copy").to_pylist()
+            for i, texts in _unpacked(batch):
+                n, removed, kept = [], [], []
+                for row, text in enumerate(texts, i):
+                    words = text.split()
+                    n.append(len(words))
+                    if copy[row] and len(words) >= width:
+                        words = []
+                    elif starts[row].is_valid:
+                        cover = np.zeros(len(words) + width + 1, np.int64)
+                        at = starts[row].values.to_numpy()
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + width, -1)
+                        keep = np.cumsum(cover)[: len(words)] == 0
+                        words = [w for w, k in zip(words, keep) if k]
+                    removed.append(n[-1] - len(words))
+                    kept.append(b" ".join(words).decode())
+                ids = batch.column("doc_id").slice(i, len(texts))
+                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     flagged = docs.join(starts, on, "left").join(copies.withColumn("copy", F.lit(True)), on, "left")
-    return flagged.select("doc_id", "text", "starts", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return flagged.select("doc_id", "packed", "starts", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
