@@ -151,9 +151,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([c / w for _, w, c in blocks]), np.array([v / w for v, w, _ in blocks])
 
 
-def held_out(doc_id: Column | str) -> Column:
-    """Rows that nothing is learnt from."""
-    return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 4 == 2
+def held_out(doc_id: str) -> Column:
+    """Rows that nothing is learnt from; a null doc_id is none."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> Model | float:
