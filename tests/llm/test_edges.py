@@ -207,6 +207,15 @@ def test_op7_odd_texts(docs):
         assert r["n_tokens"] == len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
 
 
+def test_op7_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokencount, "MEMORY", 50)
+    encoder = tokencount.Encoder(tokenizer_file(), tokencount.whole_tokens(tokenizer_file()))
+    texts = [" ".join(f"zq{i % 7}vw{'abcdefghij'[i % 10]}x{'klmnopqrst'[i // 10 % 10]}" for i in range(k, k + 30)) for k in range(0, 3000, 20)]
+    expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    found = [np.frombuffer(x, "<u4").tolist() for t in texts for x in encoder.ids([t])]
+    assert found == expected and len(encoder.known) < len(encoder.whole) + 50 + 100
+
+
 def test_op8_windows():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 50, 400):

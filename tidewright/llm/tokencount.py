@@ -25,7 +25,8 @@ from tidewright.llm.common import CHUNK_BYTES
 #: Fixed value: the pre-token pattern of this family of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct merged pre-tokens that a worker keeps, from task to task.
-MEMORY = 500_000
+MEMORY = 600_000
+WORDS_AT_ONCE = 2000
 
 #: Characters whose classes are the same in every Unicode version since 3.0: printable ASCII with the usual
 #: white space, and Latin letters with their punctuation. On these, the standard library's engine, with the
@@ -64,7 +65,11 @@ class Encoder:
         self.tokenizer = load(path)
         self.whole = {k: v.to_bytes(4, "little") for k, v in whole.items()}
         self.known = dict(self.whole)
+        self.once: set[str] = set()
         self.find = _SETTLED_PATTERN.findall
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)  # a character stands for a byte
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def settled(self, text: str) -> bool:
@@ -74,15 +79,48 @@ class Encoder:
         fast = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in fast]
 
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """Ids of blank-led words. Set side by side they split into the same words, so they are merged as a few
+        texts, whose tokens are dealt out again by their lengths in bytes."""
+        out = []
+        groups = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        texts = ["".join(g) for g in groups]
+        for group, text, found in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            sizes = map(len, group) if text.isascii() else (len(w.encode()) for w in group)
+            ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(group)))
+            cuts = np.searchsorted(ends, wanted)
+            if (ends[cuts] != wanted).any():
+                raise ValueError("tokens do not end where words do")
+            bounds = [0, *(4 * (cuts + 1)).tolist()]
+            whole = ids.tobytes()
+            out += [whole[a:z] for a, z in zip(bounds, bounds[1:])]
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        rest = list(new.difference(words))
+        self.known.update(zip(words, self.merge_words(words)))
+        self.known.update(zip(rest, self.merge(rest)))
+
+    def forget(self) -> None:
+        """Drops what only one call of ids() has met; all, if that is too little."""
+        for piece in self.once:
+            del self.known[piece]
+        self.once = set()
+        if len(self.known) > len(self.whole) + 0.8 * MEMORY:
+            self.known = dict(self.whole)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; call it with about a megabyte of text, or one long text."""
         pieces = [self.find(t) if self.settled(t) else None for t in texts]
-        new = set().union(*(p for p in pieces if p is not None)).difference(self.known)
-        if len(self.known) + len(new) > len(self.whole) + MEMORY:
-            self.known = dict(self.whole)
-            new = set().union(*(p for p in pieces if p is not None)).difference(self.known)
-        fresh = sorted(new)
-        self.known.update(zip(fresh, self.merge(fresh)))
+        distinct = set().union(*(p for p in pieces if p is not None))
+        self.once.difference_update(self.once.intersection(distinct))
+        if len(self.known) > len(self.whole) + MEMORY:
+            self.forget()
+        new = distinct.difference(self.known)
+        self.learn(new)
+        self.once |= new
         odd = iter(self.merge([t for t, p in zip(texts, pieces) if p is None]))
         known = self.known.__getitem__
         return [next(odd) if p is None else b"".join(map(known, p)) for p in pieces]
