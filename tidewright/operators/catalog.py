@@ -8,6 +8,7 @@ frontier that only holds what the last round found.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,17 +100,20 @@ def diff_with_renames(current: DataFrame, desired: DataFrame, renames: DataFrame
     return plain.select("target_id", "id", "op", F.lit(None).cast("string").alias("old_id")).unionByName(renamed).unionByName(altered.select("target_id", "id", F.lit("alter").alias("op"), F.lit(None).cast("string").alias("old_id")))
 
 
-def reachable(start: DataFrame, edges: DataFrame, forward: bool = True, max_rounds: int = 1000) -> DataFrame:
-    """target_id, id: start and all that its edges reach (forward: dependencies; else dependents)."""
+def reachable(start: DataFrame, edges: DataFrame, forward: bool = True, max_rounds: int | None = None) -> DataFrame:
+    """target_id, id: start and all that its edges reach (forward: dependencies; else dependents).
+
+    More than max_rounds rounds are an error; None for as many as it takes.
+    """
     steps = edges.select("target_id", F.col("id" if forward else "dep").alias("id"), F.col("dep" if forward else "id").alias("to"))
     seen = frontier = checkpointed(start.select("target_id", "id").distinct())
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         nxt = frontier.join(steps, ["target_id", "id"]).select("target_id", F.col("to").alias("id")).distinct()
         frontier = checkpointed(nxt.join(seen, ["target_id", "id"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = checkpointed(seen.unionByName(frontier))
-    return seen
+    raise ValueError(f"the edges reach further than {max_rounds} rounds")
 
 
 def select_closure(resources: DataFrame, edges: DataFrame, contains: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
@@ -130,16 +134,19 @@ def select_closure(resources: DataFrame, edges: DataFrame, contains: DataFrame,
     return kept
 
 
-def in_or_behind_cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """target_id, id: nodes left when nodes without remaining dependencies are taken away again and again."""
+def in_or_behind_cycles(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """target_id, id: nodes left when nodes without remaining dependencies are taken away again and again.
+
+    More than max_rounds rounds are an error; None for as many as it takes.
+    """
     left = checkpointed(edges.select("target_id", "id", "dep").distinct())
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         stuck = left.select("target_id", F.col("id").alias("dep")).distinct()
         nxt = checkpointed(left.join(stuck, ["target_id", "dep"], "left_semi"))
         if nxt.count() == left.count():
-            break
+            return left.select("target_id", "id").distinct()
         left = nxt
-    return left.select("target_id", "id").distinct()
+    raise ValueError(f"not settled within {max_rounds} rounds")
 
 
 def change_levels(changes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -204,10 +211,13 @@ def explode_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def overlay(base: Column, over: Column, depth: int = 4) -> Column:
-    """Deep merge of two variants: objects merge by key, anything else is replaced, JSON null included."""
-    if depth == 0:
-        return F.coalesce(over, base)
+    """Deep merge of two variants: objects merge by key, anything else is replaced, JSON null included.
+
+    Objects that would have to merge below the given depth are an error.
+    """
     kind = "map<string,variant>"
     is_object = lambda v: F.coalesce(F.schema_of_variant(v).like("OBJECT<%"), F.lit(False))
+    if depth == 0:
+        return F.when(is_object(base) & is_object(over), F.raise_error(F.lit("objects to merge lie deeper than depth")).cast("variant")).otherwise(F.coalesce(over, base))
     merged = F.map_zip_with(F.when(is_object(base), base).cast(kind), F.when(is_object(over), over).cast(kind), lambda k, a, b: overlay(a, b, depth - 1))
     return F.when(is_object(base) & is_object(over), F.parse_json(F.to_json(merged))).otherwise(F.coalesce(over, base))
