@@ -19,21 +19,35 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return records.filter(is_kind(F.col("v"), "OBJECT")).select(F.from_json(F.to_json("v"), kind).alias("r")).select("r.*")
 
 
+def headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """The names in the first line of each CSV file, without blanks and quotes around them; those of equal files once, at most two."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+    names = F.transform(F.split("line", ","), lambda n: F.regexp_replace(F.regexp_replace(n, r"^\s+|\s+$", ""), '^"+|"+$', ""))
+    return [r[0] for r in first.select(names.alias("names")).distinct().limit(2).collect()]
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Rows of CSV files with a header, whose names may have blanks around them.
 
-    A row of another width, or a value that does not fit its type, is an error; empty is null.
+    A row of another width, a value that does not fit its type, or a file with another header, is
+    an error; empty is null.
     """
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    header = spark.read.text(path).limit(1).collect()
-    names = [n.strip().strip('"') for n in header[0][0].split(",")] if header else []
-    if names != kind.names:
-        raise ValueError(f"the header has {names}, declared are {kind.names}")
+    for names in headers(spark, path) or [[]]:
+        if names != kind.names:
+            raise ValueError(f"the header has {names}, declared are {kind.names}")
     return spark.read.schema(kind).csv(path, header=True, mode="FAILFAST", nullValue="", enforceSchema=True)
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files, each cell typed alone: bool first (1, 0, t and f too), integer, number, else text, as VARIANT."""
+    """Rows of CSV files, each cell typed alone: bool first (1, 0, t and f too), integer, number, else text, as VARIANT.
+
+    Files with different headers are an error.
+    """
+    found = headers(spark, path)
+    if len(found) > 1:
+        raise ValueError(f"files have different headers: {found[0]} and {found[1]}")
     rows = spark.read.csv(path, header=True, mode="FAILFAST", nullValue="")
 
     def cell(name: str):
