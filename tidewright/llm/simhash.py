@@ -8,11 +8,13 @@ further: pairs of sub-tries whose paths differ in more than max_bits bits are pr
 pair is a group of its own. Within a group the rest of the trie is traversed by node pairs, level
 by level; a pair of nodes is dropped as soon as its differing bits exceed the budget. A group of n
 fingerprints gives a minimum spanning forest of its links, fewer than n rows, never all pairs.
-Connected components are joined across groups by Spark.
+Connected components are joined across groups by Spark. Where links are verified afterwards, what
+a failed link has left apart is searched again between the verified components (see ROUNDS).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, mix, text_shingles, unused, utf8, word_hashes
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, mix, shared_folder, text_shingles, unused, utf8, word_hashes
 
 BITS = 64
 #: Fingerprints in one trie group; larger groups are split by the next bits of the trie.
@@ -32,6 +34,8 @@ GROUP_ROWS = 2048
 LEAF_PAIRS = 1024
 #: A table of large groups of at most so many rows is broadcast.
 MAX_BROADCAST = 100_000
+#: Links of each row between components that are verified in the rounds after the forest; None: all that are left.
+ROUNDS = (4, 16, 64, None)
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -96,8 +100,45 @@ def spanning_links(n: int, links: np.ndarray, distance: np.ndarray) -> np.ndarra
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
+def nearest_links(links: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Which links are among the `most` nearest ones of at least one of their ends."""
+    ends, other = links.T.ravel(), links[:, ::-1].T.ravel()
+    order = np.lexsort((other, np.tile(distance, 2), ends))
+    first = np.searchsorted(ends[order], ends[order])
+    near = np.zeros(len(links), bool)
+    near[order[np.arange(len(order)) - first < most] % max(len(links), 1)] = True
+    return near
+
+
 def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int, check: np.ndarray, max_total: int) -> np.ndarray:
-    """A minimum spanning forest of the links (i, j): rows of a group that differ in at most max_bits bits.
+    """A minimum spanning forest of the links (i, j) of trie_pairs."""
+    found = np.zeros((0, 2), np.int64)
+    for links in trie_pairs(fps, group, side, max_bits, check, max_total):
+        found = np.concatenate([found, links])
+        found = found[spanning_links(len(fps), found, _bits(fps, *found.T) + _bits(check, *found.T))]
+    return found
+
+
+def links_between(fps, group, side, max_bits, check, max_total, root: np.ndarray, most: int | None) -> Iterator[np.ndarray]:
+    """The links (i, j) of trie_pairs between rows of different root.
+
+    With `most`, those that are among the `most` nearest ones of an end, and (i, i) for each row i of which a link is left out.
+    """
+    found, more = np.zeros((0, 2), np.int64), np.zeros(len(fps), bool)
+    for links in trie_pairs(fps, group, side, max_bits, check, max_total):
+        links = links[root[links[:, 0]] != root[links[:, 1]]]
+        if most is None:
+            yield links
+            continue
+        found = np.concatenate([found, links])
+        near = nearest_links(found, _bits(fps, *found.T) + _bits(check, *found.T), most)
+        more[found[~near, 0]] = True
+        found = found[near]
+    yield np.concatenate([found, np.repeat(np.flatnonzero(more)[:, None], 2, axis=1)])
+
+
+def trie_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int, check: np.ndarray, max_total: int) -> Iterator[np.ndarray]:
+    """All links (i, j), in parts: rows of a group that differ in at most max_bits bits.
 
     check: more bits of each row, which the trie does not hold; with them a link has at most
     max_total bits.
@@ -105,7 +146,6 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: i
     Rows are sorted by (group, side, fp). In a group with both sides only links across are sought.
     Node pairs are ranges of rows; all groups are traversed together.
     """
-    found, distance = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     edge = np.flatnonzero(np.diff(group) != 0) + 1
     lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(fps)]])
     ones = np.concatenate([[0], np.cumsum(side)])
@@ -117,11 +157,7 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: i
     for bit in range(BITS - 1, -2, -1):
         small = ((ahi - alo) * (bhi - blo) <= LEAF_PAIRS) | (bit < 0)
         if small.any():
-            for links in _leaf(fps, check, alo[small], ahi[small], blo[small], bhi[small], max_bits, max_total):
-                found = np.concatenate([found, links])
-                distance = _bits(fps, *found.T) + _bits(check, *found.T)
-                kept = spanning_links(len(fps), found, distance)
-                found, distance = found[kept], distance[kept]
+            yield from _leaf(fps, check, alo[small], ahi[small], blo[small], bhi[small], max_bits, max_total)
         keep = ~small
         alo, ahi, blo, bhi, err = (x[keep] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
@@ -138,7 +174,6 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: i
         alo, ahi, blo, bhi, err = (
             np.concatenate([p[i][p[5] & (p[4] <= max_bits) & (p[1] > p[0]) & (p[3] > p[2])] for p in parts]) for i in range(5)
         )
-    return found
 
 
 def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -167,17 +202,20 @@ def _leaf(fps, check, alo, ahi, blo, bhi, max_bits, max_total) -> Iterator[np.nd
         yield np.stack([i[near], j[near]], 1)
 
 
-def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1, max_total: int = 2 * BITS) -> DataFrame:
+def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1, max_total: int = 2 * BITS, most: int | None = None) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all at most max_bits apart.
 
     With columns node and check, links are between nodes, and of at most max_total bits with check's.
     Links of up to blocks - exact bits are all accounted for; of the longer ones, those that leave
-    `exact` blocks equal. Links of fewer bits are preferred.
+    `exact` blocks equal. Links of fewer bits are preferred. With column root, links are those of
+    links_between instead of forests: between different roots, `most` of a row at least, and (a, a)
+    where links of a are left out.
     """
     tables = _tables(blocks, exact)
+    rounds = "root" in distinct.columns
     if "node" not in distinct.columns:
         distinct = distinct.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("check"))
-    row = F.struct("fp", F.col("node").alias("id"), "check")
+    row = F.struct("fp", F.col("node").alias("id"), "check", *["root"] * rounds)
     signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
     choices = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("value")) for i, (mask, _) in enumerate(tables)])
     placed = distinct.select("fp", row.alias("row"), F.explode(choices).alias("p")).select("fp", "row", "p.*")
@@ -200,24 +238,25 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def solve(frame: pd.DataFrame) -> pa.RecordBatch:
+        def solve(frame: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             fps = frame["fp"].to_numpy().view(np.uint64)
             check, ids = frame["check"].to_numpy().view(np.uint64), frame["id"].to_numpy()
-            links = trie_links(fps, frame["grp"].to_numpy(), frame["side"].to_numpy(), max_bits, check, max_total)
-            return pa.record_batch([pa.array(ids[links[:, i]]) for i in range(2)], ["a", "b"])
+            given = fps, frame["grp"].to_numpy(), frame["side"].to_numpy(), max_bits, check, max_total
+            for links in links_between(*given, frame["root"].to_numpy(), most) if rounds else [trie_links(*given)]:
+                yield pa.record_batch([pa.array(ids[links[:, i]]) for i in range(2)], ["a", "b"])
 
         for batch in batches:
             frame = batch.to_pandas()
             rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             last = int(np.searchsorted(rest["grp"].to_numpy(), rest["grp"].iloc[-1])) if len(rest) else 0
             if last:  # all groups but the one that may go on
-                yield solve(rest.iloc[:last])
+                yield from solve(rest.iloc[:last])
                 rest = rest.iloc[last:]
         if rest is not None and len(rest):
-            yield solve(rest)
+            yield from solve(rest)
 
     order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned
-    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "id", "check", "grp", "side")
+    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "id", "check", "grp", "side", *["root"] * rounds)
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -273,12 +312,83 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder: unlike a checkpoint, it does not carry the estimated sizes of its joins on, whose product grows with every round."""
+    path = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 14, blocks: int = 12, exact: int = 2, max_total: int = 28) -> DataFrame:
+    """The rows of docs that stay when one document of each group of near-duplicates is kept.
+
+    Fingerprints have 128 bits here, of distinct shingles. Candidates are nearest ones of at most
+    max_total differing bits, max_bits at most in one of the halves, each of which has a trie; two are linked if the Jaccard index of their
+    texts' k-word shingles is at least `similarity`, or if all 128 bits are equal. A candidate is
+    left unverified only if its ends are connected by links already. Of each connected
+    group the row with the smallest doc_id (null before all; ties by a hash of the text) stays, of
+    rows repeated with doc_id and text just one. All columns pass through.
+    """
+    row_hash = F.xxhash64("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes((t.as_py() or "").encode(), k)) for t in batch.column(2)]
+            halves = [pa.array(np.array([majority(h) for h in half], np.uint64).view(np.int64)) for half in (hashes, map(mix, hashes))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *halves], ["doc_id", "row_hash", "fp", "check"])
+
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash.alias("row_hash"), "text")
+    prints = checkpointed(keys.mapInArrow(run, "doc_id long, row_hash long, fp long, check long"))
+    node = F.xxhash64("fp", "check")
+    distinct = prints.groupBy(node.alias("node"), "fp", "check").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
+
+    def candidates(nodes: DataFrame, most: int | None = None) -> DataFrame:
+        rest = ["root"] if "root" in nodes.columns else []
+        halves = nodes.select("fp", "node", "check", *rest), nodes.select(F.col("check").alias("fp"), "node", F.col("fp").alias("check"), *rest)
+        a, b = (near_links(half, max_bits, blocks, exact, max_total, most) for half in halves)
+        return checkpointed(a.unionByName(b).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def judged(links: DataFrame) -> DataFrame:
+        sides = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+        shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+        return checkpointed(sides.select("a", "b", (shared >= similarity * (both - shared)).alias("similar")))
+
+    links = candidates(distinct)
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    chosen = distinct.join(linked, "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.row_hash").alias("h"))
+    texts = keys.join(chosen, keys.doc_id.eqNullSafe(F.col("d")) & (keys.row_hash == F.col("h"))).select("node", "text").dropDuplicates(["node"])
+    sets = checkpointed(shingle_sets(texts, k))
+    tried = judged(links)
+    roots = written(components(tried.filter("similar").select("a", "b")).withColumnRenamed("node", "n"))
+
+    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = member.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
+    return prints.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """node, shingles of docs(node, text): hashes of the distinct k-word shingles of the lower-cased text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            for i, j in cuts(offsets, CHUNK_BYTES):
+                sets = [np.unique(h).view(np.int64) for h in text_shingles(*word_hashes(data, offsets[i : j + 1]), k)]
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), np.concatenate(sets))
+                yield pa.record_batch([batch.column(0).slice(i, j - i), lists], ["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
 def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 14, blocks: int = 12, exact: int = 2, max_total: int = 28) -> DataFrame:
     """The rows of docs that stay when one document of each group of near-duplicates is kept.
 
     Fingerprints have 128 bits here, of distinct shingles. Candidates are nearest ones of at most
     max_total differing bits, max_bits at most in one of the halves, each of which has a trie; two are linked if the Jaccard index of their
-    texts' k-word shingles is at least `similarity`, or if all 128 bits are equal. Of each connected
+    texts' k-word shingles is at least `similarity`, or if all 128 bits are equal. A candidate is
+    left unverified only if its ends are connected by links already. Of each connected
     group the row with the smallest doc_id (null before all; ties by a hash of the text) stays, of
     rows repeated with doc_id and text just one. All columns pass through.
     """
@@ -294,18 +404,52 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
     prints = checkpointed(keys.mapInArrow(run, "doc_id long, row_hash long, fp long, check long"))
     node = F.xxhash64("fp", "check")
     distinct = prints.groupBy(node.alias("node"), "fp", "check").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
-    halves = distinct.select("fp", "node", "check"), distinct.select(F.col("check").alias("fp"), "node", F.col("fp").alias("check"))
-    links = near_links(halves[0], max_bits, blocks, exact, max_total).unionByName(near_links(halves[1], max_bits, blocks, exact, max_total))
-    links = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def candidates(nodes: DataFrame, most: int | None = None) -> DataFrame:
+        rest = ["root"] if "root" in nodes.columns else []
+        halves = nodes.select("fp", "node", "check", *rest), nodes.select(F.col("check").alias("fp"), "node", F.col("fp").alias("check"), *rest)
+        a, b = (near_links(half, max_bits, blocks, exact, max_total, most) for half in halves)
+        return checkpointed(a.unionByName(b).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def judged(links: DataFrame) -> DataFrame:
+        sides = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+        shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+        return checkpointed(sides.select("a", "b", (shared >= similarity * (both - shared)).alias("similar")))
+
+    links = candidates(distinct)
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     chosen = distinct.join(linked, "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.row_hash").alias("h"))
     texts = keys.join(chosen, keys.doc_id.eqNullSafe(F.col("d")) & (keys.row_hash == F.col("h"))).select("node", "text").dropDuplicates(["node"])
     sets = checkpointed(shingle_sets(texts, k))
-    sides = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-    shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    similar = sides.filter(shared >= similarity * (both - shared)).select("a", "b")
-    roots = components(similar).withColumnRenamed("node", "n")
-    member = distinct.join(roots, F.col("node") == F.col("n"), "left").select("first", F.coalesce("root", "node").alias("root"))
+    tried = judged(links)
+    roots = written(components(tried.filter("similar").select("a", "b")).withColumnRenamed("node", "n"))
+
+    # a failed link of the forest may stand before a candidate that would pass: candidates between
+    # the components that failed links have left apart are tried too, until none is left
+    def end(side: str) -> DataFrame:
+        return roots.select(F.col("n").alias(side), F.col("root").alias(f"r{side}"))
+
+    apart = tried.filter("not similar").join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
+    apart = checkpointed(apart.select(F.explode(F.array("ra", "rb")).alias("was")).distinct())
+    merged = apart.select("was", F.col("was").alias("now"))
+    if not apart.isEmpty():
+        split = distinct.select("node", "fp", "check").join(roots, F.col("node") == F.col("n"), "left").withColumn("was", F.coalesce("root", "node"))
+        split = checkpointed(split.join(apart, "was", "left_semi").select("node", "fp", "check", "was"))
+        for most in ROUNDS:
+            now = checkpointed(split.join(merged, "was").select("node", "fp", "check", F.col("now").alias("root")))
+            between = candidates(now, most)
+            fresh = judged(between.filter("a <> b").join(tried, ["a", "b"], "left_anti"))
+            tried = checkpointed(tried.unionByName(fresh))
+            label = now.select("node", "root")
+            passed = fresh.filter("similar").select("a", "b").join(label.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(label.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
+            passed = checkpointed(passed.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+            if not passed.isEmpty():
+                over = checkpointed(components(passed).select(F.col("node").alias("now"), F.col("root").alias("new")))
+                merged = checkpointed(merged.join(over, "now", "left").select("was", F.coalesce("new", "now").alias("now")))
+            if between.filter("a = b").isEmpty():
+                break
+    member = distinct.join(roots, F.col("node") == F.col("n"), "left").select("first", F.coalesce("root", "node").alias("was"))
+    member = member.join(merged, "was", "left").select("first", F.coalesce("now", "was").alias("root"))
     hash_, d, h = unused(docs, "_row_hash", "_d", "_h")
     kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(d), F.col("first.row_hash").alias(h))
     own = F.col("doc_id").cast("long")
