@@ -10,13 +10,15 @@ and the library might differ, are encoded whole by the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +138,64 @@ def encoder(path: str, whole: dict[str, int]) -> Encoder:
     return _encoders[path]
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level tokenizer file as bytes, if merging by ascending id is what its merges say.
+
+    That holds if nothing changes a text before it is split by PATTERN, if merges stand in the order of
+    the ids that they make, and if each longer string is made by just one merge: the pair of lowest
+    rank is then the pair of lowest id.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    odd = spec.get("normalizer") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges")
+    if not plain or odd:
+        return None
+    # a byte that is printable in Latin-1 stands for itself, the others for the characters from 256 on
+    itself = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    byte_of = {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(itself)))}
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocabulary = {k: v for k, v in model["vocab"].items() if k not in special}
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [vocabulary["".join(pair)] for pair in pairs]
+    ranks = {bytes(byte_of[c] for c in k): v for k, v in vocabulary.items()}
+    longer = sorted(v for k, v in ranks.items() if len(k) > 1)
+    return ranks if made == longer and longer[0] > max(v for k, v in ranks.items() if len(k) == 1) else None
+
+
+_text_ids: dict[str, Callable] = {}
+
+
+def text_ids(path: str, whole: dict[str, int]) -> Callable[[list[str]], list[list[int]]]:
+    """A function that gives the ids of each of some texts, the library's, by a second engine where both agree.
+
+    Texts of settled characters without special strings are encoded by tiktoken over the file's own
+    vocabulary, if byte_ranks allows it and every string that the engine takes whole is in `whole`,
+    which the library has proven. All else is encoded by the library.
+    """
+    if path not in _text_ids:
+        library = load(path)
+        special = [t.content for t in library.get_added_tokens_decoder().values()]
+        ranks = byte_ranks(path)
+        taken = regex.compile(PATTERN).fullmatch
+        if ranks is not None:
+            texts = (b.decode(errors="replace") for b in ranks)
+            if any(t not in whole and "\ufffd" not in t and taken(t) for t in texts):
+                ranks = None
+        engine = ranks and tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+            settled = [engine is not None and _SETTLED.fullmatch(t) is not None and not any(s in t for s in special) for t in texts]
+            odd = [t for t, s in zip(texts, settled) if not s]
+            rest = iter(library.encode_batch_fast(odd, add_special_tokens=False) if odd else [])
+            return [engine.encode_ordinary(t) if s else next(rest).ids for t, s in zip(texts, settled)]
+
+        _text_ids[path] = encode
+    return _text_ids[path]
+
+
 def parts(texts: list[str], limit: int = CHUNK_BYTES):
     """Ranges of texts of about `limit` characters, or of a single text."""
     i, size = 0, 0
