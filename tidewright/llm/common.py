@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
@@ -38,6 +39,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """checkpointed, and the shuffle files that went into it are deleted at once, not when the driver forgets them."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set(name, before)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores appended until df has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -86,21 +98,6 @@ def cuts(offsets: np.ndarray, limit: int = CHUNK_BYTES):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        _powers = tuple(
-            np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, np.uint64(p)), dtype=np.uint64)])
-            for p in (_P, _P_INV)
-        )
-    return _powers
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -108,11 +105,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Longer words are hashed one by one, which their length pays for.
+_LONG = 64
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the ASCII-space-separated words of some texts, and each text's first word.
 
-    A word's polynomial hash is a difference of prefix sums over the bytes, so that no Python
-    object is made for a word.
+    A word is taken eight bytes at a time, all words together, each step mixed in before the next, so
+    that no Python object is made for it; a word of more than 64 bytes is given to XXH3.
     """
     base = int(offsets[0])
     b = data[base : int(offsets[-1])]
@@ -126,22 +127,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    powers, inverse = _powers_to(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h ^ mix((ends - starts).astype(np.uint64))), np.searchsorted(starts, at)
+    eight = np.ndarray((n,), "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))
+    left = ends - starts
+    h = mix(left.astype(np.uint64) ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    rows, place = np.arange(len(starts)), starts
+    while len(rows):
+        bits = (8 * np.minimum(left, 8)).astype(np.uint64)
+        chunk = eight[place] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - bits))
+        h[rows] = mix(h[rows] * np.uint64(0xD6E8FEB86659FD93) ^ chunk)
+        more = left > 8
+        rows, place, left = rows[more], place[more] + 8, left[more] - 8
+        if len(rows) and place[0] - starts[rows[0]] == _LONG:
+            for i in rows.tolist():
+                h[i] = np.uint64(xxhash.xxh3_64_intdigest(b[starts[i] : ends[i]].tobytes(), seed))
+            break
+    return h, np.searchsorted(starts, at)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of each k consecutive words, across the bounds of texts too."""
+    """Hashes of each k consecutive words, across the bounds of texts too; each word is mixed in before the next."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, k, np.uint64)
     for j in range(k):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n]
-    return mix(h ^ np.uint64(k))
+        h = (h ^ words[j : j + n]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return mix(h)
 
 
 def text_shingles(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:

@@ -1,11 +1,12 @@
 """Substring dedup by level-wise doubling.
 
-Windows that repeat at one length alone are extended to about twice that length. The first level
-looks at short windows, and only at those that are the smallest hash among the short windows of
-some full window (equal full windows choose equal short ones, so none is missed, at a quarter of
-the rows). Full windows are hashed and shuffled only around short windows that start in more than
-one document. Counting is a partial aggregate on the hash; what goes back to the documents is
-joined on it, so that a passage in a third of all documents is split over tasks.
+Windows that repeat at one length alone are extended to twice that length: 4, 8 and then 13 words,
+until the full length is reached or no candidate survives. At each length a full window is stood for
+by its anchor, the short window of smallest hash inside it: equal full windows have equal anchors, so
+none is missed, at a fraction of the rows. Each level is a job of its own that leaves the positions
+of repeated anchors per document, and its shuffle files are given back before the next one begins.
+Counting is a partial aggregate on the hash; what goes back to the documents is joined on it, so that
+a passage in a third of all documents is split over tasks. Full windows are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -14,127 +15,89 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import CHUNK_BYTES, checkpointed, shingles, word_hashes
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, released, shingles, utf8, word_hashes
 
 _POSITION_BITS = 32
+_SPOTS = "h long, h2 long, key long, spot long"
 
 
-def _anchors(words: np.ndarray, first: np.ndarray, short: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each full window: its start, its document and the start of its anchor, a short window."""
-    none = np.zeros(0, np.int64)
-    if len(words) < width:
-        return none, none, none
-    hashes = shingles(words, short)
-    per_window = np.lib.stride_tricks.sliding_window_view(hashes, width - short + 1)
-    starts = np.arange(len(words) - width + 1)
-    doc = np.searchsorted(first, starts, "right") - 1
-    inside = starts + width <= first[doc + 1]
-    starts, doc = starts[inside], doc[inside]
-    return starts, doc, starts + per_window[starts].argmin(axis=1)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts one by one compressed, which takes about two thirds of what the shuffle's own codec needs."""
-    compress = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        packed = pa.array([compress(t.as_py().encode()) for t in batch.column("text")], pa.binary())
-        yield pa.record_batch([*(batch.column(c) for c in ("key", "doc_id", "text_hash")), packed], ["key", "doc_id", "text_hash", "packed"])
-
-
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """First row and texts of ranges of rows of about CHUNK_BYTES."""
-    decompress = zstandard.ZstdDecompressor().decompress
-    texts, size, start = [], 0, 0
-    for i, packed in enumerate(batch.column("packed")):
-        texts.append(decompress(packed.as_buffer()))
-        size += len(texts[-1])
-        if size > CHUNK_BYTES:
-            yield start, texts
-            texts, size, start = [], 0, i + 1
-    if texts:
-        yield start, texts
-
-
-def _chunks(batch: pa.RecordBatch):
-    """Ranges of rows with their keys, their tags (text hashes in upper bits), word hashes and first words."""
-    keys = batch.column("key").to_numpy()
-    tags = batch.column("text_hash").to_numpy().astype(np.int64) << _POSITION_BITS
-    for i, texts in _unpacked(batch):
-        j = i + len(texts)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        yield i, j, keys[i:j], tags[i:j], *word_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)
-
-
-def _spots(h: np.ndarray, keys: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(h.view(np.int64)), pa.array(keys), pa.array(spots)], ["h", "key", "spot"])
-
-
-def _short_windows(short: int, width: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for i, j, keys, tags, words, first in _chunks(batch):
-                _, doc, anchor = _anchors(words, first, short, width)
-                anchor, at = np.unique(anchor, return_index=True)
-                doc = doc[at]
-                keep = named[i:j][doc]
-                anchor, doc = anchor[keep], doc[keep]
-                yield _spots(shingles(words, short)[anchor], keys[doc], tags[doc] | (anchor - first[doc]))
+def levels(width: int) -> list[int]:
+    """Window lengths: a quarter of the width, rounded up, then twice the one before, the width at last."""
+    found = [max(1, -(-width // 4))]
+    while found[-1] < width:
+        found.append(min(width, 2 * found[-1]))
+    return found
 
-    return run
+
+def _anchors(words: np.ndarray, starts: np.ndarray, length: int, width: int) -> np.ndarray:
+    """For each full window, by its start: the start of the window of `length` in it with the smallest hash, the first of several."""
+    if length == width or not len(starts):
+        return starts
+    hashes = np.lib.stride_tricks.sliding_window_view(shingles(words, length), width - length + 1)
+    return starts + hashes[starts].argmin(axis=1)
 
 
-def _full_windows(short: int, width: int, later_only: bool) -> Callable:
-    """Full windows whose anchors are among the listed short windows (column spots: 2 * position + later)."""
+def _spots(length: int, width: int, previous: int | None) -> Callable:
+    """Windows of `length` that are anchors of full windows whose anchors of the previous length are among `positions`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column("spots")
-            for i, j, keys, tags, words, first in _chunks(batch):
-                start, doc, anchor = _anchors(words, first, short, width)
-                part = spots.slice(i, j - i)
-                listed = part.flatten().to_numpy()
-                at = (listed >> 1) + np.repeat(first[:-1], part.value_lengths().to_numpy(zero_copy_only=False))
-                known = np.zeros(len(words) + 1, bool)
-                known[at[(listed & 1) == 1] if later_only else at] = True
-                keep = known[anchor]
-                start, doc = start[keep], doc[keep]
-                yield _spots(shingles(words, width)[start], keys[doc], tags[doc] | (start - first[doc]))
+            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            keys = batch.column("key").to_numpy()
+            tags = batch.column("text_hash").to_numpy().astype(np.int64) << _POSITION_BITS
+            data, offsets = utf8(batch.column("text"))
+            for i, j in cuts(offsets, CHUNK_BYTES):
+                words, first = word_hashes(data, offsets[i : j + 1])
+                if len(words) < width:
+                    continue
+                starts = np.arange(len(words) - width + 1)
+                doc = np.searchsorted(first, starts, "right") - 1
+                keep = (starts + width <= first[doc + 1]) & named[i:j][doc]
+                starts, doc = starts[keep], doc[keep]
+                if previous is not None:
+                    part = batch.column("positions").slice(i, j - i)
+                    known = np.zeros(len(words) + 1, bool)
+                    known[part.flatten().to_numpy() + np.repeat(first[:-1], part.value_lengths().to_numpy(zero_copy_only=False))] = True
+                    keep = known[_anchors(words, starts, previous, width)]
+                    starts, doc = starts[keep], doc[keep]
+                anchor, at = np.unique(_anchors(words, starts, length, width), return_index=True)
+                doc = doc[at]
+                h = shingles(words, length)[anchor]
+                # the full length alone decides: it has twice the bits
+                h2 = shingles(word_hashes(data, offsets[i : j + 1], seed=1)[0], length)[anchor] if length == width else np.zeros(len(h), np.uint64)
+                columns = [h.view(np.int64), h2.view(np.int64), keys[i:j][doc], tags[i:j][doc] | (anchor - first[doc])]
+                yield pa.record_batch([pa.array(c) for c in columns], ["h", "h2", "key", "spot"])
 
     return run
 
 
-_SPOTS = "h long, key long, spot long"
-
-
-def _by_document(spots: DataFrame, name: str, later: bool) -> DataFrame:
-    """The positions of spots gathered per document in one list; with later, 2 * position + (key > first)."""
-    at = F.col("spot").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    text_hash = F.shiftright("spot", _POSITION_BITS).cast("int").alias("text_hash")
-    return spots.groupBy("key", text_hash).agg(F.collect_set(2 * at + (F.col("key") > F.col("first")).cast("long") if later else at).alias(name))
-
-
 def _repeated(spots: DataFrame) -> DataFrame:
-    """h, first: windows of more than one document, with the first of them.
+    """h, h2, first: windows of more than one document, with the first of them.
 
-    Grouping by a turned h makes the aggregate's partitioning another one than a later join's on h: the
+    Grouping by a turned h makes the aggregate's partitioning another one than the later join's on h: the
     join then has an exchange of its own on both sides, and adaptive execution can split a hot window's
     rows over tasks.
     """
     turned = F.lit(0x5555555555555555)
-    per_window = spots.groupBy(F.col("h").bitwiseXOR(turned).alias("t")).agg(F.min("key").alias("first"), F.max("key").alias("last"))
-    return per_window.filter("first < last").select(F.col("t").bitwiseXOR(turned).alias("h"), "first")
+    per_window = spots.groupBy(F.col("h").bitwiseXOR(turned).alias("t"), "h2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    return per_window.filter("first < last").select(F.col("t").bitwiseXOR(turned).alias("h"), "h2", "first")
+
+
+def _positions(spots: DataFrame) -> DataFrame:
+    """key, text_hash, positions: where the spots lie in each document."""
+    at = F.col("spot").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    return spots.groupBy("key", F.shiftright("spot", _POSITION_BITS).cast("int").alias("text_hash")).agg(F.collect_set(at).alias("positions"))
 
 
 def _copies(docs: DataFrame) -> DataFrame:
     """key, text_hash of the documents whose whole text is that of a document with a smaller doc_id."""
-    texts = docs.filter("doc_id is not null").select("key", "text_hash", F.xxhash64("text").alias("h"))
-    first = texts.groupBy("h", "text_hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
-    later = texts.join(first, ["h", "text_hash"]).filter("key > first")
+    texts = docs.filter("doc_id is not null").select("key", "text_hash", F.xxhash64("text").alias("h"), F.md5("text").alias("h2"))
+    by = ["h", "h2", "text_hash"]
+    first = texts.groupBy(*by).agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
+    later = texts.join(first, by).filter("key > first")
     return later.select("key", "text_hash").distinct()
 
 
@@ -147,7 +110,6 @@ def remove_repeated(docs: DataFrame, width: int = 13) -> DataFrame:
     document: none removes from another. A null doc_id is neither earlier nor later than any.
     Repeated rows come out as often; other columns are not read.
     """
-    short = max(1, (width - 2) // 2)
     docs = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -157,38 +119,35 @@ def remove_repeated(docs: DataFrame, width: int = 13) -> DataFrame:
     on = ["key", "text_hash"]
     # a whole copy is removed as a whole: it needs no windows, whatever the size of its group
     copies = checkpointed(_copies(docs))
-    # the texts are shuffled by (key, text_hash) once: no column of a join key can be null, so that Spark
-    # adds no filter to one of the joins and takes the same exchange for all of them
-    docs = docs.mapInArrow(_packed, "key long not null, doc_id long, text_hash int not null, packed binary")
-    spots = docs.join(copies, on, "left_anti").mapInArrow(_short_windows(short, width), _SPOTS)
-    seen = _repeated(spots)
-    # an anchor's first document cannot lose the windows around it, but others can lose theirs to it
-    candidates = docs.join(_by_document(spots.join(seen, "h"), "spots", True), on).select("key", "doc_id", "packed", "text_hash", "spots")
-    first = candidates.mapInArrow(_full_windows(short, width, False), _SPOTS).groupBy("h").agg(F.min("key").alias("first"))
-    later = candidates.mapInArrow(_full_windows(short, width, True), _SPOTS)
-    starts = _by_document(later.join(first, "h").filter("key > first"), "starts", False)
+    candidates, previous = docs.join(copies, on, "left_anti"), None
+    for length in levels(width):
+        spots = candidates.mapInArrow(_spots(length, width, previous), _SPOTS)
+        found = spots.join(_repeated(spots), ["h", "h2"])
+        positions = released(_positions(found.filter("key > first") if length == width else found))
+        if positions.isEmpty():
+            break
+        # documents without a candidate need not be looked at again
+        candidates, previous = docs.join(positions, on), length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, copy = batch.column("starts"), batch.column("copy").to_pylist()
-            for i, texts in _unpacked(batch):
-                n, removed, kept = [], [], []
-                for row, text in enumerate(texts, i):
-                    words = text.split()
-                    n.append(len(words))
-                    if copy[row] and len(words) >= width:
-                        words = []
-                    elif starts[row].is_valid:
-                        cover = np.zeros(len(words) + width + 1, np.int64)
-                        at = starts[row].values.to_numpy()
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + width, -1)
-                        keep = np.cumsum(cover)[: len(words)] == 0
-                        words = [w for w, k in zip(words, keep) if k]
-                    removed.append(n[-1] - len(words))
-                    kept.append(b" ".join(words).decode())
-                ids = batch.column("doc_id").slice(i, len(texts))
-                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    flagged = docs.join(starts, on, "left").join(copies.withColumn("copy", F.lit(True)), on, "left")
-    return flagged.select("doc_id", "packed", "starts", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+            starts, copy = batch.column("positions"), batch.column("copy").to_pylist()
+            n, removed, kept = [], [], []
+            for row, text in enumerate(batch.column("text")):
+                words = text.as_py().encode().split()
+                n.append(len(words))
+                if copy[row] and len(words) >= width:
+                    words = []
+                elif starts[row].is_valid:
+                    cover = np.zeros(len(words) + width + 1, np.int64)
+                    at = starts[row].values.to_numpy()
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + width, -1)
+                    keep = np.cumsum(cover)[: len(words)] == 0
+                    words = [w for w, k in zip(words, keep) if k]
+                removed.append(n[-1] - len(words))
+                kept.append(b" ".join(words).decode())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    flagged = docs.join(positions, on, "left").join(copies.withColumn("copy", F.lit(True)), on, "left")
+    return flagged.select("doc_id", "text", "positions", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
