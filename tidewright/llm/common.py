@@ -45,7 +45,7 @@ def released(df: DataFrame) -> DataFrame:
     before = conf.get(name, "false")
     conf.set(name, "true")
     try:
-        return checkpointed(df)
+        return checkpointed(df.select("*"))  # a new frame: it is made under the setting
     finally:
         conf.set(name, before)
 
