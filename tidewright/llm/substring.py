@@ -95,9 +95,7 @@ def _positions(spots: DataFrame) -> DataFrame:
 def _copies(docs: DataFrame) -> DataFrame:
     """key, text_hash of the documents whose whole text is that of a document with a smaller doc_id."""
     texts = docs.filter("doc_id is not null").select("key", "text_hash", F.xxhash64("text").alias("h"), F.md5("text").alias("h2"))
-    by = ["h", "h2", "text_hash"]
-    first = texts.groupBy(*by).agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
-    later = texts.join(first, by).filter("key > first")
+    later = texts.join(_repeated(texts), ["h", "h2"]).filter("key > first")
     return later.select("key", "text_hash").distinct()
 
 
