@@ -9,13 +9,17 @@ first and the last word) and the exact comparison decide. DataFrame functions on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alnum_words, checkpointed
+from tidewright.llm.common import alnum_words, checkpointed, unused
 
-#: Up to so many words a set is tested in place; larger sets are joined.
+#: Up to so many words a set is tested as it is; larger sets by a table of so many marks.
 MAX_IN_PLACE = 20_000
+SLOTS = 1 << 24
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -29,21 +33,31 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame, column: str) -> list[str] | None:
-    """The values of a column, if there are at most MAX_IN_PLACE."""
-    rows = df.select(column).distinct().limit(MAX_IN_PLACE + 1).collect()
-    return [r[0] for r in rows] if len(rows) <= MAX_IN_PLACE else None
-
+def membership(df: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test on words that holds for all values of a column, and for few others; it works in place at any size.
 
-def _known(words: Column, known: list[str] | None) -> Column:
-    return words if known is None else F.filter(words, lambda w: w.isin(known))
+    Up to MAX_IN_PLACE values are a literal set. More of them mark a table of SLOTS bytes by their hash,
+    16 MB at most, and other words pass with the share of marked slots; a join afterwards tells them apart.
+    """
+    rows = df.select(column).distinct().limit(MAX_IN_PLACE + 1).collect()
+    if len(rows) <= MAX_IN_PLACE:
+        values = [r[0] for r in rows]
+        return lambda w: w.isin(values)
+    slot = F.pmod(F.xxhash64(column), F.lit(SLOTS)) + 1
+    maps = df.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    table = np.zeros(SLOTS, np.uint8)
+    for r in maps:
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        start = (r["bucket"] - 1) * len(bits)
+        table[start : start + len(bits)] = bits[: SLOTS - start]
+    marks = F.lit(table.tobytes())
+    return lambda w: F.substr(marks, F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
 
 def rarest_first(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """windows with their prefix: the word that the fewest documents hold (ties: the smaller), and its offset."""
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    known = _bounded(vocabulary, "word")
-    held = docs.select(F.explode(F.array_distinct(_known(alnum_words(F.col("text")), known))).alias("word"))
+    known = membership(windows.select(F.explode("words").alias("word")), "word")
+    held = docs.select(F.explode(F.array_distinct(F.filter(alnum_words(F.col("text")), known))).alias("word"))
     counts = held.groupBy("word").agg(F.count("*").alias("n"))
     ranked = (
         windows.select("item_id", "words", F.posexplode("words").alias("offset", "word"))
@@ -59,24 +73,15 @@ def rarest_first(docs: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted item_ids as strings) for each row of docs(doc_id, text).
-
-    Null and empty texts have no words and no hits. Rows that are repeated come out as often. Null
-    item texts have no windows. A null doc_id is a value as any other. An empty benchmark or table
-    gives no hits or no rows. Other columns of the inputs are not read.
-    """
+def _per_text(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, n_words, copies, n_hit, items: a row for each distinct (doc_id, text), copies of which there are."""
     docs = docs.select("doc_id", "text")
     # a table of the benchmark's size, used twice below: written once, so that the corpus is counted once
     windows = checkpointed(rarest_first(docs, item_windows(benchmark.select("item_id", "text"), width)))
-    prefixes = _bounded(windows, "word")
-    if prefixes == []:
-        none = F.array().cast("array<string>")
-        return docs.select("doc_id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+    is_prefix = membership(windows, "word")
 
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(F.col("text")).alias("w"))
     words = words.withColumn("n_words", F.size("w"))
-    is_prefix = (lambda w: w.isin(prefixes)) if prefixes is not None else (lambda w: F.lit(True))
     places = F.array_compact(F.transform("w", lambda w, i: F.when(is_prefix(w), i)))
 
     def place(i: Column) -> Column:
@@ -92,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     fits = (F.col("offset") <= F.col("lead")) & (start + size <= F.col("n_words"))
     same = F.slice("around", F.col("lead") - F.col("offset") + 1, size) == F.col("words")
     match = F.when(fits, same)
-    per_row = (
+    per_text = (
         found.join(windows, "word", "left")
         .groupBy("doc_id", "text_hash", "n_words")
         .agg(
@@ -101,9 +106,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
             F.sort_array(F.collect_set(F.when(match, F.col("item_id")))).alias("items"),
         )
     )
-    return per_row.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), _covered(F.col("spans")).alias("n_hit"), "items"
-    )
+    return per_text.withColumn("n_hit", _covered(F.col("spans"))).drop("spans")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted item_ids as strings) for each row of docs(doc_id, text).
+
+    Null and empty texts have no words and no hits. Rows that are repeated come out as often. Null
+    item texts have no windows. A null doc_id is a value as any other. An empty benchmark or table
+    gives no hits or no rows. Other columns of the inputs are not read.
+    """
+    per_row = _per_text(docs, benchmark, width).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return per_row.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -121,7 +135,10 @@ def _covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents that hold no window of an item, with all their columns.
 
-    The decision is taken on the distinct doc_ids that are hit; rows with a null doc_id stay.
+    The decision is a row's own, by its doc_id (null as a value) and a hash of its text: rows that share
+    a doc_id with a hit one stay if their text has no hit. Nulls, empty texts and tables and repeated
+    rows are as in `contamination`; columns may have any names.
     """
-    hit = contamination(docs, benchmark, width).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    id_, hash_ = unused(docs, "_hit_id", "_hit_hash")
+    hit = _per_text(docs, benchmark, width).filter("n_hit > 0").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left_anti")
