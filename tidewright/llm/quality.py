@@ -83,18 +83,19 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of each row of docs(doc_id, text); null texts count as empty."""
+    """docs without the text, and x, the statistics of each row's text; null texts count as empty."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(0))
             for i, j in cuts(offsets, CHUNK_BYTES):
                 x = statistics(data, offsets[i : j + 1])
-                flat = pa.array(x.ravel())
-                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), flat)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), lists], ["doc_id", "x"])
+                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+                yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns[1:]), lists], [*rest, "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    schema = T.StructType([docs.schema[c] for c in rest]).add("x", T.ArrayType(T.DoubleType()))
+    return docs.select("text", *rest).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -156,17 +157,21 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> Model | float:
-    """A model of labels(doc_id, quality); a constant if the labelled rows are of one kind or none.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> Model | float:
+    """A model of docs(doc_id, text) and labels(doc_id, quality); a constant if the labelled rows are of one kind or none.
 
-    A doc_id with several labels counts with their mean; null labels and doc_ids are left out.
+    A doc_id with several labels counts with their mean; null labels and doc_ids are left out. The
+    labels that count are about fit_rows at most, so they are broadcast, and only the documents that
+    they are of are looked at.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     known = known.filter("y is not null and doc_id is not null").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.avg("y").alias("y"))
     n = known.count()
     if n > fit_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    rows = checkpointed(stats.join(known, "doc_id").withColumn("apart", F.pmod(F.crc32(F.concat(F.lit("apart "), F.col("doc_id").cast("string"))), F.lit(4)) == 0).select("x", "y", "apart").repartition(FIT_PARTITIONS))
+    apart = F.pmod(F.crc32(F.concat(F.lit("apart "), F.col("doc_id").cast("string"))), F.lit(4)) == 0
+    learnt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "y", apart.alias("apart"))
+    rows = checkpointed(document_statistics(learnt).select("x", "y", "apart").repartition(FIT_PARTITIONS))
     count, total, least, most = rows.agg(F.count("*"), F.sum("y"), F.min("y"), F.max("y")).first()
     if not count or least == most:
         return total / count if count else 0.5
@@ -206,27 +211,19 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, score (0 to 1, higher: quality 1 likelier) for each row of docs(doc_id, text).
-
-    Null and empty texts have the statistics of an empty text and so a score of their own. Without
-    labels of both kinds each score is the labels' mean, or 0.5. Repeated rows come out as often;
-    other columns are not read.
-    """
-    stats = checkpointed(document_statistics(docs))
-    model = fit(stats, labels, fit_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1)) if len(batch) else np.zeros((0, 1))
-            scores = np.full(len(x), model) if isinstance(model, float) else model.score(x) if len(x) else np.zeros(0)
-            yield pa.record_batch([batch.column(0), pa.array(scores)], ["doc_id", "score"])
-
-    return stats.mapInArrow(run, "doc_id long, score double")
+    """doc_id, score (0 to 1, higher: quality 1 likelier) for each row of docs(doc_id, text); see with_quality."""
+    return with_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, "score", fit_rows).select("doc_id", "score")
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, score: str = "score", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs with one more column, the score of each row's text; rows are not moved between tasks."""
-    model = fit(checkpointed(document_statistics(docs)), labels, fit_rows)
+    """docs with one more column, the score of each row's text; rows are not moved between tasks.
+
+    Null and empty texts have the statistics of an empty text and so a score of their own. Without
+    labels of both kinds each score is the labels' mean, or 0.5. Equal texts have equal scores,
+    repeated rows come out as often, an empty table gives no rows; columns may have any names but
+    that of the score.
+    """
+    model = fit(docs, labels, fit_rows)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
