@@ -83,6 +83,18 @@ def _tables(blocks: int, exact: int) -> list[tuple[int, int]]:
     return [(sum(mask(i) for i in chosen), bounds[chosen[-1] + 1] % BITS) for chosen in combinations(range(blocks), exact)]
 
 
+def blocks_for(n: int, max_bits: int) -> tuple[int, int]:
+    """(blocks, exact) for n distinct fingerprints: as few equal blocks as leave groups of GROUP_ROWS when bits are even.
+
+    Links of max_bits = blocks - exact bits are all found; the copies of a fingerprint grow with the
+    logarithm of n: 5 up to 16 million, 15 up to 4 billion, 35 beyond.
+    """
+    exact = 1
+    while n >> (BITS * exact // (max_bits + exact)) > GROUP_ROWS:
+        exact += 1
+    return max_bits + exact, exact
+
+
 def spanning_links(n: int, links: np.ndarray, distance: np.ndarray) -> np.ndarray:
     """Indexes of the links of a minimum spanning forest of n rows, by Kruskal's algorithm."""
     root, kept = np.arange(n), []
@@ -221,7 +233,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
     placed = distinct.select("fp", row.alias("row"), F.explode(choices).alias("p")).select("fp", "row", "p.*")
     # depth: bits below the chosen blocks by which a large group is split into sub-tries
     large = placed.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS)
-    large = checkpointed(large.select("block", "value", F.least(F.ceil(F.log2(F.col("n") / GROUP_ROWS)), F.lit(12)).cast("int").alias("depth")))
+    large = checkpointed(large.select("block", "value", F.ceil(F.log2(F.col("n") / GROUP_ROWS)).cast("int").alias("depth")))
     small_table = large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     placed = placed.join(F.broadcast(large) if small_table else large, ["block", "value"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     next_bit = F.get(F.array(*[F.lit(bit) for _, bit in tables]), F.col("block"))
@@ -290,7 +302,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, max_bits: int = 4) -> DataFrame
     """
     prints = checkpointed(fingerprints(docs, k))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(distinct.select("fp"), max_bits))
+    distinct = checkpointed(distinct)
+    roots = components(near_links(distinct.select("fp"), max_bits, *blocks_for(distinct.count(), max_bits)))
     member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     label = member.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
@@ -319,69 +332,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 14, blocks: int = 12, exact: int = 2, max_total: int = 28) -> DataFrame:
-    """The rows of docs that stay when one document of each group of near-duplicates is kept.
-
-    Fingerprints have 128 bits here, of distinct shingles. Candidates are nearest ones of at most
-    max_total differing bits, max_bits at most in one of the halves, each of which has a trie; two are linked if the Jaccard index of their
-    texts' k-word shingles is at least `similarity`, or if all 128 bits are equal. A candidate is
-    left unverified only if its ends are connected by links already. Of each connected
-    group the row with the smallest doc_id (null before all; ties by a hash of the text) stays, of
-    rows repeated with doc_id and text just one. All columns pass through.
-    """
-    row_hash = F.xxhash64("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [np.unique(shingle_hashes((t.as_py() or "").encode(), k)) for t in batch.column(2)]
-            halves = [pa.array(np.array([majority(h) for h in half], np.uint64).view(np.int64)) for half in (hashes, map(mix, hashes))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *halves], ["doc_id", "row_hash", "fp", "check"])
-
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash.alias("row_hash"), "text")
-    prints = checkpointed(keys.mapInArrow(run, "doc_id long, row_hash long, fp long, check long"))
-    node = F.xxhash64("fp", "check")
-    distinct = prints.groupBy(node.alias("node"), "fp", "check").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
-
-    def candidates(nodes: DataFrame, most: int | None = None) -> DataFrame:
-        rest = ["root"] if "root" in nodes.columns else []
-        halves = nodes.select("fp", "node", "check", *rest), nodes.select(F.col("check").alias("fp"), "node", F.col("fp").alias("check"), *rest)
-        a, b = (near_links(half, max_bits, blocks, exact, max_total, most) for half in halves)
-        return checkpointed(a.unionByName(b).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    def judged(links: DataFrame) -> DataFrame:
-        sides = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-        shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        return checkpointed(sides.select("a", "b", (shared >= similarity * (both - shared)).alias("similar")))
-
-    links = candidates(distinct)
-    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    chosen = distinct.join(linked, "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.row_hash").alias("h"))
-    texts = keys.join(chosen, keys.doc_id.eqNullSafe(F.col("d")) & (keys.row_hash == F.col("h"))).select("node", "text").dropDuplicates(["node"])
-    sets = checkpointed(shingle_sets(texts, k))
-    tried = judged(links)
-    roots = written(components(tried.filter("similar").select("a", "b")).withColumnRenamed("node", "n"))
-
-    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = member.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
-
-
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, shingles of docs(node, text): hashes of the distinct k-word shingles of the lower-cased text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-            for i, j in cuts(offsets, CHUNK_BYTES):
-                sets = [np.unique(h).view(np.int64) for h in text_shingles(*word_hashes(data, offsets[i : j + 1]), k)]
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), np.concatenate(sets))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), lists], ["node", "shingles"])
-
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
-
-
 def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 14, blocks: int = 12, exact: int = 2, max_total: int = 28) -> DataFrame:
     """The rows of docs that stay when one document of each group of near-duplicates is kept.
 
