@@ -38,6 +38,7 @@ OPERATORS = {
     "op5": lambda d, b, la: shard.shard_rows(d),
     "op6": lambda d, b, la: simhash.near_duplicates(d),
     "op7": lambda d, b, la: tokencount.token_counts(d, tokenizer_file()),
+    "op8": lambda d, b, la: packing.packed_pieces(d, tokenizer_file()).filter("start = 0"),
     "op9": lambda d, b, la: linededup.drop_boilerplate(d, host="source"),
     "op10": lambda d, b, la: pii.pseudonymize(d, "key"),
 }
@@ -80,6 +81,7 @@ def test_op1_values(docs, benchmark):
 def test_op1_beyond_the_bound_in_place(docs, benchmark, monkeypatch):
     rows = sorted(map(str, decontaminate.contamination(docs, benchmark).collect()))
     monkeypatch.setattr(decontaminate, "MAX_IN_PLACE", 3)
+    monkeypatch.setattr(decontaminate, "SLOTS", 1 << 16)
     assert sorted(map(str, decontaminate.contamination(docs, benchmark).collect())) == rows
 
 
@@ -325,3 +327,95 @@ def test_op10_is_a_permutation(spark):
     days = spark.range(36524).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     moved = days.select(pii._date(F.col("d"), "key").alias("p"))
     assert moved.distinct().count() == 36524 and moved.filter("p < '1900-01-01' or p > '1999-12-31'").count() == 0
+
+
+def test_op1_decides_by_row(spark, benchmark):
+    """Rows with a null doc_id are judged as others are, and rows that share a doc_id each by their own text."""
+    hit, clean = BENCHMARK[0][1], "words that no item has at all"
+    rows = [(None, hit), (None, clean), (1, hit), (1, clean), (2, None), (3, ""), (4, clean), (4, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.decontaminate(docs, benchmark).collect()
+    assert sorted(kept, key=str) == sorted([r for r in map(tuple, rows) if r[1] != hit], key=str)
+
+
+def test_op6_blocks_grow_with_the_table(spark, monkeypatch):
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**11)] == [(5, 1), (5, 1), (6, 2), (7, 3)]
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 40)
+    rows = [int(b) ^ sum(1 << int(i) for i in rng.choice(60, int(rng.integers(0, 5)), replace=False)) for b in base for _ in range(6)]
+    rows = sorted(set(rows))
+    df = spark.createDataFrame([(r,) for r in rows], "fp long")
+    expected = sorted(str(r) for r in simhash.components(simhash.near_links(df, 4)).collect())
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 4)
+    for blocks, exact in ((5, 1), (6, 2), (7, 3)):
+        assert sorted(str(r) for r in simhash.components(simhash.near_links(df, 4, blocks, exact)).collect()) == expected
+
+
+def test_op2_sketches_merge_over_parts(spark):
+    """DataFrame merges and estimates against numpy over whole texts."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(vocabulary[i] for i in rng.integers(0, 300, n)) for n in (0, 3, 40, 400, 400, 900, 900, 1500)]
+    rows = [(i, t, "abc"[i % 3]) for i, t in enumerate(texts)] + [(99, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    sketched = fingerprint.fingerprints(docs).join(docs.select("doc_id", "part"), "doc_id")
+    found = {r["part"]: [h + (1 << 63) for h in r["hashes"]] for r in fingerprint.merged_sketches(sketched, ["part"]).collect()}
+    expected = {}
+    for _, t, part in rows:
+        expected[part] = fingerprint.merge(expected.get(part, np.zeros(0, np.uint64)), fingerprint.sketches([(t or "").encode()])[0])
+    assert found == {k: v.tolist() for k, v in expected.items()}
+    merged = fingerprint.merged_sketches(sketched, ["part"])
+    pairs = merged.select(F.col("part").alias("x"), F.col("hashes").alias("a")).join(merged.select(F.col("part").alias("y"), F.col("hashes").alias("b")), F.lit(True))
+    for r in fingerprint.estimates(pairs, "a", "b").collect():
+        a, b = expected[r["x"]], expected[r["y"]]
+        assert r["resemblance"] == pytest.approx(fingerprint.resemblance(a, b))
+        assert r["containment"] == pytest.approx(fingerprint.containment(a, b))
+        assert r["distinct_a"] == pytest.approx(fingerprint.distinct_shingles(a))
+
+
+def test_op2_near_next_brute_force(spark):
+    """near_next and near_edited by exact shingle sets, where sketches hold all shingles."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 6, n)) for n in rng.integers(0, 60, 30)]
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+
+    def likeness(x, y):
+        a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (x.split(), y.split()))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for r in fingerprint.edited_likeness(docs).collect():
+        t, other = texts[r["doc_id"] // 3], texts[(r["doc_id"] // 3 + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + other[: len(t) // 4]
+        assert r["near_next"] == pytest.approx(likeness(t, other)) and r["near_edited"] == pytest.approx(likeness(t, edited))
+
+
+def test_op4_against_numpy(spark):
+    """The fit on partition sums against one numpy fit over all rows."""
+    import zlib
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "!!", "$$$", "A1"], int(rng.integers(1, 80)))) for _ in range(400)]
+    truth = [int(t.count("$$$") * 5 < len(t.split())) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, q) for i, q in enumerate(truth)], "doc_id long, quality int")
+    found = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    x = quality.statistics(np.frombuffer("".join(texts).encode(), np.uint8), offsets)
+    y, apart = np.array(truth, float), np.array([zlib.crc32(f"apart {i}".encode()) % 4 == 0 for i in range(400)])
+    known = np.zeros(400, bool)
+    known[ids] = True
+    mean, scale = x[known].mean(0), x[known].std(0) + quality.LEAST_SCALE
+    r = np.random.default_rng(quality.SEED)
+    k, m = x.shape[1], quality.FEATURES
+    w, b = r.normal(size=(k, m)) / (quality.WIDTH * np.sqrt(k)), r.uniform(0, 2 * np.pi, m)
+    z = np.column_stack([np.sqrt(2 / m) * np.cos(np.clip((x - mean) / scale, -quality.CLIP, quality.CLIP) @ w + b), np.ones(400)])
+    fit = z[known & ~apart]
+    beta = np.linalg.solve(fit.T @ fit + quality.RIDGE * known.sum() * np.eye(m + 1) / (m + 1), fit.T @ y[known & ~apart])
+    raw, rest = z @ beta, known & apart
+    at = np.clip((raw[rest] + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    n, s, c = (np.bincount(at, v, quality.BINS) for v in (np.ones(rest.sum()), y[rest], raw[rest]))
+    steps = quality.isotonic(c[n > 0] / n[n > 0], s[n > 0] / n[n > 0], n[n > 0])
+    expected = np.clip(np.interp(raw, *steps), 0, 1)
+    assert [found[i] for i in range(400)] == pytest.approx(expected.tolist(), abs=1e-6)

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import CHUNK_BYTES, shuffle_partitions, text_shingles, word_hashes
@@ -80,6 +81,45 @@ def fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFra
     return docs.mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _hashes(fingerprint: Column) -> Column:
+    """A fingerprint's hashes as longs that order as the unsigned hashes do."""
+    raw = F.hex(F.unbase64(fingerprint))
+    places = F.sequence(F.lit(1), F.greatest(F.length(raw) - 15, F.lit(1)), F.lit(16))
+    # two halves, as a signed conversion holds 63 bits
+    half = lambda at: F.conv(F.substr(raw, at, F.lit(8)), 16, 10).cast("long")
+    return F.when(raw == "", F.array().cast("array<long>")).otherwise(F.transform(places, lambda at: (half(at) - (1 << 31)) * (1 << 32) + half(at + 8)))
+
+
+def merged_sketches(sketched: DataFrame, by: list[str], k: int = K) -> DataFrame:
+    """by, hashes (ascending) of each group of sketched(by, fingerprint): the sketch of all its parts together.
+
+    Each task keeps k hashes a group before anything is shuffled, so a group may hold any share of the
+    rows. A group of empty sketches has an empty one; repeated rows change nothing; null keys are one
+    group. Hashes are longs that order as the unsigned ones do.
+    """
+    h = sketched.select(*by, F.explode_outer(_hashes(F.col("fingerprint"))).alias("h"))
+    place = F.dense_rank().over(W.partitionBy(*by).orderBy(F.asc_nulls_last("h")))
+    least = h.withColumn("place", place).filter(F.col("place") <= k)
+    return least.groupBy(*by).agg(F.sort_array(F.collect_set("h")).alias("hashes"))
+
+
+def estimates(pairs: DataFrame, a: str, b: str, k: int = K) -> DataFrame:
+    """pairs with resemblance, containment (of a in b) and distinct_a, distinct_b: estimates from two columns of sketch hashes.
+
+    Empty sketches resemble each other fully, and an empty a is contained in anything.
+    """
+    def distinct(c: Column) -> Column:
+        largest = F.element_at(c, -1).cast("double") + 2.0**63
+        return F.when(F.size(c) < k, F.size(c).cast("double")).otherwise((k - 1) * 2.0**64 / largest)
+
+    ca, cb = F.col(a), F.col(b)
+    both = F.slice(F.array_sort(F.array_union(ca, cb)), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect(ca, cb), both))
+    alike = F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+    inside = F.when(F.size(ca) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), alike * distinct(both) / distinct(ca)))
+    return pairs.select("*", alike.alias("resemblance"), inside.alias("containment"), distinct(ca).alias("distinct_a"), distinct(cb).alias("distinct_b"))
+
+
 def _parts(texts: list[bytes]):
     """Ranges of texts of about CHUNK_BYTES."""
     i, size = 0, 0
