@@ -35,7 +35,7 @@ LEAF_PAIRS = 1024
 #: A table of large groups of at most so many rows is broadcast.
 MAX_BROADCAST = 100_000
 #: Links of each row between components that are verified in the rounds after the forest; None: all that are left.
-ROUNDS = (4, 16, 64, None)
+ROUNDS = (16, None)
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -134,7 +134,7 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: i
 def links_between(fps, group, side, max_bits, check, max_total, root: np.ndarray, most: int | None) -> Iterator[np.ndarray]:
     """The links (i, j) of trie_pairs between rows of different root.
 
-    With `most`, those that are among the `most` nearest ones of an end, and (i, i) for each row i of which a link is left out.
+    With `most`, those that are among the `most` nearest ones of an end, and (i, i) for both ends of each link that is left out.
     """
     found, more = np.zeros((0, 2), np.int64), np.zeros(len(fps), bool)
     for links in trie_pairs(fps, group, side, max_bits, check, max_total):
@@ -144,7 +144,7 @@ def links_between(fps, group, side, max_bits, check, max_total, root: np.ndarray
             continue
         found = np.concatenate([found, links])
         near = nearest_links(found, _bits(fps, *found.T) + _bits(check, *found.T), most)
-        more[found[~near, 0]] = True
+        more[found[~near].ravel()] = True
         found = found[near]
     yield np.concatenate([found, np.repeat(np.flatnonzero(more)[:, None], 2, axis=1)])
 
@@ -389,15 +389,17 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
             now = checkpointed(split.join(merged, "was").select("node", "fp", "check", F.col("now").alias("root")))
             between = candidates(now, most)
             fresh = judged(between.filter("a <> b").join(tried, ["a", "b"], "left_anti"))
-            tried = checkpointed(tried.unionByName(fresh))
             label = now.select("node", "root")
             passed = fresh.filter("similar").select("a", "b").join(label.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(label.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
             passed = checkpointed(passed.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
             if not passed.isEmpty():
                 over = checkpointed(components(passed).select(F.col("node").alias("now"), F.col("root").alias("new")))
                 merged = checkpointed(merged.join(over, "now", "left").select("was", F.coalesce("new", "now").alias("now")))
-            if between.filter("a = b").isEmpty():
+            more = between.filter("a = b").select(F.col("a").alias("node"))
+            if more.isEmpty():
                 break
+            # only the ends of links that were left out have any to try
+            split, tried = split.join(more, "node", "left_semi"), tried.unionByName(fresh)
     member = distinct.join(roots, F.col("node") == F.col("n"), "left").select("first", F.coalesce("root", "node").alias("was"))
     member = member.join(merged, "was", "left").select("first", F.coalesce("now", "was").alias("root"))
     hash_, d, h = unused(docs, "_row_hash", "_d", "_h")
