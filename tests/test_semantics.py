@@ -133,3 +133,26 @@ def test_overlay_keeps_null_and_replaces_arrays(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([('postgres://u:p@h/d token = "abc" password=x, ok',)], "t string")
     assert df.select(events.redacted(F.col("t"))).first()[0] == "postgres://[redacted]@h/d token = [redacted] password=[redacted], ok"
+
+
+@pytest.mark.parametrize(
+    "sql, found",
+    [
+        ("do $fn$ ; truncate t $fn$", []),
+        ("/* a /* b */ ; truncate t */ select 1", []),
+        ('select 1 as "a;truncate b"', []),
+        ("select 'it''s ;' -- ; truncate x\n; TRUNCATE only t", ["002"]),
+        ("/* no end ; truncate t", ["unread_comment"]),
+        ("/*" + "x" * 100_000 + "*/ truncate t", ["002"]),
+        ("select '" + "x''" * 50_000 + "'; truncate t", ["002"]),
+        ("create function f() as $b$ begin execute 'drop ' || t; end $b$", ["202"]),
+        ("with x as (select 1) insert into t select * from x", ["206"]),
+        ("create table a (b text check (b like 'x'))", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_statement_rules_look_at_commands(spark, sql, found):
+    s = spark.createDataFrame([("p", "c", sql, None)], "plan_id string, change_id string, sql string, transactional boolean")
+    changes = spark.createDataFrame([("p", "c", "r")], "plan_id string, id string, resource_id string")
+    assert sorted(r["rule"] for r in lint.lint_statements(s, changes).collect()) == found

@@ -116,8 +116,9 @@ def lifecycle_conflicts(events: DataFrame, identity: str, content: list[str]) ->
 
 # -- what must not be stored or shown ----------------------------------------------------------------------------------
 
-#: What marks a text as sensitive, and keys that hold secrets.
-SENSITIVE = r"(?i)://|[\r\n]|password|passwd|secret|bearer |token ?="
+#: What marks a text as sensitive, what marks a detail's key or value, and keys that hold secrets.
+SENSITIVE = r"(?i)://|[\r\n]|password|passwd|secret|bearer |token ?[=:]|private_key|credential"
+SENSITIVE_DETAIL = r"(?i)password|secret|token|private_key|query_result|credential"
 SECRET_KEYS = r"(?i)^(.*[_-])?(password|passwd|secret|token|api_?key|dsn)$"
 
 
@@ -126,10 +127,10 @@ def sensitive(c: Column) -> Column:
 
 
 def split_sensitive(df: DataFrame, texts: list[str], details: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean, rejected): rows whose texts, or whose map of details, look like they hold credentials; with reason."""
+    """(clean, rejected): rows whose texts, or whose map of details by a key or value, look like they hold credentials; with reason."""
     reasons = [F.when(sensitive(F.col(c)), F.lit(c)) for c in texts]
     if details is not None:
-        reasons.append(F.when(F.exists(F.map_entries(details), lambda e: e["key"].rlike(SECRET_KEYS) | e["value"].rlike(SENSITIVE)), F.lit(details)))
+        reasons.append(F.when(F.exists(F.map_entries(details), lambda e: e["key"].rlike(SECRET_KEYS) | e["value"].rlike(SENSITIVE) | e["key"].rlike(SENSITIVE_DETAIL) | e["value"].rlike(SENSITIVE_DETAIL)), F.lit(details)))
     marked = df.withColumn("reason", F.array_join(F.array_compact(F.array(*reasons)), ","))
     return marked.filter("reason = ''").drop("reason"), marked.filter("reason <> ''")
 

@@ -125,7 +125,7 @@ def r10_lifecycle_conflicts(spark, sf_dir):
 # -- sensitive data ----------------------------------------------------------------------------------------------------
 
 
-@registry.add(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)://|[\r\n]|password|passwd|secret|bearer |token ?=') THEN 'text' ELSE '' END AS reason FROM documents""")
+@registry.add(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)://|[\r\n]|password|passwd|secret|bearer |token ?[=:]|private_key|credential') THEN 'text' ELSE '' END AS reason FROM documents""")
 def p11_reject_sensitive(spark, sf_dir):
     clean, rejected = ev.split_sensitive(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
     return clean.select("doc_id", F.lit("").alias("reason")).unionByName(rejected.select("doc_id", "reason"))

@@ -210,9 +210,25 @@ def a11_derived_risk(spark, sf_dir):
     return lint.derived_risk(lint.lint_changes(changes(spark, sf_dir), version=16), F.lit(2))
 
 
-@registry.add("""SELECT p_brand AS plan_id, 'ch' || p_partkey AS id, p_partkey % 10 = 0 AS destructive, CASE WHEN p_partkey % 10 IN (0, 1, 4, 5, 6, 7, 9) THEN 'access exclusive' ELSE 'share row exclusive' END AS strongest_lock FROM part""")
+@registry.add("""SELECT p_brand AS plan_id, 'ch' || p_partkey AS id, p_partkey % 10 IN (0, 3) AS destructive, p_partkey % 10 IN (2, 6) AS rewrites,
+p_partkey % 10 IN (1, 2, 3, 5, 7) AS scans, CASE WHEN p_partkey % 10 = 2 THEN 'share' ELSE 'exclusive' END AS lock FROM part""")
 def l20_impact_classes(spark, sf_dir):
-    return lint.impact_classes(changes(spark, sf_dir))
+    sql = statements(spark, sf_dir).select(c("change_id").alias("id"), "sql")
+    return lint.impact_classes(changes(spark, sf_dir).join(sql, "id"))
+
+
+_HIDDEN = [  # one command truncates a table; the others only seem to
+    "do $fn$ ; truncate t $fn$",
+    "/* a /* b */ ; truncate t */ select 1",
+    'select 1 as "a;truncate b"',
+    "select 'it''s ;' -- ; truncate x\n; truncate only part",
+]
+
+
+@registry.add("SELECT 'ch' || p_partkey AS change_id, '002' AS rule FROM part WHERE p_partkey % 4 = 3")
+def l2_hidden_truncates(spark, sf_dir):
+    hidden = statements(spark, sf_dir).drop("sql", "transactional").join(table(spark, sf_dir, "part").select(F.concat(F.lit("ch"), "p_partkey").alias("change_id"), _template(_HIDDEN).alias("sql")), "change_id")
+    return lint.lint_statements(hidden.withColumn("transactional", F.lit(True)), changes(spark, sf_dir)).select("change_id", "rule")
 
 
 @registry.add(f"""SELECT change_id, '205' AS rule FROM ({_expected(_CHANGES, 5)}) WHERE false UNION ALL SELECT 'ch' || p_partkey, '205' FROM part""")
@@ -220,12 +236,12 @@ def l17_untrusted_changes(spark, sf_dir):
     return lint.lint_changes(changes(spark, sf_dir), version=16, untrusted=True).filter(c("rule") == "205").select("change_id", "rule")
 
 
-@registry.add("""SELECT 'ch' || p_partkey AS change_id, 'sha256:' || sha256(concat_ws(chr(0), 'simulation-test/v1', 'r' || (p_partkey % 500), CASE p_partkey % 10 WHEN 7 THEN 'create table copy as select * from part' WHEN 8 THEN 'select ''truncate'' /* create index */ ; update part set p = 1' ELSE 'select * into archive from part' END)) AS token,
-CASE p_partkey % 10 WHEN 7 THEN 'create_as_select' WHEN 8 THEN 'create_as_select' ELSE 'select_into' END AS evidence FROM part WHERE p_partkey % 10 >= 7""")
+@registry.add("""SELECT 'ch' || p_partkey AS change_id, sha256(concat_ws(chr(0), 'required-test', 'r' || (p_partkey % 500), CASE p_partkey % 10 WHEN 7 THEN 'create table copy as select * from part' WHEN 8 THEN 'select ''truncate'' /* create index */ ; update part set p = 1' ELSE 'select * into archive from part' END)) AS token,
+CASE p_partkey % 10 WHEN 7 THEN 'create_as_select' WHEN 9 THEN 'select_into' END AS evidence FROM part WHERE p_partkey % 10 >= 7""")
 def l18_test_tokens(spark, sf_dir):
     found = lint.lint_statements(statements(spark, sf_dir), changes(spark, sf_dir)).filter(c("rule") == "206").select("change_id", "resource_id")
     joined = found.join(statements(spark, sf_dir).select("change_id", "sql"), "change_id")
-    return joined.select("change_id", lint.test_token(c("resource_id"), c("sql")).alias("token"), lint.copy_evidence(F.lower("sql")).alias("evidence"))
+    return joined.select("change_id", lint.test_token(c("resource_id"), c("sql")).alias("token"), lint.copy_evidence(lint.commands(lint.pieces(c("sql")))).alias("evidence"))
 
 
 @registry.add("SELECT least(count(*), 101) AS counted, count(*) <= 100 AS within FROM part WHERE p_partkey % 10 = 0")
