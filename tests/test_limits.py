@@ -39,3 +39,10 @@ def test_overlay_never_loses_keys_below_its_depth(spark):
     assert merged(spark, '{"a":{"b":{"c":{"d":1}}}}', '{"a":{"b":{"c":{"d":{"e":3}}}}}') == '{"a":{"b":{"c":{"d":{"e":3}}}}}'
     with pytest.raises(Exception, match="deeper than depth"):
         merged(spark, '{"a":{"b":{"c":{"d":{"e":1,"x":2}}}}}', '{"a":{"b":{"c":{"d":{"e":3}}}}}')
+
+
+def test_renames_follow_parents_of_any_depth(spark):
+    schema = "target_id string, id string, kind string, name string, parent string, spec string"
+    rows = lambda mark: spark.createDataFrame([("t", f"{mark}{i}", "part", f"n{i}", f"{mark}{i - 1}" if i else None, "{}") for i in range(8)], schema)
+    renames = spark.createDataFrame([("t", "a0", "b0")], "target_id string, old_id string, new_id string")
+    assert catalog.propagate_parent_renames(rows("a"), rows("b"), renames).count() == 8

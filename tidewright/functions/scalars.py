@@ -32,6 +32,15 @@ def digest(domain: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(domain), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def multiset_digest(row: Column) -> Column:
+    """An aggregate: SHA-256 of the number of rows and of the sums of four 60-bit lanes of their SHA-256 digests.
+
+    Sums do not depend on order and merge from partial ones, so no group is ever gathered; repeated rows count.
+    """
+    lanes = [F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")) for i in range(4)]
+    return F.sha2(F.concat_ws(",", F.count("*").cast("string"), *[F.coalesce(lane.cast("string"), F.lit("0")) for lane in lanes]), 256)
+
+
 def stable_id(kind: Column, catalog: Column, schema: Column, parent: Column, name: Column) -> Column:
     """kind:24 hex digits, the same wherever a resource of that name is seen."""
     parts = [F.coalesce(p, F.lit("")) for p in (kind, catalog, schema, parent, name)]

@@ -14,12 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.functions.scalars import digest, glob
+from tidewright.functions.scalars import digest, glob, multiset_digest
 from tidewright.session import checkpointed
 
-#: Depth to which children follow a renamed parent.
-CONTAINMENT_DEPTH = 4
-
 
 def resource_fingerprint(resources: DataFrame) -> DataFrame:
     """resources with fp: what a resource means; where it was declared and rename hints do not count."""
@@ -28,7 +25,7 @@ def resource_fingerprint(resources: DataFrame) -> DataFrame:
 
 def set_digest(df: DataFrame, by: list[str], member: Column) -> DataFrame:
     """by, digest, n: content address of each group's members in any order."""
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(member)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    return df.select(*by, F.sha2(member, 256).alias("_row")).groupBy(*by).agg(multiset_digest(F.col("_row")).alias("digest"), F.count("*").alias("n"))
 
 
 def semantic_fingerprint(resources: DataFrame) -> DataFrame:
@@ -75,17 +72,17 @@ def apply_rename_hints(current: DataFrame, desired: DataFrame, hints: DataFrame)
 
 def propagate_parent_renames(current: DataFrame, desired: DataFrame, renames: DataFrame) -> DataFrame:
     """renames with those of children: same kind and name under a renamed parent, if there is just one of each."""
-    found = frontier = renames
-    for _ in range(CONTAINMENT_DEPTH):
+    known = ["target_id", "old_id", "new_id"]
+    found = frontier = checkpointed(renames.select(known).distinct())
+    while not frontier.isEmpty():
         old = current.select("target_id", "kind", "name", F.col("parent").alias("old_id"), F.col("id").alias("old_child"))
         new = desired.select("target_id", "kind", "name", F.col("parent").alias("new_id"), F.col("id").alias("new_child"))
         pairs = frontier.join(old, ["target_id", "old_id"]).join(new, ["target_id", "new_id", "kind", "name"]).filter("old_child <> new_child")
         single = pairs.groupBy("target_id", "old_id", "new_id", "kind", "name").agg(F.count("*").alias("n"), F.min("old_child").alias("o"), F.min("new_child").alias("c")).filter("n = 1")
-        frontier = checkpointed(single.select("target_id", F.col("o").alias("old_id"), F.col("c").alias("new_id")))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found.distinct()
+        # a loop of containment comes back to what is known and ends there
+        frontier = checkpointed(single.select("target_id", F.col("o").alias("old_id"), F.col("c").alias("new_id")).distinct().join(found, known, "left_anti"))
+        found = checkpointed(found.unionByName(frontier))
+    return found
 
 
 def diff_with_renames(current: DataFrame, desired: DataFrame, renames: DataFrame) -> DataFrame:

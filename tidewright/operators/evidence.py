@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.scalars import multiset_digest
+
 
 def assert_max(df: DataFrame, checks: dict[str, tuple[Column, int]]) -> DataFrame:
     """name, observed, maximum, passed: rows per predicate, all predicates counted in one pass."""
@@ -46,23 +48,10 @@ def foreign_key_violations(child: DataFrame, columns: list[str], parent: DataFra
     return child.dropna(subset=columns).join(target, on, "left_anti")
 
 
-def table_fingerprint(df: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
-    """fingerprint, n_rows: a digest of all rows in any order; repeated rows count.
-
-    Row digests are counted, then gathered in buckets by their first digits and bucket digests are
-    combined, so that no step holds more than a bucket or one digest per bucket.
-    """
+def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """fingerprint, n_rows: a digest of all rows in any order; repeated rows count. Partial sums are all that moves."""
     row = F.sha2(F.concat_ws("\x1f", *[F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]), 256)
-    counted = df.select(row.alias("row")).groupBy("row").agg(F.count("*").alias("n"))
-    bucket = F.pmod(F.conv(F.substring("row", 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    per_bucket = counted.groupBy(bucket.alias("bucket")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "row", F.col("n").cast("string")))), ","), 256).alias("digest"),
-        F.sum("n").alias("n"),
-    )
-    pairs = F.sort_array(F.collect_list(F.struct("bucket", "digest")))
-    return per_bucket.agg(
-        F.sha2(F.array_join(F.transform(pairs, lambda p: p["digest"]), ","), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
-    )
+    return df.select(row.alias("row")).agg(multiset_digest(F.col("row")).alias("fingerprint"), F.count("*").alias("n_rows"))
 
 
 def scalar_assert(query: DataFrame, expected: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.operators import catalog
-from tidewright.plans.common import Registry, table
+from tidewright.plans.common import Registry, multiset_digest_sql, table
 
 registry = Registry()
 c = F.col
@@ -38,12 +38,12 @@ def j3_diff_resources(spark, sf_dir):
     return catalog.diff_resources(current_parts(spark, sf_dir), desired_parts(spark, sf_dir))
 
 
-@registry.add(f"WITH {CUR} SELECT target_id, sha256(string_agg(id || '=' || fp, chr(10) ORDER BY id || '=' || fp)) AS digest, count(*) AS n FROM fc GROUP BY target_id")
+@registry.add(f"WITH {CUR} SELECT target_id, {multiset_digest_sql("sha256(id || '=' || fp)")} AS digest, count(*) AS n FROM fc GROUP BY target_id")
 def a8_semantic_fingerprint(spark, sf_dir):
     return catalog.semantic_fingerprint(current_parts(spark, sf_dir))
 
 
-@registry.add("SELECT n_nationkey, sha256(string_agg(c_name, chr(10) ORDER BY c_name)) AS digest, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+@registry.add(f"SELECT n_nationkey, {multiset_digest_sql('sha256(c_name)')} AS digest, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def a9_set_digest(spark, sf_dir):
     return catalog.set_digest(table(spark, sf_dir, "customer").select(c("c_nationkey").alias("n_nationkey"), "c_name"), ["n_nationkey"], c("c_name"))
 

@@ -24,3 +24,9 @@ class Registry:
             return f
 
         return register
+
+
+def multiset_digest_sql(row: str) -> str:
+    """DuckDB's expression of functions.scalars.multiset_digest over SHA-256 digests."""
+    lanes = ", ".join(f"coalesce(sum(CAST('0x' || substr({row}, {1 + 15 * i}, 15) AS BIGINT)), 0)" for i in range(4))
+    return f"sha256(concat_ws(',', count(*), {lanes}))"

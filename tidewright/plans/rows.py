@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.config import ManagedTable
 from tidewright.functions.scalars import safe_call, sanitized, stable_id, version_key
 from tidewright.operators import evidence, evolve, reconcile
-from tidewright.plans.common import Registry, table
+from tidewright.plans.common import Registry, table, multiset_digest_sql
 
 registry = Registry()
 
@@ -203,10 +203,8 @@ def a6_constraints(spark, sf_dir):
     return rows.unionByName(orphans.agg(F.lit("foreign_key:o_custkey").alias("constraint"), F.count("*").alias("violations")))
 
 
-@registry.add("""WITH r AS (SELECT sha256(concat_ws(chr(31), CASE WHEN o_orderkey IS NULL THEN '0' ELSE '1' || o_orderkey END, CASE WHEN o_custkey IS NULL THEN '0' ELSE '1' || o_custkey END, CASE WHEN o_orderpriority IS NULL THEN '0' ELSE '1' || o_orderpriority END)) AS "row" FROM orders),
-c AS (SELECT "row", count(*) AS n FROM r GROUP BY "row"),
-b AS (SELECT CAST('0x' || substr("row", 1, 8) AS BIGINT) % 4096 AS bucket, sha256(string_agg("row" || ':' || n, ',' ORDER BY "row" || ':' || n)) AS digest, sum(n) AS n FROM c GROUP BY 1)
-SELECT sha256(string_agg(digest, ',' ORDER BY bucket)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_rows FROM b""")
+@registry.add("""WITH r AS (SELECT sha256(concat_ws(chr(31), CASE WHEN o_orderkey IS NULL THEN '0' ELSE '1' || o_orderkey END, CASE WHEN o_custkey IS NULL THEN '0' ELSE '1' || o_custkey END, CASE WHEN o_orderpriority IS NULL THEN '0' ELSE '1' || o_orderpriority END)) AS "row" FROM orders)
+SELECT """ + multiset_digest_sql('"row"') + """ AS fingerprint, count(*) AS n_rows FROM r""")
 def a7_table_fingerprint(spark, sf_dir):
     return evidence.table_fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"])
 
