@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, mix, shared_folder, text_shingles, unused, utf8, word_hashes
+from tidewright.llm.common import CHUNK_BYTES, checkpointed, cuts, mix, released, shared_folder, text_shingles, unused, utf8, word_hashes
 
 BITS = 64
 #: Fingerprints in one trie group; larger groups are split by the next bits of the trie.
@@ -36,6 +36,8 @@ LEAF_PAIRS = 1024
 MAX_BROADCAST = 100_000
 #: Links of each row between components that are verified in the rounds after the forest; None: all that are left.
 ROUNDS = (16, None)
+#: Bits of a sketch, by which candidates of those rounds are sifted before they are verified.
+SKETCH_BITS = 1024
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -131,24 +133,49 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: i
     return found
 
 
-def links_between(fps, group, side, max_bits, check, max_total, root: np.ndarray, most: int | None) -> Iterator[np.ndarray]:
-    """The links (i, j) of trie_pairs between rows of different root.
+def links_between(fps, group, side, max_bits, check, max_total, root: np.ndarray, sketch: np.ndarray, max_apart: int, most: int | None) -> Iterator[np.ndarray]:
+    """The links (i, j) of trie_pairs between rows of different root whose sketches differ in at most max_apart bits.
 
     With `most`, those that are among the `most` nearest ones of an end, and (i, i) for both ends of each link that is left out.
     """
     found, more = np.zeros((0, 2), np.int64), np.zeros(len(fps), bool)
     for links in trie_pairs(fps, group, side, max_bits, check, max_total):
         links = links[root[links[:, 0]] != root[links[:, 1]]]
+        links = links[sketch_distance(sketch, links) <= max_apart]
         if most is None:
             yield links
             continue
         found = np.concatenate([found, links])
-        near = nearest_links(found, _bits(fps, *found.T) + _bits(check, *found.T), most)
+        near = nearest_links(found, sketch_distance(sketch, found), most)
         more[found[~near].ravel()] = True
         found = found[near]
     yield np.concatenate([found, np.repeat(np.flatnonzero(more)[:, None], 2, axis=1)])
 
 
+def sketch_distance(sketch: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Differing bits of the two sketches of each link, some megabytes at a time."""
+    parts = np.array_split(links, len(links) // 100_000 + 1)
+    return np.concatenate([np.bitwise_count(sketch[x[:, 0]] ^ sketch[x[:, 1]]).sum(axis=1, dtype=np.int64) for x in parts])
+
+
+def sketch_limit(similarity: float) -> int:
+    """Differing bits at a Jaccard index of `similarity`, and four standard deviations more: one pair in 30,000 has more."""
+    p = (1 - similarity) / 2
+    return int(SKETCH_BITS * p + 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+
+
+_TURNS = mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """One bit of each of SKETCH_BITS minimum hashes: two sketches differ in about (1 - Jaccard index) / 2 of them."""
+    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max)
+    for part in np.array_split(shingles, len(shingles) // 4096 + 1):
+        if len(part):
+            np.minimum(least, (_TURNS[:, None] * part).min(axis=1), out=least)
+    return np.packbits((mix(least) & np.uint64(1)).astype(bool)).tobytes()
+
+
 def trie_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int, check: np.ndarray, max_total: int) -> Iterator[np.ndarray]:
     """All links (i, j), in parts: rows of a group that differ in at most max_bits bits.
 
@@ -214,20 +241,20 @@ def _leaf(fps, check, alo, ahi, blo, bhi, max_bits, max_total) -> Iterator[np.nd
         yield np.stack([i[near], j[near]], 1)
 
 
-def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1, max_total: int = 2 * BITS, most: int | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1, max_total: int = 2 * BITS, most: int | None = None, max_apart: int = SKETCH_BITS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all at most max_bits apart.
 
     With columns node and check, links are between nodes, and of at most max_total bits with check's.
     Links of up to blocks - exact bits are all accounted for; of the longer ones, those that leave
-    `exact` blocks equal. Links of fewer bits are preferred. With column root, links are those of
-    links_between instead of forests: between different roots, `most` of a row at least, and (a, a)
-    where links of a are left out.
+    `exact` blocks equal. Links of fewer bits are preferred. With columns root and sketch, links are
+    those of links_between instead of forests: between different roots, of at most max_apart
+    differing bits of the sketches, `most` of a row at least, and (a, a) where links of a are left out.
     """
     tables = _tables(blocks, exact)
-    rounds = "root" in distinct.columns
+    rounds = ["root", "sketch"] if "root" in distinct.columns else []
     if "node" not in distinct.columns:
         distinct = distinct.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("check"))
-    row = F.struct("fp", F.col("node").alias("id"), "check", *["root"] * rounds)
+    row = F.struct("fp", F.col("node").alias("id"), "check", *rounds)
     signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
     choices = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("value")) for i, (mask, _) in enumerate(tables)])
     placed = distinct.select("fp", row.alias("row"), F.explode(choices).alias("p")).select("fp", "row", "p.*")
@@ -250,11 +277,15 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
+        def between(frame: pd.DataFrame, given: tuple) -> Iterator[np.ndarray]:
+            sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+            return links_between(*given, frame["root"].to_numpy(), sketch, max_apart, most)
+
         def solve(frame: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             fps = frame["fp"].to_numpy().view(np.uint64)
             check, ids = frame["check"].to_numpy().view(np.uint64), frame["id"].to_numpy()
             given = fps, frame["grp"].to_numpy(), frame["side"].to_numpy(), max_bits, check, max_total
-            for links in links_between(*given, frame["root"].to_numpy(), most) if rounds else [trie_links(*given)]:
+            for links in between(frame, given) if rounds else [trie_links(*given)]:
                 yield pa.record_batch([pa.array(ids[links[:, i]]) for i in range(2)], ["a", "b"])
 
         for batch in batches:
@@ -268,7 +299,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
             yield from solve(rest)
 
     order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned
-    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "id", "check", "grp", "side", *["root"] * rounds)
+    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "id", "check", "grp", "side", *rounds)
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -325,6 +356,17 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """node, sketch (see sketch_of) of sets(node, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch_of(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["node", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, sketch binary")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder: unlike a checkpoint, it does not carry the estimated sizes of its joins on, whose product grows with every round."""
     path = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
@@ -338,7 +380,8 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
     Fingerprints have 128 bits here, of distinct shingles. Candidates are nearest ones of at most
     max_total differing bits, max_bits at most in one of the halves, each of which has a trie; two are linked if the Jaccard index of their
     texts' k-word shingles is at least `similarity`, or if all 128 bits are equal. A candidate is
-    left unverified only if its ends are connected by links already. Of each connected
+    left unverified only if its ends are connected by links already, or if 1024 bits of minimum
+    hashes say that its index lies below `similarity` by four standard deviations. Of each connected
     group the row with the smallest doc_id (null before all; ties by a hash of the text) stays, of
     rows repeated with doc_id and text just one. All columns pass through.
     """
@@ -356,10 +399,10 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
     distinct = prints.groupBy(node.alias("node"), "fp", "check").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
 
     def candidates(nodes: DataFrame, most: int | None = None) -> DataFrame:
-        rest = ["root"] if "root" in nodes.columns else []
+        rest = ["root", "sketch"] if "root" in nodes.columns else []
         halves = nodes.select("fp", "node", "check", *rest), nodes.select(F.col("check").alias("fp"), "node", F.col("fp").alias("check"), *rest)
-        a, b = (near_links(half, max_bits, blocks, exact, max_total, most) for half in halves)
-        return checkpointed(a.unionByName(b).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        a, b = (near_links(half, max_bits, blocks, exact, max_total, most, sketch_limit(similarity)) for half in halves)
+        return released(a.unionByName(b).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def judged(links: DataFrame) -> DataFrame:
         sides = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
@@ -384,9 +427,10 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
     merged = apart.select("was", F.col("was").alias("now"))
     if not apart.isEmpty():
         split = distinct.select("node", "fp", "check").join(roots, F.col("node") == F.col("n"), "left").withColumn("was", F.coalesce("root", "node"))
-        split = checkpointed(split.join(apart, "was", "left_semi").select("node", "fp", "check", "was"))
+        split = split.join(apart, "was", "left_semi").select("node", "fp", "check", "was")
+        split = checkpointed(split.join(sketches(sets.join(split.select("node"), "node", "left_semi")), "node"))
         for most in ROUNDS:
-            now = checkpointed(split.join(merged, "was").select("node", "fp", "check", F.col("now").alias("root")))
+            now = checkpointed(split.join(merged, "was").select("node", "fp", "check", "sketch", F.col("now").alias("root")))
             between = candidates(now, most)
             fresh = judged(between.filter("a <> b").join(tried, ["a", "b"], "left_anti"))
             label = now.select("node", "root")
