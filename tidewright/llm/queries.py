@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import table
+from tidewright.llm.convrepair import damaged, repair
 from tidewright.llm.decontaminate import contamination
 from tidewright.llm.fingerprint import edited_likeness
+from tidewright.llm.htmltext import extract
 from tidewright.llm.linededup import drop_boilerplate
 from tidewright.llm.packing import packed_pieces
 from tidewright.llm.pii import pseudonymize
@@ -18,6 +20,7 @@ from tidewright.llm.shard import shard_rows
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.substring import remove_repeated
 from tidewright.llm.tokencount import token_counts
+from tidewright.llm.vectorcode import codebooks_sha256, compress, with_label_error
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +125,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_pii", F.array_join(F.map_keys("kinds"), ",").alias("kinds"), "text")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations"))).report
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -134,6 +150,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
         "op10_pii": op10_pii,
+        "op11_html_extraction": op11_html_extraction,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
