@@ -13,6 +13,7 @@ from tidewright.llm.decontaminate import contamination
 from tidewright.llm.fingerprint import edited_likeness
 from tidewright.llm.htmltext import extract
 from tidewright.llm.linededup import drop_boilerplate
+from tidewright.llm.oracles import REPAIRED, VECTOR_CODES
 from tidewright.llm.packing import packed_pieces
 from tidewright.llm.pii import pseudonymize
 from tidewright.llm.quality import held_out, quality_scores
@@ -157,4 +158,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {
+        "op1_decontamination": OP1_SQL,
+        "op3_substring_dedup": OP3_SQL,
+        "op9_line_dedup": OP9_SQL,
+        "op12_vector_codes": VECTOR_CODES,
+        "op13_conversation_repair": REPAIRED,
+    }
