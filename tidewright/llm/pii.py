@@ -17,10 +17,10 @@ from tidewright.llm.common import unused
 
 #: The shapes looked for, in order of preference where they begin at the same place.
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "secret": r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)",
-    "date": r"(?<![0-9A-Za-z/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![0-9A-Za-z/]|-\d)",
+    "date": r"(?<![0-9A-Za-z/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?!(?!T\d)[0-9A-Za-z/]|-\d)",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-\d)",
     "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![0-9A-Za-z])",
@@ -146,10 +146,14 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The ten digits after the country code change, the shape stays."""
+    """A number whose area and exchange begin with 2 to 9 becomes another such one; the shape stays."""
     digits = _only_digits(m)
     own = F.right(digits, F.lit(10))
-    return _fill(m, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), permuted_digits(own, F.lit("phone"), key)))
+    area, exchange, line = (F.substr(own, F.lit(i), F.lit(n)).cast("int") for i, n in ((1, 3), (4, 3), (7, 4)))
+    out = feistel((area - 200) * 800 + exchange - 200, line, F.lit(800 * 800), F.lit(10_000), F.lit("phone"), key)
+    text = lambda s: F.concat((F.floor(s["l"] / 800) + 200).cast("string"), (F.pmod(s["l"], F.lit(800)) + 200).cast("string"), _digits_of(s["r"], F.lit(4)))
+    new = F.transform(F.array(out), text)[0]
+    return F.when((area >= 200) & (exchange >= 200), _fill(m, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), new)))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -164,19 +168,34 @@ def _secret(m: Column, key: str) -> Column:
 _NEW = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def shape_of(match: Column) -> Column:
+    """Which of the shapes a match of PATTERN has; its length and marks tell them apart."""
+    mask = F.translate(match, "123456789", "000000000")
+    return (
+        F.when(F.contains(match, F.lit("@")), "email")
+        .when(F.length(match) >= 32, "secret")
+        .when(mask.isin("0000-00-00", "00/00/0000"), "date")
+        .when(mask == "000-00-0000", "ssn")
+        .when((F.length(F.replace(match, F.lit("."))) == F.length(match) - 3) & ~F.startswith(match, F.lit("+")), "ip")
+        .when(F.length(F.replace(mask, F.lit("0"))) <= F.length(mask) - 13, "card")
+        .otherwise("phone")
+    )
+
+
 def pseudonym(match: Column, key: str) -> Column:
-    """struct (kind, new) of a match; kind and new are null if validation fails."""
-    kind = F
-    for name, shape in SHAPES.items():
-        kind = kind.when(match.rlike(f"^(?:{shape})$"), F.struct(F.lit(name).alias("kind"), _NEW[name](match, key).alias("new")))
-    return kind
+    """struct (kind, new) of a match; new is null if validation fails."""
+    shape, new = shape_of(match), F
+    for name, make in _NEW.items():
+        new = new.when(shape == name, make(match, key))
+    return F.struct(shape.alias("kind"), new.alias("new"))
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", counts: tuple[str, str] = ("n_pii", "kinds")) -> DataFrame:
     """docs with the personal data in `text` replaced; more columns n_pii and kinds (map: kind -> count).
 
     Candidates that fail validation stay. Null texts stay null with no findings; other columns pass
-    through, and so do repeated rows. Texts without candidates are not changed. The two columns take
+    through, and so do repeated rows. Texts without candidates are not changed. Patterns try a bounded number of ways at each
+    place (a domain has 126 labels of 63 characters at most), so a text of any length is searched in bounded stack and linear time. The two columns take
     the place of columns of these names. A text without digits and @ has no candidates and is not
     searched: each shape needs one of them.
     """
