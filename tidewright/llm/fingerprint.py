@@ -93,12 +93,12 @@ def _hashes(fingerprint: Column) -> Column:
 def merged_sketches(sketched: DataFrame, by: list[str], k: int = K) -> DataFrame:
     """by, hashes (ascending) of each group of sketched(by, fingerprint): the sketch of all its parts together.
 
-    Each task keeps k hashes a group before anything is shuffled, so a group may hold any share of the
-    rows. A group of empty sketches has an empty one; repeated rows change nothing; null keys are one
+    Hashes that parts share become one before they are ranked, and each task ranks its own ones first and sends k of a group
+    on, so that a group may hold any share of the rows, copies of one sketch included. A group of empty sketches has an empty one; repeated rows change nothing; null keys are one
     group. Hashes are longs that order as the unsigned ones do.
     """
-    h = sketched.select(*by, F.explode_outer(_hashes(F.col("fingerprint"))).alias("h"))
-    place = F.dense_rank().over(W.partitionBy(*by).orderBy(F.asc_nulls_last("h")))
+    h = sketched.select(*by, F.explode_outer(_hashes(F.col("fingerprint"))).alias("h")).distinct()
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.asc_nulls_last("h")))
     least = h.withColumn("place", place).filter(F.col("place") <= k)
     return least.groupBy(*by).agg(F.sort_array(F.collect_set("h")).alias("hashes"))
 
