@@ -10,13 +10,14 @@ exact quotas; no step ranks rows in one task. DataFrame functions only.
 
 from __future__ import annotations
 
+from itertools import count as numbers
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import checkpointed, shuffle_partitions
 
-ROUNDS = 24
 #: A group of more than 1 / (LARGE * shards) of all rows is large; there are fewer than LARGE * shards.
 LARGE = 4
 
@@ -52,17 +53,18 @@ def _drawn(u: Column, weights: list[int]) -> Column:
     return F.size(F.filter(ends, lambda end: end <= u)).cast("int")
 
 
-def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(cells: DataFrame, quota: list[int]) -> DataFrame:
     """cells(grp, home, n) with the shard that label propagation gives each.
 
     A cell moves to the shard with most rows of its group (ties by a hash), within what that shard
     has room for and gives away in the same round; if more want to move, a hash of cell and round
-    chooses. It ends when no cell wants to move, or none can.
+    chooses. It ends when no cell wants to move, or none can. A group's best shard only gains by moves and stays its best, so
+    it does end.
     """
     shards = len(quota)
     cells = checkpointed(cells.withColumn("shard", F.col("home")))
     load = _per_shard(cells, "shard", "n", shards)
-    for step in range(rounds):
+    for step in numbers():
         votes = F.sum("n").over(W.partitionBy("grp", "shard"))
         rank = F.struct(F.col("votes"), F.xxhash64("grp", "shard").alias("tie"), F.col("shard").alias("shard"))
         wish = cells.withColumn("votes", votes).withColumn("rank", rank).withColumn("best", F.max("rank").over(W.partitionBy("grp")))
@@ -77,7 +79,7 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         moves = draw < F.get(_numbers(share, "double"), F.col("to"))
         cells = checkpointed(wish.withColumn("shard", F.when(moves, F.col("to")).otherwise(F.col("shard"))).select("grp", "home", "n", "shard"))
         load = _per_shard(cells, "shard", "n", shards)
-    return cells
+    raise AssertionError("numbers end")
 
 
 def _shuffled_rank(df: DataFrame, key: str, parts: int) -> DataFrame:
