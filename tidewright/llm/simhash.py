@@ -267,7 +267,11 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
     below = F.expr("shiftrightunsigned(fp, next_bit) | CASE WHEN next_bit = 0 THEN 0L ELSE shiftleft(fp, 64 - next_bit) END")
     nodes = F.expr("shiftleft(1L, depth) - 1")
     placed = placed.withColumn("next_bit", next_bit).withColumn("node", below.bitwiseAND(nodes))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), nodes), lambda x: F.bit_count(x.bitwiseXOR(F.col("node"))) <= max_bits)
+    # the paths that differ from a node's in at most max_bits of depth bits, built bit by bit: no others are looked at
+    none = F.array(F.lit(0).cast("long"))
+    with_bit = lambda masks, b: F.concat(masks, F.transform(F.filter(masks, lambda m: F.bit_count(m) < max_bits), lambda m: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+    masks = F.when(F.col("depth") > 0, F.aggregate(F.sequence(F.lit(0), F.col("depth") - 1), none, with_bit)).otherwise(none)
+    others = F.transform(masks, lambda m: m.bitwiseXOR(F.col("node")))
     pairs = placed.select("row", "block", "value", "node", F.explode(others).alias("other")).select(
         "row.*",
         F.xxhash64("block", "value", F.least("node", "other"), F.greatest("node", "other")).alias("grp"),
