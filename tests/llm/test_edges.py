@@ -302,10 +302,12 @@ def test_op8_pieces_cover_all(docs):
     assert sum(r["length"] for r in rows if r["doc_id"] == 11) == 2 * next(r["doc_tokens"] for r in rows if r["doc_id"] == 11)
 
 
-def test_op9_never_empties_a_page(spark):
-    rows = [(i, "h", "menu\nfoot") for i in range(5)] + [(i, "h", f"menu\n\ntext {i}") for i in range(5, 10)] + [(10, None, None)]
+def test_op9_drops_by_the_ratio_alone(spark):
+    rows = [(i, "h", "menu\nfoot\n") for i in range(5)] + [(i, "h", f"menu\n\ntext {i}") for i in range(5, 10)] + [(10, None, None), (11, "small", "menu\nonce"), (12, "small", "menu"), (13, "one", "menu")]
     found = by_id(linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, host string, text string")))
-    assert found[0]["text"] == "menu\nfoot" and found[7]["text"] == "\ntext 7" and found[7]["n_dropped"] == 1 and found[10]["text"] is None
+    assert (found[0]["text"], found[0]["n_dropped"]) == ("", 2)
+    assert (found[7]["text"], found[7]["n_dropped"]) == ("\ntext 7", 1) and found[10]["text"] is None
+    assert (found[11]["text"], found[12]["text"], found[13]["text"]) == ("once", "", "menu")
 
 
 def test_op10_formats(docs):
@@ -321,6 +323,119 @@ def test_op10_formats(docs):
     assert other[11][0]["text"] != text and found[6][0]["text"] is None
 
 
+@pytest.mark.parametrize("atom", ["a.", "a-", "x@", "@", "1 ", "1-", "1.", "1", "a", "1/", "(1", "a@b.", "1234 ", "10.", "f1"])
+def test_op10_long_runs_end(spark, atom):
+    """Texts of a megabyte of one thing, each after something that begins a match."""
+    texts = [head + atom * (1_000_000 // len(atom)) for head in ("", "x@", "a@b.c", "10.1.")]
+    rows = pii.pseudonymize(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "key").collect()
+    assert len(rows) == 4 and all(r["text"] == texts[r["doc_id"]] for r in rows if not r["n_pii"])
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits)))
+
+
+def plain_pseudonym(kind, m, key):
+    """What a match becomes, in Python's integers; None if it is not valid."""
+    import datetime
+    import hashlib
+
+    sha = lambda *parts: hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+    def feistel(left, right, m, n, tweak):
+        for i in range(pii.ROUNDS):
+            if i % 2 == 0:
+                left = (left + int(sha(key, tweak, i, right)[:15], 16)) % m
+            else:
+                right = (right + int(sha(key, tweak, i, left)[:15], 16)) % n
+        return left, right
+
+    digits = re.sub(r"\D", "", m)
+    fill = lambda new: re.sub(r"\d", lambda _, it=iter(new): next(it), m)
+    if kind == "email":
+        return f"u{sha(key, 'email', m.lower())[:16]}@mail.invalid"
+    if kind == "secret":
+        return sha(key, "secret", m)[: len(m)]
+    if kind == "ip":
+        a = [int(x) for x in m.split(".")]
+        if max(a) > 255:
+            return None
+        x, y = feistel(a[0] * 256 + a[1], a[2] * 256 + a[3], 65536, 65536, "ip")
+        return f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+    if kind == "date":
+        for form in ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y"):
+            try:
+                day = datetime.datetime.strptime(m, form).date()
+                break
+            except ValueError:
+                continue
+        else:
+            return None
+        century = day.year // 100
+        first = datetime.date(century * 100, 1, 1)
+        mm, nn = (75, 487) if century % 4 == 0 else (92, 397)
+        x, y = feistel((day - first).days // nn, (day - first).days % nn, mm, nn, f"date{century}")
+        moved = first + datetime.timedelta(x * nn + y)
+        return f"{moved.year:04}-{moved.month:02}-{moved.day:02}" if "-" in m else (f"{moved.month:02}/{moved.day:02}/{moved.year:04}" if form == "%m/%d/%Y" else f"{moved.day:02}/{moved.month:02}/{moved.year:04}")
+    if kind == "ssn":
+        area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+        if area in (0, 666) or area > 899 or not group or not serial:
+            return None
+        x, y = feistel((area - 2 if area > 666 else area - 1) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+        i = x // 99
+        return f"{i + 2 if i >= 665 else i + 1:03}-{x % 99 + 1:02}-{y + 1:04}"
+    if kind == "phone":
+        own = digits[-10:]
+        if own[0] in "01" or own[3] in "01":
+            return None
+        x, y = feistel((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200, int(own[6:]), 640_000, 10_000, "phone")
+        return fill(f"{digits[:-10]}{x // 800 + 200}{x % 800 + 200}{y:04}")
+    if luhn(digits) % 10:
+        return None
+    body, n = digits[1:-1], len(digits) - 2
+    a = n // 2
+    x, y = feistel(int(body[:a]), int(body[a:]), 10**a, 10 ** (n - a), f"card{digits[0]}{n}")
+    new = f"{digits[0]}{x:0{a}}{y:0{n - a}}"
+    return fill(new + str(-luhn(new + "0") % 10))
+
+
+def plain_pii(text, key):
+    import regex
+
+    kinds, out, at = {}, [], 0
+    for m in regex.finditer("|".join(f"(?P<{k}>{p})" for k, p in pii.SHAPES.items()).replace(r"\1", r"(?P=g1)").replace(r"\2", r"(?P=g2)").replace("([ -])\\d{4}(?P=g1)", "(?P<g1>[ -])\\d{4}(?P=g1)").replace("([ -])\\d{6}(?P=g2)", "(?P<g2>[ -])\\d{6}(?P=g2)"), text, regex.ASCII):
+        kind = next(k for k in pii.SHAPES if m.group(k) is not None)
+        new = plain_pseudonym(kind, m.group(0), key)
+        if new is not None:
+            kinds[kind] = kinds.get(kind, 0) + 1
+        out += [text[at : m.start()], m.group(0) if new is None else new]
+        at = m.end()
+    return "".join(out) + text[at:], kinds
+
+
+def test_op10_brute_force(spark):
+    rng = np.random.default_rng(11)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    card = lambda n: (lambda d: d + str(-luhn(d + "0") % 10))(str(rng.integers(1, 10)) + digits(n - 2))
+    texts = [
+        "at 2024-01-15T10:00:00Z, 2024-01-15Tea, 2024-01-15, 02/29/2000, 31/12/1999, 02/30/2000, 1900-02-29, 2024-01-155, 0000-01-01",
+        "mail a.b+c@d-e.example.co.uk, x@y.com-z, x@y.z9.com. x@-.aa <q@w.museum> @a.bc a@b a@b.c1",
+        "+1 (743) 555-3824, (143) 555-3824, 743-155-3824, 743.555 3824, +1.743-555-3824, 555-12-3456, 000-12-3456, 666-12-3456, 900-12-3456, 123-45-6789",
+        "1.2.3.4 256.1.1.1 1.2.3.4.5 01.02.03.004 v1.2.3.4",
+        f"{'ab12' * 8} {'a' * 40} {'0f' * 32} {'ab12' * 9}",
+    ]
+    for _ in range(60):
+        c = card(16)
+        texts.append(f"{card(13)} {card(19)} {c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]} {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} {digits(16)} {rng.integers(1, 300)}.{rng.integers(0, 256)}.1.9 {digits(3)}-{digits(2)}-{digits(4)} ({digits(3)}) {digits(3)}-{digits(4)} {digits(4)}-{digits(2)}-{digits(2)} {digits(2)}/{digits(2)}/{digits(4)}")
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["text"], r["kinds"], r["n_pii"]) for r in pii.pseudonymize(df, "key").collect()}
+    for i, t in enumerate(texts):
+        text, kinds = plain_pii(t, "key")
+        assert found[i] == (text, kinds, sum(kinds.values())), t[:300]
+    assert {k for t in texts for k in plain_pii(t, "key")[1]} == set(pii.SHAPES)
+
+
 def test_op10_is_a_permutation(spark):
     df = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("d"))
     assert df.select(pii.permuted_digits(F.col("d"), F.lit("t"), "key").alias("p")).distinct().count() == 100

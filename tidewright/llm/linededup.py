@@ -25,8 +25,11 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("h"), F.hash(F.trim(line)).alias("h2"))
 
 
-def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """host, hashes: the lines that more than `ratio` of the host's pages hold, and at least min_pages."""
+def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
+    """host, hashes: the lines that more than `ratio` of the host's pages hold, and at least min_pages.
+
+    With min_pages = 2 a line of a single page is no boilerplate, even of a host with few pages.
+    """
     lines = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _hash))
     held = pages.select(F.col(host).alias("host"), F.explode(lines).alias("line"))
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
@@ -36,12 +39,12 @@ def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio:
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.1, min_pages: int = 3, counts: tuple[str, str] | None = ("n_lines", "n_dropped")
+    pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.1, min_pages: int = 2, counts: tuple[str, str] | None = ("n_lines", "n_dropped")
 ) -> DataFrame:
     """pages with the boilerplate lines of their host taken out of `text`.
 
-    Lines are compared without blanks around them; blank lines are never dropped. A page that would
-    lose every line that is not blank keeps them all: whole copies are for document dedup. Null and
+    Lines are compared without blanks around them; blank lines are never dropped. A page that is
+    boilerplate throughout keeps its blank lines only. Null and
     empty texts stay as they are. Null hosts are one host. Rows that are repeated count as pages
     each. Other columns pass through. counts: names of two more columns, the lines of a page and
     those dropped, which take the place of columns of these names; None for none.
@@ -51,9 +54,7 @@ def drop_boilerplate(
     size = lists.agg(F.coalesce(F.sum(F.size(hashes_) + 1), F.lit(0))).first()[0]
     joined = pages.join(F.broadcast(lists) if size <= MAX_BROADCAST else lists, F.col(host).eqNullSafe(F.col(own_host)), "left")
     hashes = F.coalesce(hashes_, F.expr("cast(array() as array<struct<h:bigint,h2:int>>)"))
-    full = F.size(F.filter(all_, lambda x: F.trim(x) != ""))
-    kept_full = F.size(F.filter(kept_, lambda x: F.trim(x) != ""))
-    dropped = F.when((kept_full == 0) & (full > 0), 0).otherwise(F.size(all_) - F.size(kept_))
+    dropped = F.size(all_) - F.size(kept_)
     lines = (
         joined.withColumn(all_, _lines(F.col(text)))
         .withColumn(kept_, F.when(F.size(hashes) == 0, F.col(all_)).otherwise(F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(hashes, _hash(x)))))

@@ -105,7 +105,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drop_boilerplate(table(spark, sf_dir, "documents"), host="source", ratio=0.1, min_pages=3)
+    found = drop_boilerplate(table(spark, sf_dir, "documents"), host="source", ratio=0.1, min_pages=2)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -113,11 +113,11 @@ OP9_SQL = r"""
 WITH l AS (SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 c AS (SELECT source, trim(line) AS line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-b AS (SELECT c.source, line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > total * CAST(0.1 AS DOUBLE)),
+b AS (SELECT c.source, line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > total * CAST(0.1 AS DOUBLE)),
 m AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line),
-d AS (SELECT doc_id, count(*) AS n_lines, CASE WHEN count(*) FILTER (trim(line) <> '' AND NOT gone) = 0 THEN 0 ELSE count(*) FILTER (gone) END AS n_dropped,
-             string_agg(line, chr(10) ORDER BY p) AS whole, string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
-SELECT doc_id, n_lines, n_dropped, sha256(CASE WHEN n_dropped = 0 THEN whole ELSE kept END) AS kept_sha256 FROM d
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+             string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d
 """
 
 
