@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    kept = drop_boilerplate(docs, host="source", ratio=0.1, min_pages=3, counts=None)
+    kept = drop_boilerplate(docs, host="source", ratio=0.1, min_pages=2, counts=None)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
