@@ -1,8 +1,7 @@
-"""Walks and merges of any depth are whole, or an error where a limit is given."""
+"""Walks of any depth are whole."""
 
 import inspect
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import catalog, history
@@ -10,9 +9,9 @@ from tidewright.operators import catalog, history
 CHAIN = [("t", f"n{i}", f"n{i + 1}") for i in range(6)]
 
 
-def test_walks_have_no_silent_limit(spark):
-    for walk in (catalog.reachable, catalog.in_or_behind_cycles, history.reachable_edges):
-        assert inspect.signature(walk).parameters["max_rounds"].default is None
+def test_walks_have_no_limit(spark):
+    for walk in (catalog.reachable, catalog.in_or_behind_cycles, catalog.change_levels, history.reachable_edges):
+        assert "max_rounds" not in inspect.signature(walk).parameters
     edges = spark.createDataFrame(CHAIN, "target_id string, id string, dep string")
     start = edges.filter("id = 'n0'").select("target_id", "id")
     assert catalog.reachable(start, edges).count() == 7
@@ -20,25 +19,6 @@ def test_walks_have_no_silent_limit(spark):
     parents = edges.select("id", F.col("dep").alias("parent"))
     begin = start.withColumn("base", F.lit("n6"))
     assert history.reachable_edges(begin, parents).count() == 7
-    for cut in (
-        lambda: catalog.reachable(start, edges, max_rounds=3),
-        lambda: catalog.in_or_behind_cycles(edges, max_rounds=3),
-        lambda: history.reachable_edges(begin, parents, max_rounds=3),
-    ):
-        with pytest.raises(ValueError, match="3 rounds"):
-            cut()
-
-
-def merged(spark, base, over):
-    df = spark.createDataFrame([(base, over)], "a string, b string")
-    return df.select(F.to_json(catalog.overlay(F.parse_json("a"), F.parse_json("b")))).first()[0]
-
-
-def test_overlay_never_loses_keys_below_its_depth(spark):
-    assert merged(spark, '{"a":{"b":{"c":{"d":1,"x":2}}}}', '{"a":{"b":{"c":{"d":3}}}}') == '{"a":{"b":{"c":{"d":3,"x":2}}}}'
-    assert merged(spark, '{"a":{"b":{"c":{"d":1}}}}', '{"a":{"b":{"c":{"d":{"e":3}}}}}') == '{"a":{"b":{"c":{"d":{"e":3}}}}}'
-    with pytest.raises(Exception, match="deeper than depth"):
-        merged(spark, '{"a":{"b":{"c":{"d":{"e":1,"x":2}}}}}', '{"a":{"b":{"c":{"d":{"e":3}}}}}')
 
 
 def test_renames_follow_parents_of_any_depth(spark):

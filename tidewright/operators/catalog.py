@@ -8,19 +8,40 @@ frontier that only holds what the last round found.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions.canonical import canonical_or_text
 from tidewright.functions.scalars import digest, glob, multiset_digest
+from tidewright.operators import graphs
+from tidewright.operators.graphs import in_or_behind_cycles, reachable
 from tidewright.session import checkpointed
 
+__all__ = ["in_or_behind_cycles", "reachable"]
 
-def resource_fingerprint(resources: DataFrame) -> DataFrame:
-    """resources with fp: what a resource means; where it was declared and rename hints do not count."""
-    return resources.withColumn("fp", digest("resource", F.col("kind"), F.col("name"), F.col("parent"), F.col("spec")))
+#: The kinds that hand access over, the annotation that holds rename hints, and the order of operations.
+ACCESS = ("grant", "membership", "default_privilege")
+RENAME_HINTS = "rename_hints"
+RANK = {"rename": "1", "alter": "1", "create": "2", "drop": "3"}
+
+
+def resource_fingerprint(resources: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """resources with fp: what a resource means; where it was declared and rename hints do not count.
+
+    Specs, and annotations if there is such a column, count by their canonical JSON. edges(target_id, id, dep; more columns: type)
+    are what a resource depends on, in any order; a mergeable digest of them is joined, so that a hub is never gathered.
+    """
+    parts = [F.col("kind"), F.col("name"), F.col("parent"), canonical_or_text(F.col("spec"))]
+    if "annotations" in resources.columns:
+        parts.append(canonical_or_text(F.col("annotations")))
+    if edges is None:
+        return resources.withColumn("fp", digest("resource", *parts))
+    kind = F.coalesce("type", F.lit("")) if "type" in edges.columns else F.lit("")
+    linked = set_digest(edges.withColumn("_to", F.concat_ws("\0", "dep", kind)).dropDuplicates(["target_id", "id", "_to"]), ["target_id", "id"], F.col("_to"))
+    joined = resources.join(linked.select("target_id", "id", F.col("digest").alias("_edges")), ["target_id", "id"], "left")
+    return joined.withColumn("fp", digest("resource", *parts, F.col("_edges"))).select(*resources.columns, "fp")
 
 
 def set_digest(df: DataFrame, by: list[str], member: Column) -> DataFrame:
@@ -28,15 +49,25 @@ def set_digest(df: DataFrame, by: list[str], member: Column) -> DataFrame:
     return df.select(*by, F.sha2(member, 256).alias("_row")).groupBy(*by).agg(multiset_digest(F.col("_row")).alias("digest"), F.count("*").alias("n"))
 
 
-def semantic_fingerprint(resources: DataFrame) -> DataFrame:
-    """target_id, digest, n of whole documents."""
-    return set_digest(resource_fingerprint(resources), ["target_id"], F.concat_ws("=", "id", "fp"))
+def semantic_fingerprint(resources: DataFrame, edges: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
+    """target_id, digest, n of whole documents: their resources with what these depend on.
+
+    annotations(target_id, key, value) of documents are members too, but for rename hints.
+    """
+    members = resource_fingerprint(resources, edges).select("target_id", F.concat_ws("=", "id", "fp").alias("member"))
+    if annotations is not None:
+        notes = annotations.filter(F.col("key") != RENAME_HINTS)
+        members = members.unionByName(notes.select("target_id", F.concat_ws("\0", F.lit("annotation"), "key", canonical_or_text(F.col("value"))).alias("member")))
+    return set_digest(members, ["target_id"], F.col("member"))
+
 
+def diff_resources(current: DataFrame, desired: DataFrame, current_edges: DataFrame | None = None, desired_edges: DataFrame | None = None) -> DataFrame:
+    """target_id, id, op (create, alter, drop) by fingerprints; specs are not moved for what is equal.
 
-def diff_resources(current: DataFrame, desired: DataFrame) -> DataFrame:
-    """target_id, id, op (create, alter, drop) by fingerprints; specs are not moved for what is equal."""
-    a = resource_fingerprint(current).select("target_id", "id", F.col("fp").alias("before"))
-    b = resource_fingerprint(desired).select("target_id", "id", F.col("fp").alias("after"))
+    With both sides' edges a resource that only depends on something else is altered.
+    """
+    a = resource_fingerprint(current, current_edges).select("target_id", "id", F.col("fp").alias("before"))
+    b = resource_fingerprint(desired, desired_edges).select("target_id", "id", F.col("fp").alias("after"))
     op = F.when(F.col("before").isNull(), "create").when(F.col("after").isNull(), "drop").when(F.col("before") != F.col("after"), "alter")
     return a.join(b, ["target_id", "id"], "full_outer").withColumn("op", op).filter("op is not null").select("target_id", "id", "op", "before", "after")
 
@@ -97,22 +128,6 @@ def diff_with_renames(current: DataFrame, desired: DataFrame, renames: DataFrame
     return plain.select("target_id", "id", "op", F.lit(None).cast("string").alias("old_id")).unionByName(renamed).unionByName(altered.select("target_id", "id", F.lit("alter").alias("op"), F.lit(None).cast("string").alias("old_id")))
 
 
-def reachable(start: DataFrame, edges: DataFrame, forward: bool = True, max_rounds: int | None = None) -> DataFrame:
-    """target_id, id: start and all that its edges reach (forward: dependencies; else dependents).
-
-    More than max_rounds rounds are an error; None for as many as it takes.
-    """
-    steps = edges.select("target_id", F.col("id" if forward else "dep").alias("id"), F.col("dep" if forward else "id").alias("to"))
-    seen = frontier = checkpointed(start.select("target_id", "id").distinct())
-    for _ in count() if max_rounds is None else range(max_rounds):
-        nxt = frontier.join(steps, ["target_id", "id"]).select("target_id", F.col("to").alias("id")).distinct()
-        frontier = checkpointed(nxt.join(seen, ["target_id", "id"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(frontier))
-    raise ValueError(f"the edges reach further than {max_rounds} rounds")
-
-
 def select_closure(resources: DataFrame, edges: DataFrame, contains: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """target_id, id: resources that the globs select, by id, name or kind:name.
 
@@ -131,43 +146,87 @@ def select_closure(resources: DataFrame, edges: DataFrame, contains: DataFrame,
     return kept
 
 
-def in_or_behind_cycles(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """target_id, id: nodes left when nodes without remaining dependencies are taken away again and again.
-
-    More than max_rounds rounds are an error; None for as many as it takes.
-    """
-    left = checkpointed(edges.select("target_id", "id", "dep").distinct())
-    for _ in count() if max_rounds is None else range(max_rounds):
-        stuck = left.select("target_id", F.col("id").alias("dep")).distinct()
-        nxt = checkpointed(left.join(stuck, ["target_id", "dep"], "left_semi"))
-        if nxt.count() == left.count():
-            return left.select("target_id", "id").distinct()
-        left = nxt
-    raise ValueError(f"not settled within {max_rounds} rounds")
-
-
-def change_levels(changes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def change_levels(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """target_id, id, level: the longest chain of changes that must come before; edges must have no cycle."""
     nodes = changes.select("target_id", "id").distinct()
     inner = edges.join(nodes, ["target_id", "id"], "left_semi").join(nodes.withColumnRenamed("id", "dep"), ["target_id", "dep"], "left_semi").distinct()
-    inner = checkpointed(inner)
-    levels = frontier = checkpointed(nodes.withColumn("level", F.lit(0)))
-    for _ in range(max_rounds):
-        raised = frontier.withColumnRenamed("id", "dep").join(inner, ["target_id", "dep"]).groupBy("target_id", "id").agg((F.max("level") + 1).alias("level"))
-        frontier = checkpointed(raised)
-        if frontier.isEmpty():
-            return levels
-        levels = checkpointed(levels.unionByName(frontier).groupBy("target_id", "id").agg(F.max("level").alias("level")))
-    raise ValueError(f"no order within {max_rounds} rounds: the edges have a cycle")
+    levels, cyclic = graphs.levels(nodes, inner)
+    if not cyclic.isEmpty():
+        raise ValueError("no order: the edges have a cycle")
+    return levels
 
 
 def drop_order_edges(changes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between changes(target_id, id, op): creates follow dependencies, drops go before them, renames before alters."""
+    """Edges between changes(target_id, id, op): drops go before what they depend on, others after it."""
     a = changes.select("target_id", "id", F.col("op").alias("op"))
-    b = changes.select("target_id", F.col("id").alias("dep"), F.col("op").alias("dep_op"))
+    b = changes.select("target_id", F.col("id").alias("dep"))
     e = edges.join(a, ["target_id", "id"]).join(b, ["target_id", "dep"])
-    both_drop = (F.col("op") == "drop") & (F.col("dep_op") == "drop")
-    return e.select("target_id", F.when(both_drop, F.col("dep")).otherwise(F.col("id")).alias("id"), F.when(both_drop, F.col("id")).otherwise(F.col("dep")).alias("dep"))
+    drops = F.col("op") == "drop"
+    return e.select("target_id", F.when(drops, F.col("dep")).otherwise(F.col("id")).alias("id"), F.when(drops, F.col("id")).otherwise(F.col("dep")).alias("dep"))
+
+
+def change_edges(changes: DataFrame, current_edges: DataFrame, desired_edges: DataFrame) -> DataFrame:
+    """target_id, id, dep, weight: which changes wait for which, as change ids.
+
+    changes: target_id, change_id, op, before_id, after_id, kind, parent (of the resource after the change, or before a drop).
+    An alteration waits for the renaming to the id it alters. Drops come before what the dropped depends on and before its
+    parent, all others after these. What is dropped under a parent, but for columns, comes before columns of it are dropped or
+    renamed. Grants and the like come after all else that is not dropped, and are dropped before all else is.
+
+    The last two would be edges of all pairs; instead, one side waits for a node of its own (its id begins with \1) and that
+    node for the other side, at no weight.
+    """
+    key, c = "target_id", F.col
+    r = changes.withColumn("id", F.coalesce("after_id", "before_id"))
+    renamed = changes.filter("op = 'rename'").select(key, c("after_id").alias("before_id"), c("change_id").alias("dep"))
+    after_rename = changes.filter("op = 'alter'").join(renamed, [key, "before_id"]).select(key, c("change_id").alias("id"), "dep", F.lit(1).alias("weight"))
+    # a resource's change: its alteration, if it is renamed as well
+    known = r.select(key, c("id").alias("of"), "op", "change_id").unionByName(r.filter("before_id <> id").select(key, c("before_id").alias("of"), "op", "change_id"))
+    owner = known.groupBy(key, "of").agg(F.min_by("change_id", F.struct("op", "change_id")).alias("owner"))
+    parents = r.filter("parent is not null").select(key, "change_id", "op", c("parent").alias("of"))
+    own = lambda edges, drop: edges.join(r.filter((c("op") == "drop") == F.lit(drop)).select(key, "id", "change_id", "op"), [key, "id"]).select(key, "change_id", "op", c("dep").alias("of"))
+    needs = own(current_edges, True).unionByName(own(desired_edges, False)).unionByName(parents).join(owner, [key, "of"]).filter("owner <> change_id")
+    drops = c("op") == "drop"
+    by_need = needs.select(key, F.when(drops, c("owner")).otherwise(c("change_id")).alias("id"), F.when(drops, c("change_id")).otherwise(c("owner")).alias("dep"), F.lit(1).alias("weight"))
+
+    def barrier(name: Column, waiting: DataFrame, first: DataFrame) -> DataFrame:
+        """Edges by which all of `waiting` come after all of `first` with the same name."""
+        w, f = waiting.select(key, name.alias("node"), "change_id"), first.select(key, name.alias("node"), "change_id")
+        both = w.select(key, "node").distinct().join(f.select(key, "node").distinct(), [key, "node"])
+        up = w.join(both, [key, "node"]).select(key, c("change_id").alias("id"), c("node").alias("dep"), F.lit(1).alias("weight"))
+        return up.unionByName(f.join(both, [key, "node"]).select(key, c("node").alias("id"), c("change_id").alias("dep"), F.lit(0).alias("weight")))
+
+    column = c("kind") == "column"
+    had_parent = changes.filter("parent is not null and before_id is not null")
+    columns = barrier(F.concat(F.lit("\1columns:"), "parent"), had_parent.filter(column & c("op").isin("drop", "rename")), had_parent.filter(~column & drops))
+    access = c("kind").isin(*ACCESS)
+    granted = barrier(F.lit("\1granted"), changes.filter(access & ~drops), changes.filter(~access & ~drops))
+    revoked = barrier(F.lit("\1revoked"), changes.filter(~access & drops), changes.filter(access & drops))
+    return reduce(DataFrame.unionByName, [after_rename, by_need, columns, granted, revoked]).distinct()
+
+
+def change_sort_key(op: Column, kind: Column, parent: Column, ordinal: Column, name: Column, change_id: Column) -> Column:
+    """What orders changes of a level: operation, kind, parent, a created column's ordinal, name, id."""
+    rank = F
+    for k, v in RANK.items():
+        rank = rank.when(op == k, v)
+    place = F.when((op == "create") & (kind == "column") & ordinal.isNotNull(), F.concat(F.lpad(ordinal.cast("string"), 9, "0"), F.lit("\0"))).otherwise("")
+    empty = lambda x: F.coalesce(x, F.lit(""))
+    return F.concat_ws("\0", rank, empty(kind), empty(parent), F.concat(place, empty(name)), change_id)
+
+
+def change_order(changes: DataFrame, current_edges: DataFrame, desired_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ordered, cyclic): changes with level and sort_key, and target_id, change_id of those in or behind a cycle.
+
+    changes as for change_edges, with name and ordinal (may be null) as well. By (target_id, level, sort_key) every change
+    comes after all that it waits for.
+    """
+    nodes = changes.select("target_id", F.col("change_id").alias("id"))
+    levels, cyclic = graphs.levels(nodes, change_edges(changes, current_edges, desired_edges))
+    own = changes.join(levels.withColumnRenamed("id", "change_id"), ["target_id", "change_id"])
+    key = change_sort_key(*[F.col(k) for k in ("op", "kind", "parent", "ordinal", "name", "change_id")])
+    real = cyclic.withColumnRenamed("id", "change_id").join(changes.select("target_id", "change_id"), ["target_id", "change_id"], "left_semi")
+    return own.withColumn("sort_key", key), real
 
 
 def phases(steps: DataFrame, by: list[str], order: str, mode: str) -> DataFrame:
@@ -205,16 +264,3 @@ def explode_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = documents.select("target_id", F.explode(F.from_json("document", schema)["resources"]).alias("r"))
     edges = rows.select("target_id", F.col("r.id").alias("id"), F.explode("r.dependencies").alias("d")).select("target_id", "id", F.col("d.target").alias("dep"), F.col("d.type").alias("type"))
     return rows.select("target_id", "r.id", "r.kind", "r.name"), edges
-
-
-def overlay(base: Column, over: Column, depth: int = 4) -> Column:
-    """Deep merge of two variants: objects merge by key, anything else is replaced, JSON null included.
-
-    Objects that would have to merge below the given depth are an error.
-    """
-    kind = "map<string,variant>"
-    is_object = lambda v: F.coalesce(F.schema_of_variant(v).like("OBJECT<%"), F.lit(False))
-    if depth == 0:
-        return F.when(is_object(base) & is_object(over), F.raise_error(F.lit("objects to merge lie deeper than depth")).cast("variant")).otherwise(F.coalesce(over, base))
-    merged = F.map_zip_with(F.when(is_object(base), base).cast(kind), F.when(is_object(over), over).cast(kind), lambda k, a, b: overlay(a, b, depth - 1))
-    return F.when(is_object(base) & is_object(over), F.parse_json(F.to_json(merged))).otherwise(F.coalesce(over, base))

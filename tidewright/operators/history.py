@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.operators.graphs import Parts
 from tidewright.session import checkpointed
 
 
@@ -104,19 +104,16 @@ def changeset(revisions: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFra
     return members.join(met, "changeset_id", "left_semi"), problems
 
 
-def reachable_edges(start: DataFrame, parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """target_id, base, id: start(target_id, id, base) and what its parents reach, no further than base.
-
-    More than max_rounds rounds are an error; None for as many as it takes.
-    """
-    seen = frontier = checkpointed(start.select("target_id", "base", "id"))
-    for _ in count() if max_rounds is None else range(max_rounds):
+def reachable_edges(start: DataFrame, parents: DataFrame) -> DataFrame:
+    """target_id, base, id: start(target_id, id, base) and what its parents reach, no further than base."""
+    frontier = checkpointed(start.select("target_id", "base", "id"))
+    seen = Parts(frontier)
+    while True:
         nxt = frontier.filter(~F.col("id").eqNullSafe(F.col("base"))).join(parents.select("id", "parent"), "id").select("target_id", "base", F.col("parent").alias("id"))
-        frontier = checkpointed(nxt.join(seen.select("target_id", "id"), ["target_id", "id"], "left_anti"))
+        frontier = checkpointed(nxt.distinct().join(seen.all().select("target_id", "id"), ["target_id", "id"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(frontier))
-    raise ValueError(f"the parents reach further than {max_rounds} rounds")
+            return seen.all()
+        seen.add(frontier)
 
 
 def manifest_problems(entries: DataFrame) -> DataFrame:

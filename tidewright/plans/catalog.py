@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.operators import catalog
+from tidewright.functions.canonical import canonical_json
+from tidewright.operators import catalog, documents, graphs
 from tidewright.plans.common import Registry, multiset_digest_sql, table
 
 registry = Registry()
@@ -211,11 +212,165 @@ def s8_explode_documents(spark, sf_dir):
     return catalog.explode_documents(documents)[1]
 
 
-@registry.add("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'x' END AS a, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE '1' END AS b, event_type AS c, CASE WHEN event_id % 5 = 0 THEN '[3]' ELSE '[1,2]' END AS d FROM events""")
+#: Objects of eight levels; the sides differ at each of them.
+LEVELS = 8
+
+
+def _nested(inner, wrap):
+    """JSON text of LEVELS objects in one another, `wrap` giving the members beside the next one."""
+    text = inner
+    for level in range(LEVELS, 0, -1):
+        text = F.concat(F.lit("{"), F.concat_ws(",", wrap(level), F.concat(F.lit('"n":'), text)), F.lit("}"))
+    return text
+
+
+@registry.add("SELECT event_id, " + ", ".join(f"CASE WHEN (event_id + {i}) % 3 = 0 THEN 'o{i}' ELSE 'b{i}' END AS l{i}" for i in range(1, LEVELS + 1)) + """,
+CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '[3]' WHEN 2 THEN '{"x":1,"y":' || user_id || '}' ELSE '{"z":{}}' END AS leaf FROM events""")
 def s6_compose_overlay(spark, sf_dir):
+    """Sides that agree on nothing but the keys on the way down; the innermost member is null, an array, an object to merge or another one."""
     e = table(spark, sf_dir, "events")
-    base = F.to_json(F.struct(F.lit("x").alias("a"), F.struct(F.lit(1).alias("b"), c("event_type").alias("c")).alias("n"), F.array(F.lit(1), F.lit(2)).alias("d")))
-    over = F.concat(F.lit("{"), F.concat_ws(",", F.when(c("event_id") % 2 == 0, F.lit('"a":null')), F.when(c("event_id") % 3 == 0, F.concat(F.lit('"n":{"b":'), c("user_id").cast("string"), F.lit("}"))), F.when(c("event_id") % 5 == 0, F.lit('"d":[3]'))), F.lit("}"))
-    merged = e.select("event_id", F.to_json(catalog.overlay(F.parse_json(base), F.parse_json(over), 2)).alias("j"))
-    at = lambda path: F.get_json_object("j", path)
-    return merged.select("event_id", at("$.a").alias("a"), at("$.n.b").alias("b"), at("$.n.c").alias("c"), at("$.d").alias("d"))
+    kind = c("event_id") % 4
+    below = F.when(kind == 2, F.lit('{"x":1}')).otherwise(F.lit('"scalar"'))
+    above = F.when(kind == 0, F.lit("null")).when(kind == 1, F.lit("[3]")).when(kind == 2, F.concat(F.lit('{"y":'), c("user_id").cast("string"), F.lit("}"))).otherwise(F.lit('{"z":{}}'))
+    base = e.select("event_id", _nested(below, lambda i: F.lit(f'"k":"b{i}"')).alias("document"))
+    over = e.select("event_id", _nested(above, lambda i: F.when((c("event_id") + i) % 3 == 0, F.lit(f'"k":"o{i}"'))).alias("document"))
+    merged = documents.overlay(base, over, id="event_id")
+    at = lambda i: F.get_json_object("document", "$" + ".n" * (i - 1) + ".k").alias(f"l{i}")
+    return merged.select("event_id", *[at(i) for i in range(1, LEVELS + 1)], F.get_json_object("document", "$" + ".n" * LEVELS).alias("leaf"))
+
+
+@registry.add("""SELECT event_id, unnest(['a', 'b/c', 'b/d/e', 'f']) AS path, unnest([CAST(event_id AS VARCHAR), '"' || event_type || '"', '[1,{}]', '{}']) AS value FROM events""")
+def s6_flatten_documents(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.concat(F.lit('{"b":{"d":{"e":[1.0,{}]},"c":"'), "event_type", F.lit('"},"f":{},"a":'), c("event_id").cast("string"), F.lit(".00}"))
+    return documents.flatten(e.select("event_id", text.alias("document")), id="event_id").select("event_id", F.array_join("path", "/").alias("path"), "value")
+
+
+@registry.add("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE '{"a":[' || event_id || ',"1.0E1",{"x":null,"y":true}],"b":' || CASE WHEN event_id % 10 = 0 THEN event_id // 10 || '' ELSE event_id // 10 || '.' || event_id % 10 END || '}' END AS normal FROM events""")
+def canonical_documents(spark, sf_dir):
+    """Five ways to write one document, the last of which is none."""
+    n = c("event_id").cast("string")
+    tenth = F.concat(F.floor(c("event_id") / 10).cast("string"), F.lit("."), (c("event_id") % 10).cast("string"))
+    whole = F.when(c("event_id") % 5 == 0, n).when(c("event_id") % 5 == 1, F.concat(n, F.lit(".000"))).when(c("event_id") % 5 == 2, F.concat(n, F.lit("0e-1"))).otherwise(F.concat(n, F.lit("E0")))
+    b = F.when(c("event_id") % 2 == 0, tenth).otherwise(F.concat(tenth, F.lit("0")))
+    text = F.concat(F.lit('{ "b": '), b, F.lit(', "a" : ['), whole, F.lit(',"1.0E1",{"y":true,"x":null}'), F.when(c("event_id") % 5 == 4, "").otherwise("]"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", canonical_json(text).alias("normal"))
+
+
+# -- what resources depend on: suppliers of parts ------------------------------------------------------------------------
+
+
+def part_edges(spark, sf_dir, later: bool):
+    """Each part depends on three suppliers; later, each ninth on another one and each tenth on one more."""
+    k = c("p_partkey")
+    extra = F.when(k % 10 == 0, F.array(F.lit(3))).otherwise(F.array().cast("array<int>")) if later else F.array().cast("array<int>")
+    moved = F.when((k % 9 == 0) & F.lit(later), 100).otherwise(0)
+    to = F.explode(F.concat(F.array(F.lit(0), F.lit(1), F.lit(2)), extra))
+    e = table(spark, sf_dir, "part").select(c("p_brand").alias("target_id"), F.concat(F.lit("column:"), k.cast("string")).alias("id"), k, moved.alias("moved"), to.alias("i"))
+    return e.select("target_id", "id", F.concat(F.lit("supplier:"), (c("p_partkey") % 50 + c("i") + c("moved")).cast("string")).alias("dep"), F.lit("uses").alias("type"))
+
+
+def _edges_sql(later: bool) -> str:
+    to = "CASE WHEN p_partkey % 10 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2] END" if later else "[0, 1, 2]"
+    moved = "CASE WHEN p_partkey % 9 = 0 THEN 100 ELSE 0 END" if later else "0"
+    row = f"sha256('supplier:' || (p_partkey % 50 + i + {moved}) || chr(0) || 'uses')"
+    return f"SELECT id, {multiset_digest_sql(row)} AS linked FROM (SELECT *, unnest({to}) AS i FROM cur) GROUP BY id"
+
+
+LINKED = f"""{CUR}, l0 AS ({_edges_sql(False)}), l1 AS ({_edges_sql(True)}),
+own AS (SELECT cur.*, sha256(concat_ws(chr(0), 'resource', kind, name, '', spec, l0.linked)) AS f0, sha256(concat_ws(chr(0), 'resource', kind, name, '', spec, l1.linked)) AS f1 FROM cur JOIN l0 USING (id) JOIN l1 USING (id))"""
+
+
+@registry.add(f"WITH {LINKED} SELECT target_id, id, 'alter' AS op, f0 AS before, f1 AS after FROM own WHERE p_partkey % 9 = 0 OR p_partkey % 10 = 0")
+def j3_diff_dependencies(spark, sf_dir):
+    """Nothing but what parts depend on is changed."""
+    parts = current_parts(spark, sf_dir)
+    return catalog.diff_resources(parts, parts, part_edges(spark, sf_dir, False), part_edges(spark, sf_dir, True))
+
+
+@registry.add(f"""WITH {LINKED}, m AS (SELECT target_id, id || '=' || f1 AS member FROM own UNION ALL SELECT DISTINCT target_id, 'annotation' || chr(0) || 'owner' || chr(0) || '"' || target_id || '"' FROM own)
+SELECT target_id, {multiset_digest_sql('sha256(member)')} AS digest, count(*) AS n FROM m GROUP BY target_id""")
+def a8_document_fingerprint(spark, sf_dir):
+    """Documents with dependencies and annotations, of which rename hints do not count."""
+    parts = current_parts(spark, sf_dir)
+    notes = parts.select("target_id").distinct().select("target_id", F.explode(F.create_map(F.lit("owner"), F.concat(F.lit(' "'), "target_id", F.lit('" ')), F.lit("rename_hints"), F.lit("[]"))).alias("key", "value"))
+    return catalog.semantic_fingerprint(parts, part_edges(spark, sf_dir, True), notes)
+
+
+# -- changes in order: customers are tables, their orders columns, indexes and grants -------------------------------------
+
+
+def schema_changes(spark, sf_dir):
+    """(changes, edges): tables are created, dropped, renamed, altered or both, by customer; what belongs to them by order."""
+    k, o = c("c_custkey"), c("o_orderkey")
+    customer = table(spark, sf_dir, "customer").select(c("c_nationkey").cast("string").alias("target_id"), k)
+    kind = k % 5
+    ops = F.when(kind == 0, F.array(F.lit("create"))).when(kind == 1, F.array(F.lit("drop"))).when(kind == 2, F.array(F.lit("rename"))).when(kind == 3, F.array(F.lit("alter"))).otherwise(F.array(F.lit("rename"), F.lit("alter")))
+    own = F.concat(F.lit("table:"), k.cast("string"))
+    old = F.when((c("op") == "rename"), F.concat(own, F.lit("-old"))).when(c("op") == "create", None).otherwise(own)
+    tables = customer.withColumn("op", F.explode(ops)).select(
+        "target_id", F.concat_ws(":", "op", own).alias("change_id"), "op", old.alias("before_id"), F.when(c("op") != "drop", own).alias("after_id"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("parent"), own.alias("name"), F.lit(None).cast("int").alias("ordinal")
+    )
+    orders = table(spark, sf_dir, "orders").select(c("o_custkey").alias("c_custkey"), o).join(customer, "c_custkey")
+    orders = orders.withColumn("kind", F.when(o % 4 < 2, "column").when(o % 4 == 2, "index").otherwise("grant"))
+    op = F.when(kind == 1, "drop").when(o % 3 == 0, "create").when(o % 3 == 1, "drop").when(c("kind") == "column", "rename").otherwise("alter")
+    item = F.concat_ws(":", "kind", o.cast("string"))
+    items = orders.withColumn("op", op).select(
+        "target_id", F.concat_ws(":", "op", item).alias("change_id"), "op", F.when(c("op") == "rename", F.concat(item, F.lit("-old"))).when(c("op") == "create", None).otherwise(item).alias("before_id"), F.when(c("op") != "drop", item).alias("after_id"), "kind",
+        F.when(c("kind") != "grant", own).alias("parent"), item.alias("name"), (o % 100).cast("int").alias("ordinal"),
+    )
+    edges = orders.filter("kind = 'grant'").select("target_id", item.alias("id"), own.alias("dep"))
+    return tables.unionByName(items), edges
+
+
+CHANGES = """t AS (SELECT CAST(c_nationkey AS VARCHAR) AS target_id, c_custkey AS k, 'table:' || c_custkey AS own, unnest(CASE c_custkey % 5 WHEN 0 THEN ['create'] WHEN 1 THEN ['drop'] WHEN 2 THEN ['rename'] WHEN 3 THEN ['alter'] ELSE ['rename', 'alter'] END) AS op FROM customer),
+i0 AS (SELECT CAST(c_nationkey AS VARCHAR) AS target_id, c_custkey AS k, o_orderkey AS o, CASE WHEN o_orderkey % 4 < 2 THEN 'column' WHEN o_orderkey % 4 = 2 THEN 'index' ELSE 'grant' END AS kind FROM orders JOIN customer ON o_custkey = c_custkey),
+i AS (SELECT *, kind || ':' || o AS own, CASE WHEN k % 5 = 1 THEN 'drop' WHEN o % 3 = 0 THEN 'create' WHEN o % 3 = 1 THEN 'drop' WHEN kind = 'column' THEN 'rename' ELSE 'alter' END AS op FROM i0),
+ch AS (SELECT target_id, op || ':' || own AS id, op, 'table' AS kind, k, CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS parent, own FROM t
+       UNION ALL SELECT target_id, op || ':' || own, op, kind, k, o % 100, CASE WHEN kind <> 'grant' THEN 'table:' || k END, own FROM i),
+ow AS (SELECT k, min(op) || ':table:' || k AS owner FROM t GROUP BY k),
+ed AS (SELECT target_id, 'alter:' || own AS id, 'rename:' || own AS dep FROM t WHERE op = 'rename' AND k % 5 = 4
+       UNION SELECT target_id, CASE WHEN op = 'drop' THEN owner ELSE id END, CASE WHEN op = 'drop' THEN id ELSE owner END FROM ch JOIN ow USING (k) WHERE kind <> 'table'
+       UNION SELECT a.target_id, a.id, b.id FROM ch a JOIN ch b ON a.parent = b.parent WHERE a.kind = 'column' AND a.op IN ('drop', 'rename') AND b.kind <> 'column' AND b.op = 'drop'),
+base(target_id, id, level) AS (SELECT target_id, id, 0 FROM ch UNION SELECT ed.target_id, ed.id, level + 1 FROM base JOIN ed ON ed.dep = base.id)"""
+# grants come a level after the highest of all others that are not dropped; what is dropped a level after grants that are
+
+
+@registry.add(f"""WITH RECURSIVE {CHANGES},
+g AS (SELECT target_id, max(level) AS top FROM base JOIN ch USING (target_id, id) WHERE kind <> 'grant' AND op <> 'drop' GROUP BY target_id),
+r AS (SELECT DISTINCT target_id FROM ch WHERE kind = 'grant' AND op = 'drop'),
+-- with grants revoked first, every path from a drop of something else starts one level higher
+p(target_id, id, level) AS (SELECT ch.target_id, ch.id, CASE WHEN kind <> 'grant' AND op = 'drop' AND r.target_id IS NOT NULL THEN 1 ELSE 0 END FROM ch LEFT JOIN r USING (target_id)
+    UNION SELECT ed.target_id, ed.id, level + 1 FROM p JOIN ed ON ed.dep = p.id),
+h AS (SELECT p.target_id, p.id, max(level) AS level FROM p GROUP BY ALL),
+top AS (SELECT target_id, max(level) AS top FROM h JOIN ch USING (target_id, id) WHERE kind <> 'grant' AND op <> 'drop' GROUP BY target_id)
+SELECT ch.target_id, ch.id AS change_id, CASE WHEN kind = 'grant' AND op <> 'drop' THEN greatest(h.level, coalesce(top + 1, 0)) ELSE h.level END AS level,
+concat_ws('|', CASE op WHEN 'create' THEN '2' WHEN 'drop' THEN '3' ELSE '1' END, kind, coalesce(parent, ''), CASE WHEN op = 'create' AND kind = 'column' THEN lpad(CAST(ordinal AS VARCHAR), 9, '0') || '|' ELSE '' END || own, ch.id) AS sort_key
+FROM ch JOIN h USING (target_id, id) LEFT JOIN top USING (target_id)""")
+def o4_change_order(spark, sf_dir):
+    changes, edges = schema_changes(spark, sf_dir)
+    ordered, _ = catalog.change_order(changes, edges, edges)
+    return ordered.select("target_id", "change_id", "level", F.translate("sort_key", "\0", "|").alias("sort_key"))
+
+
+@registry.add("""SELECT 'r' || (o_orderkey % 7) AS target_id, o_orderkey AS id, rank() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) - 1 AS level FROM orders""")
+def o4_long_chains(spark, sf_dir):
+    """Seven chains of orders, each waiting for the seventh before it."""
+    k = c("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), (k % 7).cast("string")).alias("target_id"), k.alias("id"))
+    edges = orders.withColumn("dep", c("id") - 7).join(orders.withColumnRenamed("id", "dep"), ["target_id", "dep"], "left_semi")
+    return graphs.levels(orders, edges)[0]
+
+
+@registry.add("""WITH o AS (SELECT o_orderkey AS id FROM orders), b AS (SELECT max(o_orderkey) // 2 AS half FROM orders)
+SELECT 'r' || (id % 7) AS target_id, id FROM o, b WHERE id >= half - half % 7 - 3""")
+def g2_long_cycles(spark, sf_dir):
+    """Chains of orders as above, of which the one in the middle waits for the last of its chain: half of each is behind a cycle, or in it."""
+    k = c("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), (k % 7).cast("string")).alias("target_id"), k.alias("id"))
+    half = (orders.agg(F.max("id")).first()[0] or 0) // 2
+    low = half - half % 7 - 3
+    last = orders.groupBy("target_id").agg(F.max("id").alias("last"))
+    back = orders.filter((c("id") >= low) & (c("id") < low + 7)).join(last, "target_id").select("target_id", "id", c("last").alias("dep"))
+    edges = orders.withColumn("dep", c("id") - 7).join(orders.withColumnRenamed("id", "dep"), ["target_id", "dep"], "left_semi")
+    return graphs.in_or_behind_cycles(edges.unionByName(back))
