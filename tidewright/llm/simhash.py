@@ -35,7 +35,7 @@ LEAF_PAIRS = 1024
 #: A table of large groups of at most so many rows is broadcast.
 MAX_BROADCAST = 100_000
 #: Links of each row between components that are verified in the rounds after the forest; None: all that are left.
-ROUNDS = (16, None)
+ROUNDS = (2, 16, None)
 #: Bits of a sketch, by which candidates of those rounds are sifted before they are verified.
 SKETCH_BITS = 1024
 
