@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions.scalars import is_digest, multiset_digest
 from tidewright.operators.graphs import Parts
 from tidewright.session import checkpointed
 
@@ -129,3 +133,118 @@ def manifest_problems(entries: DataFrame) -> DataFrame:
         .when(~F.coalesce("nonlinear", F.lit(False)) & F.col("at").isNotNull() & (F.col("at") != F.col("position") - 1), "not linear")
     )
     return e.join(where, ["manifest_id", "parent"], "left").withColumn("problem", problem).filter("problem is not null").select("manifest_id", "version", "problem").distinct()
+
+
+#: What of an entry goes into its chain digest, in this order, and what checkpoints may say of data.
+CHAINED = ("version", "file", "sql_digest", "kind", "covered_from", "covered_to", "schema_fingerprint", "data_policy")
+DATA_POLICIES = ("schema_only", "declared_replay")
+
+
+def chain_digests(entries: DataFrame) -> DataFrame:
+    """manifest_id, position, version, chain_digest: each entry's digest over its own content and those of all its parents.
+
+    entries: manifest_id, position, the columns of CHAINED, parents (array of versions; none: the entry before), nonlinear.
+    A digest is the SHA-256 of the domain, the content, nonlinear, the parents and their digests, sorted; what a parent is
+    not known to is "". Nulls count as empty.
+
+    An entry waits for its parents, so a manifest is a fold in one task, and manifests are folded side by side: sorted
+    entries stream through, and a digest is kept only as long as some later entry has it as a parent, so that a
+    manifest of any length needs as much memory as it has open branches.
+    """
+    named = entries.select("manifest_id", F.col("position").alias("_at"), F.explode("parents").alias("version"))
+    last_use = named.groupBy("manifest_id", "version").agg(F.max("_at").alias("last_use"))
+    kept = entries.join(last_use, ["manifest_id", "version"], "left")
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CHAINED]
+    rows = kept.select("manifest_id", F.col("position").cast("long").alias("position"), F.col("version").cast("string").alias("version"), F.concat_ws("\0", *text).alias("content"), F.coalesce("parents", F.array()).cast("array<string>").alias("parents"), F.coalesce("nonlinear", F.lit(False)).alias("nonlinear"), F.col("last_use").cast("long").alias("last_use"))
+    ordered = rows.repartition("manifest_id").sortWithinPartitions("manifest_id", "position")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        manifest, before, first = None, None, True
+        known: dict[str, tuple[str, int]] = {}
+        for batch in batches:
+            digests = []
+            for key, position, version, content, parents, nonlinear, last in zip(*(c.to_pylist() for c in batch.columns)):
+                if first or key != manifest:
+                    manifest, before, known, first = key, None, {}, False
+                links = parents or ([before[0]] if before else [])
+                own = lambda v: before[1] if before and v == before[0] else known.get(v, ("",))[0]  # noqa: B023, E731
+                above = sorted(own(v) for v in links)
+                digest = hashlib.sha256("\0".join(["chain", content, str(bool(nonlinear)).lower(), ",".join(links), ",".join(above)]).encode()).hexdigest()
+                digests.append(digest)
+                before = (version, digest)
+                if last is not None and last > position:
+                    known[version] = (digest, last)
+                for v in parents:
+                    if v in known and known[v][1] <= position:
+                        del known[v]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.string())], ["manifest_id", "position", "version", "chain_digest"])
+
+    kind = dict(rows.dtypes)["manifest_id"]
+    return ordered.mapInArrow(run, f"manifest_id {kind}, position long, version string, chain_digest string")
+
+
+def manifest_digests(chained: DataFrame) -> DataFrame:
+    """manifest_id, generation, n of chained entries: a mergeable digest of positions, versions and chain digests."""
+    row = F.sha2(F.concat_ws("\0", F.col("position").cast("string"), "version", "chain_digest"), 256)
+    return chained.select("manifest_id", row.alias("_row")).groupBy("manifest_id").agg(multiset_digest(F.col("_row")).alias("generation"), F.count("*").alias("n"))
+
+
+def checkpoint_ranges(entries: DataFrame) -> DataFrame:
+    """manifest_id, version, first, last: the positions that each valid checkpoint covers; problem, else, is why it is not valid.
+
+    A checkpoint names two entries of its manifest, in order and before itself, a digest of the schema and a policy for data.
+    """
+    own = entries.filter("kind = 'checkpoint'").select("manifest_id", "version", "position", "covered_from", "covered_to", "schema_fingerprint", "data_policy")
+    at = lambda side, place: entries.select("manifest_id", F.col("version").alias(side), F.col("position").alias(place))
+    found = own.join(at("covered_from", "first"), ["manifest_id", "covered_from"], "left").join(at("covered_to", "last"), ["manifest_id", "covered_to"], "left")
+    problem = (
+        F.when(F.col("first").isNull() | F.col("last").isNull(), "unknown range")
+        .when(F.col("first") > F.col("last"), "range runs backwards")
+        .when(F.col("last") >= F.col("position"), "range is not earlier")
+        .when(~is_digest(F.col("schema_fingerprint")), "no schema digest")
+        .when(~F.coalesce(F.col("data_policy").isin(*DATA_POLICIES), F.lit(False)), "no data policy")
+    )
+    return found.select("manifest_id", "version", "first", "last", problem.alias("problem"))
+
+
+def checkpoint_cover(entries: DataFrame) -> DataFrame:
+    """manifest_id, version, covers: how many valid checkpoints cover each entry.
+
+    A range counts up where it begins and down behind its end; the running sum is the cover, so that ranges are never
+    spelled out, however many lie over one another.
+    """
+    valid = checkpoint_ranges(entries).filter("problem is null")
+    up = valid.select("manifest_id", F.col("first").alias("position"), F.lit(1).alias("turn"))
+    turns = up.unionByName(valid.select("manifest_id", (F.col("last") + 1).alias("position"), F.lit(-1).alias("turn"))).groupBy("manifest_id", "position").agg(F.sum("turn").alias("turn"))
+    running = F.sum(F.coalesce("turn", F.lit(0))).over(W.partitionBy("manifest_id").orderBy("position").rowsBetween(W.unboundedPreceding, 0))
+    joined = entries.select("manifest_id", "position", "version").join(turns, ["manifest_id", "position"], "left")
+    return joined.select("manifest_id", "version", running.alias("covers"))
+
+
+def entry_problems(entries: DataFrame) -> DataFrame:
+    """manifest_id, version, problem: what manifest_problems does not look at.
+
+    Versions and file names (without case) that several entries share, parents of a first entry, parents named twice,
+    entries declared nonlinear that are linear, and checkpoints without a valid range.
+    """
+    one = lambda condition, text: entries.filter(condition).select("manifest_id", "version", F.lit(text).alias("problem"))
+
+    def repeated(key: Column, text: str) -> DataFrame:
+        keyed = entries.select("manifest_id", "version", key.alias("_key"))
+        many = keyed.groupBy("manifest_id", "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+        return keyed.join(many, ["manifest_id", "_key"]).select("manifest_id", "version", F.lit(text).alias("problem"))
+
+    n = F.coalesce(F.size("parents"), F.lit(0))
+    before = entries.select("manifest_id", (F.col("position") + 1).alias("position"), F.col("version").alias("_before"))
+    linked = entries.join(before, ["manifest_id", "position"], "left")
+    linear = F.when(F.col("position") == 0, n == 0).otherwise((n == 0) | ((n == 1) & (F.get("parents", F.lit(0)) == F.col("_before"))))
+    spurious = linked.filter(F.coalesce("nonlinear", F.lit(False)) & F.coalesce(linear, F.lit(False))).select("manifest_id", "version", F.lit("linear, but declared nonlinear").alias("problem"))
+    found = [
+        repeated(F.col("version"), "version collision"),
+        repeated(F.lower("file"), "file collision"),
+        one((F.col("position") == 0) & (n > 0), "root has parents"),
+        one(n > F.size(F.array_distinct("parents")), "parent named twice"),
+        spurious,
+        checkpoint_ranges(entries).filter("problem is not null").select("manifest_id", "version", F.concat(F.lit("checkpoint: "), "problem").alias("problem")),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()

@@ -386,3 +386,68 @@ def g5_manifest_problems(spark, sf_dir):
     parent = F.when(k % 10 == 1, F.lit(-1).cast("long")).when(k % 10 == 2, F.lead("o_orderkey").over(w)).otherwise(F.lag("o_orderkey").over(w))
     entries = table(spark, sf_dir, "orders").select(c("o_custkey").alias("manifest_id"), (F.row_number().over(w) - 1).alias("position"), k.alias("version"), F.array_compact(F.array(parent)).alias("parents"), F.lit(False).alias("nonlinear"))
     return h.manifest_problems(entries)
+
+
+def manifest_entries(spark, sf_dir):
+    """A manifest for each customer, its orders the entries: every fifth merges two branches, every seventh is a checkpoint of the three before; some are faulty."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n"), *[F.lag("o_orderkey", i).over(w).alias(f"b{i}") for i in (1, 3)])
+    version = lambda x: F.concat(F.lit("v"), x.cast("string"))
+    k, at = c("o_orderkey"), c("n") - 1
+    merges, checkpoint = (at % 5 == 4), (at % 7 == 6)
+    backwards = k % 11 == 0
+    ends = [F.when(checkpoint, version(c(b))) for b in ("b3", "b1")]
+    return o.select(
+        c("o_custkey").alias("manifest_id"), at.alias("position"), version(k).alias("version"), F.concat(F.when(k % 40 == 0, F.lit("Same")).when(k % 40 == 3, F.lit("same")).otherwise(version(k)), F.lit(".sql")).alias("file"),
+        F.concat(F.lit("d"), (k % 9).cast("string")).alias("sql_digest"), F.when(checkpoint, "checkpoint").otherwise("migration").alias("kind"),
+        F.when(backwards, ends[1]).otherwise(ends[0]).alias("covered_from"), F.when(backwards, ends[0]).otherwise(ends[1]).alias("covered_to"),
+        F.when(checkpoint, F.concat(F.lit("sha256:"), F.sha2((k % 5).cast("string"), 256))).alias("schema_fingerprint"), F.when(checkpoint & (k % 13 != 0), "schema_only").alias("data_policy"),
+        F.when(merges, F.array(version(c("b1")), version(c("b3")))).when(k % 6 == 0, F.array_compact(F.array(version(c("b1"))))).otherwise(F.array().cast("array<string>")).alias("parents"), (merges | (k % 17 == 0)).alias("nonlinear"),
+    )
+
+
+ENTRIES = """o AS (SELECT o_custkey AS m, o_orderkey AS k, row_number() OVER w - 1 AS pos, lag(o_orderkey, 1) OVER w AS b1, lag(o_orderkey, 3) OVER w AS b3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT m, pos, 'v' || k AS version, CASE k % 40 WHEN 0 THEN 'Same' WHEN 3 THEN 'same' ELSE 'v' || k END || '.sql' AS file, 'd' || (k % 9) AS sql_digest, CASE WHEN pos % 7 = 6 THEN 'checkpoint' ELSE 'migration' END AS kind,
+CASE WHEN pos % 7 = 6 THEN 'v' || CASE WHEN k % 11 = 0 THEN b1 ELSE b3 END END AS covered_from, CASE WHEN pos % 7 = 6 THEN 'v' || CASE WHEN k % 11 = 0 THEN b3 ELSE b1 END END AS covered_to,
+CASE WHEN pos % 7 = 6 THEN 'sha256:' || sha256(CAST(k % 5 AS VARCHAR)) END AS fingerprint, CASE WHEN pos % 7 = 6 AND k % 13 <> 0 THEN 'schema_only' END AS policy,
+CASE WHEN pos % 5 = 4 THEN ['v' || b1, 'v' || b3] WHEN k % 6 = 0 AND b1 IS NOT NULL THEN ['v' || b1] ELSE [] END AS parents, CASE WHEN pos % 5 = 4 THEN [pos, pos - 2] WHEN pos > 0 THEN [pos] ELSE [] END AS places,
+pos % 5 = 4 OR k % 17 = 0 AS nonlinear, k, b1 FROM o)"""
+
+
+@registry.add(f"""WITH RECURSIVE {ENTRIES}, x AS (SELECT *, concat_ws(chr(0), 'chain', version, file, sql_digest, kind, coalesce(covered_from, ''), coalesce(covered_to, ''), coalesce(fingerprint, ''), coalesce(policy, ''), nonlinear,
+    CASE WHEN len(parents) > 0 THEN array_to_string(parents, ',') WHEN b1 IS NOT NULL THEN 'v' || b1 ELSE '' END) AS content FROM e),
+f(m, pos, version, digests) AS (SELECT m, pos, version, [sha256(content || chr(0))] FROM x WHERE pos = 0
+    UNION ALL SELECT x.m, x.pos, x.version, list_append(digests, sha256(content || chr(0) || array_to_string(list_sort(list_transform(places, lambda p: digests[p])), ','))) FROM f JOIN x ON f.m = x.m AND x.pos = f.pos + 1)
+SELECT m AS manifest_id, pos AS position, version, digests[-1] AS chain_digest FROM f""")
+def g5_chain_digests(spark, sf_dir):
+    return h.chain_digests(manifest_entries(spark, sf_dir))
+
+
+@registry.add(f"""WITH {ENTRIES}, r AS (SELECT x.m, a.pos AS f, b.pos AS t FROM e x JOIN e a ON a.m = x.m AND a.version = x.covered_from JOIN e b ON b.m = x.m AND b.version = x.covered_to WHERE a.pos <= b.pos AND x.policy IS NOT NULL)
+SELECT e.m AS manifest_id, e.version, count(r.m) AS covers FROM e LEFT JOIN r ON r.m = e.m AND e.pos BETWEEN f AND t GROUP BY ALL""")
+def g5_checkpoint_cover(spark, sf_dir):
+    return h.checkpoint_cover(manifest_entries(spark, sf_dir))
+
+
+@registry.add(f"""WITH {ENTRIES} SELECT m AS manifest_id, version, 'checkpoint: range runs backwards' AS problem FROM e WHERE kind = 'checkpoint' AND k % 11 = 0
+UNION ALL SELECT m, version, 'checkpoint: no data policy' FROM e WHERE kind = 'checkpoint' AND k % 11 <> 0 AND policy IS NULL
+UNION ALL SELECT m, version, 'linear, but declared nonlinear' FROM e WHERE nonlinear AND pos % 5 <> 4
+UNION ALL SELECT m, version, 'file collision' FROM e QUALIFY count(*) OVER (PARTITION BY m, lower(file)) > 1""")
+def g5_entry_problems(spark, sf_dir):
+    return h.entry_problems(manifest_entries(spark, sf_dir))
+
+
+@registry.add("""SELECT o_custkey + d.plus AS child, o_custkey AS ancestor, d.plus = 1000000 AS descends FROM (SELECT DISTINCT o_custkey FROM orders), (SELECT unnest([1000000, 2000000]) AS plus) d""")
+def j21_chain_descends(spark, sf_dir):
+    """Each manifest against two longer ones: one goes on after it, the other one has another first file."""
+    entries = manifest_entries(spark, sf_dir)
+    last = entries.groupBy("manifest_id").agg(F.max("position").alias("top"))
+    more = entries.join(last, "manifest_id").filter("position = top").withColumn("position", c("position") + 1).withColumn("version", F.concat("version", F.lit("+"))).withColumn("parents", F.array().cast("array<string>")).drop("top")
+    longer = entries.unionByName(more)
+    goes_on = longer.withColumn("manifest_id", c("manifest_id") + 1000000)
+    other = longer.withColumn("file", F.when(c("position") == 0, "other.sql").otherwise(c("file"))).withColumn("manifest_id", c("manifest_id") + 2000000)
+    chained = h.chain_digests(entries.unionByName(goes_on).unionByName(other))
+    pairs = last.select(F.explode(F.array(c("manifest_id") + 1000000, c("manifest_id") + 2000000)).alias("child"), c("manifest_id").alias("ancestor"))
+    return h.descends_from(chained, pairs)
