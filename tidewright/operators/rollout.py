@@ -104,25 +104,29 @@ def stale_targets(checkpoints: DataFrame, now: Column, interval_seconds: int) ->
 
 
 def drift_incidents(observations: DataFrame, ignored: list[str] | None = None) -> DataFrame:
-    """Incidents of observations(target_id, seq, at, signature, resource_id); a null signature is in sync.
+    """Incidents of observations(target_id, seq, at, signature, resource_id; may have accepted); a null signature is in sync.
 
     An incident is a target and a signature. It is open from its first observation until the target
-    is in sync, and again when it comes back; then it keeps its last resolution. last_seen is its last
-    observation or resolution. remediation: whether its resource is managed, not ignored by a glob.
+    is in sync or, with accepted = true, its state is taken as the baseline, and again when it comes back; then it keeps its
+    last resolution. last_seen is its last observation or resolution. remediation: whether its resource is managed, not
+    ignored by a glob.
     """
-    w = W.partitionBy("target_id").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
-    sync_at = F.when(F.col("signature").isNull(), F.struct("seq", "at"))
-    drifted = observations.withColumn("next_sync", F.min(sync_at).over(w)["at"]).filter("signature is not null")
+    accepted = F.coalesce("accepted", F.lit(False)) if "accepted" in observations.columns else F.lit(False)
+    seen = observations.withColumn("_accepted", accepted)
+    # from the last row to the first, what was met last is the next resolution
+    w = W.partitionBy("target_id").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    ends = F.when(F.col("signature").isNull() | F.col("_accepted"), F.struct("seq", "at", F.when(F.col("_accepted"), "accepted").otherwise("in_sync").alias("by")))
+    drifted = seen.withColumn("next_end", F.last(ends, ignorenulls=True).over(w)).filter("signature is not null and not _accepted")
     is_ignored = reduce(lambda a, b: a | b, [glob(F.col("resource_id"), p) for p in ignored or []], F.lit(False))
     grouped = drifted.groupBy("target_id", "signature").agg(
         F.min_by("at", "seq").alias("first_seen"),
-        F.max_by(F.struct("at", "next_sync"), "seq").alias("last"),
-        F.max("next_sync").alias("resolved_at"),
+        F.max_by(F.struct("at", "next_end"), "seq").alias("last"),
+        F.max("next_end").alias("resolved"),
         F.max_by(~is_ignored, "seq").alias("remediation"),
     )
-    resolved = F.col("last.next_sync").isNotNull()
+    is_resolved = F.col("last.next_end").isNotNull()
     return grouped.select(
-        "target_id", "signature", "first_seen", F.coalesce("last.next_sync", "last.at").alias("last_seen"), "resolved_at", F.when(resolved, "resolved").otherwise("open").alias("status"), "remediation"
+        "target_id", "signature", "first_seen", F.coalesce("last.next_end.at", "last.at").alias("last_seen"), F.col("resolved.at").alias("resolved_at"), F.col("resolved.by").alias("resolved_by"), F.when(is_resolved, "resolved").otherwise("open").alias("status"), "remediation"
     )
 
 

@@ -69,7 +69,7 @@ def r4_audit_ingest(spark, sf_dir):
 
 
 def orders_log(spark, sf_dir):
-    """Orders as a log per customer whose hashes do not need each other: the previous hash is a digest of the row before."""
+    """Orders as a log per customer whose records all claim to be the first one: only these can be linked."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
@@ -79,6 +79,27 @@ def orders_log(spark, sf_dir):
     return first.withColumn("payload", F.when(tampered, "tampered").otherwise(c("payload"))).filter(c("o_orderkey") % 97 != 0)
 
 
+@registry.add("""WITH RECURSIVE o AS (SELECT o_custkey AS log_id, o_orderkey, o_orderpriority AS payload, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sequence FROM orders),
+f(log_id, o_orderkey, sequence, payload, previous, hash) AS (SELECT log_id, o_orderkey, sequence, payload, repeat('0', 64), sha256(concat_ws(chr(0), 'audit', repeat('0', 64), '1', payload)) FROM o WHERE sequence = 1
+    UNION ALL SELECT o.log_id, o.o_orderkey, o.sequence, o.payload, f.hash, sha256(concat_ws(chr(0), 'audit', f.hash, CAST(o.sequence AS VARCHAR), o.payload)) FROM f JOIN o ON o.log_id = f.log_id AND o.sequence = f.sequence + 1),
+t AS (SELECT log_id, o_orderkey, sequence, previous, CASE WHEN o_orderkey % 301 = 0 THEN 'tampered' ELSE payload END AS payload, CASE WHEN o_orderkey % 307 = 0 THEN sha256(concat_ws(chr(0), 'audit', previous, CAST(sequence AS VARCHAR), payload, 'x')) ELSE hash END AS hash
+      FROM f WHERE o_orderkey % 311 <> 0),
+l AS (SELECT t.*, b.hash AS before FROM t LEFT JOIN t b ON t.log_id = b.log_id AND t.sequence = b.sequence + 1),
+j AS (SELECT *, hash = sha256(concat_ws(chr(0), 'audit', previous, CAST(sequence AS VARCHAR), payload)) AND coalesce(before, CASE WHEN sequence = 1 THEN repeat('0', 64) END) IS NOT DISTINCT FROM previous AS good FROM l)
+SELECT log_id, count(*) AS n, count(*) FILTER (NOT good) AS broken, count(*) FILTER (NOT good) = 0 AND max(sequence) = count(*) AS valid FROM j GROUP BY log_id""")
+def w1_verify_linked_chain(spark, sf_dir):
+    """Logs that were linked record by record; then payloads and hashes were changed and records taken out."""
+    o = table(spark, sf_dir, "orders").select(c("o_custkey").alias("log_id"), "o_orderkey", c("o_orderpriority").alias("payload"))
+    linked = ev.append_chain(o, ["o_orderkey"])
+    from pyspark.sql import Window
+
+    keys = o.select("log_id", "o_orderkey", F.row_number().over(Window.partitionBy("log_id").orderBy("o_orderkey")).cast("long").alias("sequence"))
+    log = linked.join(keys, ["log_id", "sequence"]).filter(c("o_orderkey") % 311 != 0)
+    forged = F.sha2(F.concat_ws("\0", F.lit("audit"), "previous_hash", c("sequence").cast("string"), "payload", F.lit("x")), 256)
+    log = log.withColumn("hash", F.when(c("o_orderkey") % 307 == 0, forged).otherwise(c("hash"))).withColumn("payload", F.when(c("o_orderkey") % 301 == 0, "tampered").otherwise(c("payload")))
+    return ev.verify_chain(log.drop("o_orderkey"))
+
+
 @registry.add("""WITH o AS (SELECT o_custkey AS log_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sequence, o_orderpriority AS payload FROM orders),
 h AS (SELECT *, repeat('0', 64) AS p, sha256(concat_ws(chr(0), 'audit', repeat('0', 64), CAST(sequence AS VARCHAR), payload)) AS hash FROM o),
 t AS (SELECT log_id, sequence, p, hash, CASE WHEN o_orderkey % 101 = 0 THEN 'tampered' ELSE payload END AS payload FROM h WHERE o_orderkey % 97 <> 0),
@@ -257,15 +278,17 @@ def r3_stale_targets(spark, sf_dir):
 
 
 def observations(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(c("user_id").alias("target_id"), c("event_id").alias("seq"), c("ts").alias("at"), F.when(c("event_type") != "view", c("event_type")).alias("signature"), F.concat(F.lit("column:"), c("event_type")).alias("resource_id"))
+    """Events as observations; a view is in sync, and each 37th event takes what is there as the baseline."""
+    signature = F.when(c("event_type") != "view", c("event_type"))
+    return table(spark, sf_dir, "events").select(c("user_id").alias("target_id"), c("event_id").alias("seq"), c("ts").alias("at"), signature.alias("signature"), F.concat(F.lit("column:"), c("event_type")).alias("resource_id"), (c("event_id") % 37 == 0).alias("accepted"))
 
 
-@registry.add("""WITH o AS (SELECT user_id AS target_id, event_id AS seq, ts AS tm, CASE WHEN event_type <> 'view' THEN event_type END AS signature FROM events),
-s AS (SELECT target_id, seq, tm FROM o WHERE signature IS NULL),
-d AS (SELECT o.*, (SELECT min(s.seq) FROM s WHERE s.target_id = o.target_id AND s.seq > o.seq) AS sync_seq FROM o WHERE signature IS NOT NULL),
-j AS (SELECT d.*, s.tm AS next_sync FROM d LEFT JOIN s ON d.target_id = s.target_id AND d.sync_seq = s.seq)
+@registry.add("""WITH o AS (SELECT user_id AS target_id, event_id AS seq, ts AS tm, CASE WHEN event_type <> 'view' THEN event_type END AS signature, event_id % 37 = 0 AS accepted FROM events),
+s AS (SELECT target_id, seq, tm, CASE WHEN accepted THEN 'accepted' ELSE 'in_sync' END AS by_ FROM o WHERE signature IS NULL OR accepted),
+d AS (SELECT o.*, (SELECT min(s.seq) FROM s WHERE s.target_id = o.target_id AND s.seq > o.seq) AS sync_seq FROM o WHERE signature IS NOT NULL AND NOT accepted),
+j AS (SELECT d.*, s.tm AS next_sync, by_ FROM d LEFT JOIN s ON d.target_id = s.target_id AND d.sync_seq = s.seq)
 SELECT target_id, signature, arg_min(tm, seq) AS first_seen, coalesce(CASE WHEN arg_max(coalesce(sync_seq, -1), seq) >= 0 THEN arg_max(coalesce(next_sync, tm), seq) END, arg_max(tm, seq)) AS last_seen,
-arg_max(next_sync, sync_seq) AS resolved_at, CASE WHEN arg_max(coalesce(sync_seq, -1), seq) >= 0 THEN 'resolved' ELSE 'open' END AS status, signature <> 'signup' AS remediation FROM j GROUP BY target_id, signature""")
+arg_max(next_sync, sync_seq) AS resolved_at, arg_max(by_, sync_seq) AS resolved_by, CASE WHEN arg_max(coalesce(sync_seq, -1), seq) >= 0 THEN 'resolved' ELSE 'open' END AS status, signature <> 'signup' AS remediation FROM j GROUP BY target_id, signature""")
 def r1_drift_incidents(spark, sf_dir):
     return ro.drift_incidents(observations(spark, sf_dir), ["column:sign*"])
 

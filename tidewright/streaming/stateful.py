@@ -5,80 +5,125 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewright.functions.scalars import transform
 from tidewright.operators.events import GENESIS, sensitive
 from tidewright.operators.evolve import eligible, shadow_sync
 
-INCIDENT = "target_id long, signature string, first_seen timestamp, last_seen timestamp, resolved_at timestamp, status string"
+#: Fixed value: the state store that keeps maps of any size on disk and reads single entries.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+INCIDENT = "target_id long, signature string, first_seen timestamp, last_seen timestamp, resolved_at timestamp, resolved_by string, status string"
 
 
-def drift_incidents(observations: DataFrame) -> DataFrame:
-    """A stream of incidents as they change, from observations(target_id, seq, at, signature).
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """The keyed streams below need this setting before they start."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
-    State per target: its incidents as parallel lists, and the last sequence; an observation that is
-    not later than what was seen is left out. Output mode update; the last row per incident holds.
+
+class Incidents(StatefulProcessor):
+    """A target's incidents: a value for the last sequence, a map of open incidents and one of resolved ones.
+
+    An observation reads its own incident; only a resolution goes through the open ones. `forget_after` (milliseconds) is how
+    long a resolved incident is remembered; a signature that comes back later begins a new one.
     """
-    state_schema = "seq long, signatures array<string>, firsts array<timestamp>, lasts array<timestamp>, resolved array<timestamp>, statuses array<string>"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, incidents = -1, {}
-        if state.exists:
-            seen, *lists = state.get
-            incidents = {s: [f, la, r, st] for s, f, la, r, st in zip(*lists)}
-        rows = pd.concat(list(batches)).sort_values("seq")
-        changed = set()
-        for seq, at, signature in zip(rows["seq"], rows["at"], rows["signature"]):
-            if seq <= seen:
+
+    def __init__(self, forget_after: int | None = None) -> None:
+        self._forget_after = forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        entry = "first timestamp, last timestamp, resolved timestamp, by string"
+        self._last = handle.getValueState("last", "seq long")
+        self._open = handle.getMapState("open", "signature string", entry)
+        self._done = handle.getMapState("done", "signature string", entry, self._forget_after)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = self._last.get()[0] if self._last.exists() else None
+        changed: dict[str, tuple] = {}
+        # the order within a micro-batch is that of the sequence; the source's rate bounds what is sorted
+        for seq, at, signature, accepted in sorted(((r["seq"], r["at"], r["signature"], r["accepted"]) for r in rows), key=lambda r: r[0]):
+            if seen is not None and seq <= seen:
                 continue
-            seen = int(seq)
-            if signature is None or pd.isna(signature):
-                for name, incident in incidents.items():
-                    if incident[3] == "open":
-                        incident[1:] = [at, at, "resolved"]
-                        changed.add(name)
-            elif signature in incidents:
-                incidents[signature][1], incidents[signature][3] = at, "open"
-                changed.add(signature)
+            seen = seq
+            if accepted or signature is None:
+                by = "accepted" if accepted else "in_sync"
+                for (name,), (first, *_) in list(self._open.iterator()):
+                    self._done.updateValue((name,), (first, at, at, by))
+                    self._open.removeKey((name,))
+                    changed[name] = (first, at, at, by, "resolved")
+                continue
+            name = (signature,)
+            if self._open.containsKey(name):
+                first, _, resolved, by = self._open.getValue(name)
+            elif self._done.containsKey(name):
+                first, _, resolved, by = self._done.getValue(name)
+                self._done.removeKey(name)
             else:
-                incidents[signature] = [at, at, None, "open"]
-                changed.add(signature)
-        plain = lambda v: None if v is None or pd.isna(v) else pd.Timestamp(v).to_pydatetime()
-        values = [[plain(i[k]) for i in incidents.values()] for k in (0, 1, 2)]
-        state.update((seen, list(incidents), *values, [i[3] for i in incidents.values()]))
-        yield pd.DataFrame([(key[0], name, *incidents[name][:3], incidents[name][3]) for name in sorted(changed)], columns=["target_id", "signature", "first_seen", "last_seen", "resolved_at", "status"])
+                first, resolved, by = at, None, None
+            self._open.updateValue(name, (first, at, resolved, by))
+            changed[signature] = (first, at, resolved, by, "open")
+        if seen is not None:
+            self._last.update((seen,))
+        for signature, found in sorted(changed.items()):
+            yield Row(target_id=key[0], signature=signature, first_seen=found[0], last_seen=found[1], resolved_at=found[2], resolved_by=found[3], status=found[4])
 
-    return observations.groupBy("target_id").applyInPandasWithState(step, INCIDENT, state_schema, "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def audit_ingest(events: DataFrame) -> DataFrame:
-    """A stream of chained records from events(log_id, event_id, seq, payload): idempotent by id, sensitive ones left out.
+def drift_incidents(observations: DataFrame, forget_after: int | None = None) -> DataFrame:
+    """A stream of incidents as they change, from observations(target_id, seq, at, signature; may have accepted).
+
+    A null signature resolves the target's open incidents, and so does a row with accepted = true, by which an operator takes
+    the present state as the baseline. An observation that is not later than what was seen is left out. Output mode update; the
+    last row per incident holds. Needs keep_state_in_rocksdb.
+    """
+    accepted = F.coalesce("accepted", F.lit(False)) if "accepted" in observations.columns else F.lit(False)
+    rows = observations.select(F.col("target_id").cast("long").alias("target_id"), F.col("seq").cast("long").alias("seq"), "at", "signature", accepted.alias("accepted"))
+    return rows.groupBy("target_id").transformWithState(Incidents(forget_after), INCIDENT, "Update", "None" if forget_after is None else "ProcessingTime")
+
+
+class Chain(StatefulProcessor):
+    """A log's head (sequence and hash) as a value, and the ids it holds as a map that is asked one id at a time.
 
-    State per log: the last sequence and hash, and the ids seen.
+    `forget_after` (milliseconds) bounds how long an id is remembered, if given.
     """
-    clean = events.filter(~sensitive(F.col("payload")))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sequence, previous, ids = (*state.get[:2], set(state.get[2])) if state.exists else (0, GENESIS, set())
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for event_id, payload in zip(rows["event_id"], rows["payload"]):
-            if int(event_id) in ids:
+
+    def __init__(self, forget_after: int | None = None) -> None:
+        self._forget_after = forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._head = handle.getValueState("head", "sequence long, hash string")
+        self._ids = handle.getMapState("ids", "event_id long", "known boolean", self._forget_after)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        sequence, previous = self._head.get() if self._head.exists() else (0, GENESIS)
+        for _, event_id, payload in sorted(((r["seq"], r["event_id"], r["payload"]) for r in rows), key=lambda r: r[:2]):
+            if self._ids.containsKey((event_id,)):
                 continue
-            ids.add(int(event_id))
+            self._ids.updateValue((event_id,), (True,))
             sequence += 1
             own = hashlib.sha256("\0".join(["audit", previous, str(sequence), payload or ""]).encode()).hexdigest()
-            out.append((key[0], sequence, previous, own, payload))
+            yield Row(log_id=key[0], sequence=sequence, previous_hash=previous, hash=own, payload=payload)
             previous = own
-        state.update((sequence, previous, sorted(ids)))
-        yield pd.DataFrame(out, columns=["log_id", "sequence", "previous_hash", "hash", "payload"])
+        if sequence:
+            self._head.update((sequence, previous))
+
+    def close(self) -> None:
+        pass
 
-    return clean.groupBy("log_id").applyInPandasWithState(step, "log_id long, sequence long, previous_hash string, hash string, payload string", "sequence long, previous string, ids array<long>", "append", GroupStateTimeout.NoTimeout)
+
+def audit_ingest(events: DataFrame, forget_after: int | None = None) -> DataFrame:
+    """A stream of chained records from events(log_id, event_id, seq, payload): idempotent by id, sensitive ones left out.
+
+    A batch reads as many ids of a log's state as it has events, however many the log has. Within a batch events are in order of seq;
+    needs keep_state_in_rocksdb.
+    """
+    clean = events.filter(~sensitive(F.col("payload"))).select(F.col("log_id").cast("long").alias("log_id"), F.col("event_id").cast("long").alias("event_id"), F.col("seq").cast("long").alias("seq"), "payload")
+    schema = "log_id long, sequence long, previous_hash string, hash string, payload string"
+    return clean.groupBy("log_id").transformWithState(Chain(forget_after), schema, "Append", "None" if forget_after is None else "ProcessingTime")
 
 
 def shadow_sync_stream(changes: DataFrame, forward: str, reverse: str | None) -> tuple[DataFrame, DataFrame]:
