@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.config import ManagedTable
+from tidewright.functions.expressions import expression
 from tidewright.functions.scalars import safe_call, sanitized, stable_id, version_key
 from tidewright.operators import evidence, evolve, reconcile
 from tidewright.plans.common import Registry, table, multiset_digest_sql
@@ -119,6 +120,22 @@ def p4_safe_expression(spark, sf_dir):
     )
 
 
+#: An expression tree with each form that is allowed.
+TREE = {
+    "case": [
+        {"when": {"or": [{"is_null": {"column": "p_name"}}, {"and": [{">": [{"column": "p_size"}, {"value": 40}]}, {"not": {"=": [{"column": "p_brand"}, {"value": "Brand#11"}]}}]}]}, "then": {"value": "large"}},
+        {"when": {"<=": [{"*": [{"column": "p_size"}, {"value": 2}]}, {"value": 20}]}, "then": {"||": [{"call": "upper", "args": [{"column": "p_type"}]}, {"cast": {"-": [{"column": "p_size"}, {"value": 1}]}, "to": "text"}]}},
+    ],
+    "else": {"call": "coalesce", "args": [{"value": None}, {"call": "substring", "args": [{"column": "p_name"}, {"value": 1}, {"value": 3}]}]},
+}
+
+
+@registry.add("""SELECT p_partkey, CASE WHEN p_name IS NULL OR (p_size > 40 AND NOT p_brand = 'Brand#11') THEN 'large' WHEN p_size * 2 <= 20 THEN upper(p_type) || (p_size - 1) ELSE substring(p_name, 1, 3) END AS label FROM part""")
+def p4_expression_tree(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", expression(TREE, dict(p.dtypes)).alias("label"))
+
+
 def backfill_parts(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return p.withColumn("p_slug", F.when(F.col("p_partkey") % 3 == 0, F.lower("p_name")))

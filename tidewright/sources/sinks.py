@@ -2,9 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.config import ManagedTable
+
+
+class LimitExceeded(ValueError):
+    """A table is larger than it may be."""
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _limited(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """df, of which a task stops at the row that is one too many for the whole table."""
+    if max_rows is None:
+        return df
+    within_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.filter(F.when(within_task < max_rows, True).otherwise(F.raise_error(F.lit(f"more than {max_rows} rows")).cast("boolean")))
+
+
+def write_managed(df: DataFrame, table: ManagedTable, root: str, version: str) -> dict[str, int]:
+    """write_version under the table's limits of rows and JSON bytes; gives rows and bytes.
+
+    Both are counted by the job that writes. A table beyond a limit leaves neither files nor a pointer, and
+    LimitExceeded is raised.
+    """
+    path, seen = f"{root}/versions/{version}", Observation()
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    counted = _limited(df, table.max_rows).observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    try:
+        counted.write.mode("errorifexists").parquet(path)
+    except Exception as e:
+        if table.max_rows is None or f"more than {table.max_rows} rows" not in str(e):
+            raise
+        _delete(df.sparkSession, path)
+        raise LimitExceeded(f"more than {table.max_rows} rows") from None
+    found = {k: int(v) for k, v in seen.get.items()}
+    for name, limit in (("rows", table.max_rows), ("bytes", table.max_bytes)):
+        if limit is not None and found[name] > limit:
+            _delete(df.sparkSession, path)
+            raise LimitExceeded(f"{found[name]} {name}, of {limit} at most")
+    _point_to(df.sparkSession, root, version)
+    return found
+
+
+def backfill_batch(batch: DataFrame, epoch: int, dest: str, changed_at: str, write, ledger: str) -> None:
+    """Writes a filled batch by write(batch) and its measures to the ledger; for foreachBatch.
+
+    epoch, rows, filled, seconds, newest (the latest changed_at): the counts come from the job that writes.
+    """
+    seen, began = Observation(), time.time()
+    write(batch.observe(seen, F.count("*").alias("rows"), F.count(F.col(dest)).alias("filled"), F.max(F.col(changed_at).cast("timestamp")).alias("newest")))
+    m = seen.get
+    row = (epoch, m["rows"], m["filled"], time.time() - began, m["newest"])
+    batch.sparkSession.createDataFrame([row], "epoch long, rows long, filled long, seconds double, newest timestamp").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/epoch_dir={epoch}")
+
+
+def backfill_rates(ledger: DataFrame, now: Column) -> DataFrame:
+    """batches, rows, filled, rows_per_second, lag_seconds (of now behind the newest row) of a ledger of backfill_batch."""
+    rate = F.sum("rows") / F.greatest(F.sum("seconds"), F.lit(1e-9))
+    lag = F.greatest(F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.max("newest")), F.lit(0))
+    return ledger.agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), rate.alias("rows_per_second"), lag.alias("lag_seconds"))
+
 
 def write_version(df: DataFrame, root: str, version: str) -> None:
     """A new version of a table, then the pointer to it: readers see the old one or the new one, whole.
@@ -12,7 +77,10 @@ def write_version(df: DataFrame, root: str, version: str) -> None:
     The pointer is a one-row table of its own; a write that fails before it leaves the old version.
     """
     df.write.mode("errorifexists").parquet(f"{root}/versions/{version}")
-    spark = df.sparkSession
+    _point_to(df.sparkSession, root, version)
+
+
+def _point_to(spark: SparkSession, root: str, version: str) -> None:
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/pointers")
 
 
