@@ -75,13 +75,17 @@ def diff_resources(current: DataFrame, desired: DataFrame, current_edges: DataFr
 def apply_rename_hints(current: DataFrame, desired: DataFrame, hints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(renames, problems) of hints(target_id, old_name, new_name).
 
-    renames: target_id, old_id, new_id. A hint whose sides are not exactly one dropped and one
+    A side of a hint is an id, a name or kind:name. renames: target_id, old_id, new_id. A hint whose sides are not exactly one dropped and one
     created resource of a kind is a problem, and so are sides with other parents.
     """
-    gone = current.join(desired.select("target_id", "id"), ["target_id", "id"], "left_anti")
-    new = desired.join(current.select("target_id", "id"), ["target_id", "id"], "left_anti")
-    old_side = hints.join(gone.select("target_id", F.col("name").alias("old_name"), F.col("id").alias("old_id"), F.col("kind").alias("old_kind"), F.col("parent").alias("old_parent")), ["target_id", "old_name"], "left")
-    pairs = old_side.join(new.select("target_id", F.col("name").alias("new_name"), F.col("id").alias("new_id"), F.col("kind").alias("new_kind"), F.col("parent").alias("new_parent")), ["target_id", "new_name"], "left")
+    def sides(all_: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        """Each resource that only one side has, under its id, its name and kind:name."""
+        own = all_.join(other.select("target_id", "id"), ["target_id", "id"], "left_anti")
+        keys = F.explode(F.array_distinct(F.array("id", "name", F.concat_ws(":", "kind", "name"))))
+        return own.select("target_id", keys.alias(f"{side}_name"), F.col("id").alias(f"{side}_id"), F.col("kind").alias(f"{side}_kind"), F.col("parent").alias(f"{side}_parent"))
+
+    old_side = hints.join(sides(current, desired, "old"), ["target_id", "old_name"], "left")
+    pairs = old_side.join(sides(desired, current, "new"), ["target_id", "new_name"], "left")
     key = ["target_id", "old_name", "new_name"]
     counted = pairs.groupBy(*key).agg(
         F.count_distinct("old_id").alias("n_old"),

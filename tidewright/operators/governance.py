@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -168,6 +170,47 @@ def approval_quorum(plans: DataFrame, approvals: DataFrame, identities: DataFram
     return plans.select("digest").join(judged, "digest", "left").select("digest", F.coalesce(F.col("met") & F.col("apart") & F.col("fresh"), F.lit(False)).alias("allowed"))
 
 
+def decisions(plans: DataFrame, approvals: DataFrame, identities: DataFrame, requirements: DataFrame, overrides: DataFrame, now: Column) -> DataFrame:
+    """digest, allowed, emergency, reason: approval_quorum with overrides(plan_digest, identity, reason); identities have emergency too.
+
+    An override stands in for the quorum of a plan that is apart, fresh and of a known environment, if its identity is the
+    requester, has emergency authority and gives a reason. One that is not so denies the plan, whatever its approvals.
+    """
+    quorum = approval_quorum(plans, approvals, identities, requirements, now)
+    holders = identities.filter(F.coalesce("emergency", F.lit(False))).select(F.col("id").alias("identity"), F.lit(True).alias("holds"))
+    said = overrides.join(holders, "identity", "left").join(plans.select(F.col("digest").alias("plan_digest"), "requester"), "plan_digest")
+    sound = (F.trim(F.coalesce("reason", F.lit(""))) != "") & (F.col("identity") == F.col("requester")) & F.coalesce("holds", F.lit(False))
+    given = said.groupBy(F.col("plan_digest").alias("digest")).agg(F.bool_and(F.coalesce(sound, F.lit(False))).alias("sound"), F.min("reason").alias("reason"))
+    known = requirements.select("environment").distinct().withColumn("_known", F.lit(True))
+    ready = plans.join(known, "environment", "left").select("digest", (F.coalesce("_known", F.lit(False)) & (F.col("author") != F.col("requester")) & (F.col("expires_at").isNull() | (F.col("expires_at") > now))).alias("ready"))
+    joined = quorum.join(given, "digest", "left").join(ready, "digest")
+    emergency = F.coalesce(F.col("sound") & F.col("ready"), F.lit(False))
+    allowed = F.when(F.col("sound").isNull(), F.col("allowed")).otherwise(emergency)
+    return joined.select("digest", allowed.alias("allowed"), emergency.alias("emergency"), F.when(emergency, F.col("reason")).alias("reason"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule over a state or its changes: check gives rows (state_id, principal, object, message) for what breaks it."""
+
+    name: str
+    check: Callable[[dict[str, DataFrame]], DataFrame]
+    remediation: str = ""
+
+
+def evaluate_rules(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
+    """rule, state_id, principal, object, message, remediation of all that the rules find in tables (a state's, or changes).
+
+    Two rules of one name are refused, and so is a rule without a name.
+    """
+    names = [r.name for r in rules]
+    if "" in names or len(set(names)) < len(names):
+        raise ValueError("rules need names of their own")
+    columns = ("state_id", "principal", "object", "message")
+    found = [r.check(tables).select(F.lit(r.name).alias("rule"), *[F.col(c).cast("string").alias(c) for c in columns], F.lit(r.remediation).alias("remediation")) for r in rules]
+    return reduce(DataFrame.unionByName, found)
+
+
 def gate_evidence(gates: DataFrame, checks: DataFrame, approvals: DataFrame) -> DataFrame:
     """gate, passed: each required check passed, and an approval names the gate's evidence.
 

@@ -16,13 +16,14 @@ from tidewright.operators.graphs import Parts
 from tidewright.session import checkpointed
 
 
-def migration_status(manifest: DataFrame, revisions: DataFrame, history: DataFrame) -> DataFrame:
+def migration_status(manifest: DataFrame, revisions: DataFrame, history: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """target_id, version, classification, dirty, drift of each migration a target should or does have.
 
     manifest(target_id, version, position, file, sql_digest), revisions(target_id, version, kind,
     state, attempt, file, sql_digest, plan_digest, to_version, started_at), history(target_id,
     plan_digest, attempt, state). What a target's last valid reversal or reapply leaves behind is
-    "reversed". Only drift and unknown revisions outrank recorded states.
+    "reversed". Only drift and unknown revisions outrank recorded states. heads(target_id, manifest_digest, generation):
+    of a target's last migration, the revision's manifest_digest and generation are held against them as well.
     """
     tries = history.groupBy("target_id", "plan_digest", "attempt").agg(
         F.bool_or(F.col("state").isin("intended", "uncertain")).alias("open"), F.bool_or(F.col("state") == "confirmed").alias("confirmed")
@@ -31,10 +32,16 @@ def migration_status(manifest: DataFrame, revisions: DataFrame, history: DataFra
     positions = manifest.select("target_id", F.col("version").alias("to_version"), F.col("position").alias("to_position"))
     controls = r.filter(F.col("kind").isin("reversal", "reapply") & (F.col("state") == "applied") & F.col("confirmed") & ~F.col("open")).join(positions, ["target_id", "to_version"])
     last = controls.groupBy("target_id").agg(F.max_by("to_position", F.struct("started_at", "version")).alias("reversed_to"))
-    plain = r.select("target_id", "version", F.struct("kind", "state", "file", "sql_digest", "open").alias("r"))
+    bound = ["manifest_digest", "generation"] if heads is not None else []
+    plain = r.select("target_id", "version", F.struct("kind", "state", "file", "sql_digest", "open", *bound).alias("r"))
     m = manifest.select("target_id", "version", F.struct("position", "file", "sql_digest").alias("m"))
     joined = m.join(plain, ["target_id", "version"], "full_outer").join(last, "target_id", "left").join(controls.select("target_id", "version", F.lit(True).alias("control")).distinct(), ["target_id", "version"], "left")
     drift = F.coalesce((F.col("m.file") != F.col("r.file")) | (F.col("m.sql_digest") != F.col("r.sql_digest")), F.lit(False))
+    if heads is not None:
+        last_at = manifest.groupBy("target_id").agg(F.max("position").alias("last_at"))
+        joined = joined.join(last_at.join(heads.select("target_id", F.struct("manifest_digest", "generation").alias("head")), "target_id"), "target_id", "left")
+        other = ~F.struct("r.manifest_digest", "r.generation").eqNullSafe(F.col("head"))
+        drift = drift | F.coalesce((F.col("m.position") == F.col("last_at")) & F.col("head").isNotNull() & F.col("r").isNotNull() & other, F.lit(False))
     undone = F.coalesce(F.col("m.position") > F.col("reversed_to"), F.lit(False))
     classification = (
         F.when(F.col("m").isNull(), F.when(F.col("control"), F.col("r.kind")).otherwise("unknown"))
@@ -62,6 +69,30 @@ def reconcile_history(expected: DataFrame, executed: DataFrame) -> DataFrame:
     return e.join(x, ["artifact", "step"], "full_outer").withColumn("finding", finding).filter("finding is not null").select("artifact", "step", "finding")
 
 
+#: What a confirmed step has in common with the plan it belongs to.
+BOUND = ("step_hash", "phase", "mode", "plan_digest", "bundle_digest")
+
+
+def reconcile_executions(revisions: DataFrame, expected: DataFrame, executed: DataFrame) -> DataFrame:
+    """artifact, attempt, step, finding of executed steps against revisions, by artifact, step and attempt.
+
+    revisions(artifact, attempt, state), expected(artifact, step, and BOUND), executed(artifact, step, attempt, state, and BOUND).
+    An attempt of a revision has each expected step once: missing, unexpected, duplicate, unconfirmed, and conflicting if what
+    it is bound to differs. A baseline has no executions at all (baseline), and an artifact that no revision names is unbound.
+    """
+    named = revisions.select("artifact").distinct()
+    unbound = executed.join(named, "artifact", "left_anti").select("artifact", "attempt", "step", F.lit("unbound").alias("finding")).distinct()
+    baseline = executed.join(revisions.filter("state = 'baseline'").select("artifact").distinct(), "artifact", "left_semi").select("artifact", "attempt", "step", F.lit("baseline").alias("finding")).distinct()
+    own = revisions.filter("state <> 'baseline'").select("artifact", "attempt").distinct()
+    content = lambda name: F.struct(*[F.col(c) for c in BOUND]).alias(name)
+    wanted = own.join(expected.select("artifact", "step", content("wanted")), "artifact")
+    seen = executed.join(own, ["artifact", "attempt"], "left_semi").groupBy("artifact", "attempt", "step").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("state") == "confirmed", F.lit(False))).alias("confirmed"), F.min(content("b")).alias("low"), F.max(content("b")).alias("high"))
+    joined = wanted.join(seen, ["artifact", "attempt", "step"], "full_outer")
+    same = F.col("wanted").eqNullSafe(F.col("low")) & F.col("wanted").eqNullSafe(F.col("high"))
+    finding = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("n") > 1, "duplicate").when(~F.col("confirmed"), "unconfirmed").when(~same, "conflicting")
+    return joined.withColumn("finding", finding).filter("finding is not null").select("artifact", "attempt", "step", "finding").unionByName(baseline).unionByName(unbound)
+
+
 def first_divergence(findings: dict[str, DataFrame], at: str = "version") -> DataFrame:
     """target_id, version, finding: each target's earliest finding; of one version, the kind listed first."""
     tagged = [df.select("target_id", at, F.lit(kind).alias("finding"), F.lit(i).alias("_rank")) for i, (kind, df) in enumerate(findings.items())]
@@ -91,21 +122,30 @@ def descends_from(manifests: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(last, "ancestor").join(child, ["child", "position"], "left").select("child", "ancestor", F.coalesce(F.col("own") == F.col("digest"), F.lit(False)).alias("descends"))
 
 
-def changeset(revisions: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, problems) of refs(changeset_id, base, head) in revisions(id, parent).
+def changeset(revisions: DataFrame, refs: DataFrame, directory: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, problems) of refs(changeset_id, base, head) in revisions(id, parent; with directory: file).
 
-    Members are what the parents of head reach before base. A head that never meets its base is a
-    problem (divergence), and so is a missing head.
+    Members are what the parents of head reach before base. Problems: a missing head, a parent that is missing, a walk that
+    comes back to itself, one that ends without meeting base, and a member whose file lies outside the directory.
     """
+    changes, own = F.col("target_id").alias("changeset_id"), ["changeset_id"]
     parents = revisions.filter("parent is not null")
     walks = refs.select(F.col("changeset_id").alias("target_id"), F.col("head").alias("id"), "base")
     start = walks.join(revisions.select("id"), "id", "left_semi")
     # one walk per changeset: its edges stop at its base
-    edges = reachable_edges(start, parents)
-    members = edges.filter(~F.col("id").eqNullSafe(F.col("base"))).select(F.col("target_id").alias("changeset_id"), "id")
-    met = edges.filter(F.col("id").eqNullSafe(F.col("base"))).select(F.col("target_id").alias("changeset_id")).distinct()
-    problems = refs.join(met, "changeset_id", "left_anti").select("changeset_id", F.lit("head does not descend from base").alias("problem"))
-    return members.join(met, "changeset_id", "left_semi"), problems
+    walked = reachable_edges(start, parents)
+    member = walked.filter(~F.col("id").eqNullSafe(F.col("base")))
+    met = walked.filter(F.col("id").eqNullSafe(F.col("base"))).select(changes).distinct()
+    known = revisions.select("id", "parent", F.lit(True).alias("known"), *(["file"] if directory else []))
+    looked = member.join(known, "id", "left")
+    ends = looked.groupBy(changes).agg(F.bool_or(F.col("known").isNull()).alias("missing"), F.bool_or(F.col("known").isNotNull() & F.col("parent").isNull()).alias("root"))
+    why = F.when(F.col("missing"), "missing parent").when(F.col("root"), "head does not descend from base").when(F.col("missing").isNull(), "missing head").otherwise("cycle")
+    problems = refs.join(met, own, "left_anti").join(ends, own, "left").select("changeset_id", why.alias("problem"))
+    if directory is not None:
+        outside = looked.filter(~F.startswith("file", F.lit(directory.rstrip("/") + "/"))).select(changes, F.lit("outside the directory").alias("problem")).distinct()
+        problems = problems.unionByName(outside.join(met, own, "left_semi"))
+    wrong = problems.select("changeset_id").distinct()
+    return member.select(changes, "id").join(met, own, "left_semi").join(wrong, own, "left_anti"), problems
 
 
 def reachable_edges(start: DataFrame, parents: DataFrame) -> DataFrame:

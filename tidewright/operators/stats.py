@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.config import Thresholds
+from tidewright.functions.scalars import is_digest
 
 #: What a table, an index, a foreign key and an unused index add to the complexity.
 WEIGHTS = {"tables": "1.00", "indexes": "0.50", "foreign_keys": "0.75", "unused_indexes": "1.00"}
@@ -66,3 +69,17 @@ def invalid_records(df: DataFrame, required: list[str], not_negative: list[str],
     reasons += [F.when(F.col(c) < 0, F.lit(f"{c} is negative")) for c in not_negative]
     reasons += [F.when(~F.coalesce(F.col(c).isin(allowed), F.lit(False)), F.lit(f"{c} is unknown")) for c, allowed in members.items()]
     return df.select(*keep, F.explode(F.array_compact(F.array(*reasons))).alias("reason"))
+
+
+def inconsistent_records(df: DataFrame, key: list[str], references: dict[str, tuple[DataFrame, str]], digests: list[str]) -> DataFrame:
+    """key, reason: keys that repeat, references(column -> (table, its column)) that lead nowhere, digests of another shape.
+
+    Null references lead nowhere on purpose, and null digests have no shape.
+    """
+    repeated = df.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").select(*key, F.lit("repeated").alias("reason"))
+    found = [repeated]
+    for column, (table, to) in references.items():
+        known = table.select(F.col(to).alias("_to")).distinct()
+        found.append(df.filter(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_to"), "left_anti").select(*key, F.lit(f"{column} leads nowhere").alias("reason")))
+    found += [df.filter(F.col(c).isNotNull() & ~is_digest(F.col(c))).select(*key, F.lit(f"{c} is no digest").alias("reason")) for c in digests]
+    return reduce(DataFrame.unionByName, found)

@@ -120,6 +120,18 @@ def j4_diff_with_renames(spark, sf_dir):
     return catalog.diff_with_renames(before, after, renames)
 
 
+@registry.add("SELECT CAST(c_nationkey AS VARCHAR) AS target_id, 'table:' || c_custkey AS old_id, 'table:' || c_custkey || chr(39) AS new_id FROM customer WHERE c_custkey % 6 = 0")
+def j4_hints_by_id(spark, sf_dir):
+    """Hints that name one side by its id, and the other one by kind:name that is as unique, or by its id too."""
+    before, after = schema_before(spark, sf_dir).filter("kind = 'table'"), schema_after(spark, sf_dir).filter("kind = 'table'")
+    moved = before.filter(c("k") % 6 == 0)
+    unique = F.concat(F.lit("only"), c("k").cast("string"))
+    after = after.withColumn("name", F.when(c("k") % 12 == 0, unique).otherwise(c("name")))
+    to = F.when(c("k") % 12 == 0, F.concat(F.lit("table:"), unique)).otherwise(F.concat("id", F.lit("'")))
+    hints = moved.select("target_id", c("id").alias("old_name"), to.alias("new_name"))
+    return catalog.apply_rename_hints(before, after, hints)[0]
+
+
 # -- graphs: region <- nation <- customer <- orders --------------------------------------------------------------------
 
 

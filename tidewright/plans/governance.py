@@ -116,7 +116,7 @@ def approval_tables(spark, sf_dir):
     roles = F.when(u % 3 == 0, F.array(F.lit("dba"), F.lit("dev"))).when(u % 3 == 1, F.array(F.lit("dev"))).otherwise(F.array(F.lit("dba")))
     identities = users.select(u.alias("id"), roles.alias("roles"))
     rows = F.array(*[F.struct(F.lit(e_).alias("environment"), F.lit(r).alias("minimum_risk"), F.lit(n).alias("approver_count"), F.array(*[F.lit(x) for x in ro]).alias("roles")) for e_, r, n, ro in (("prod", 1, 2, ["dev"]), ("prod", 3, 1, ["dba", "dev"]), ("test", 2, 1, ["dba"]))])
-    requirements = table(spark, sf_dir, "region").limit(1).select(F.inline(rows))
+    requirements = spark.range(1).select(F.inline(rows))
     return plans, approvals, identities, requirements
 
 
@@ -129,6 +129,33 @@ def j18_approval_quorum(spark, sf_dir):
     return g.approval_quorum(*approval_tables(spark, sf_dir), now())
 
 
+_QUORUM = registry.sql["j18_approval_quorum"].replace("SELECT p.digest, coalesce(", ", q AS (SELECT p.*, coalesce(").replace(" AS allowed FROM p LEFT JOIN n ON p.digest = n.digest", " AS quorum FROM p LEFT JOIN n ON p.digest = n.digest)")
+
+
+@registry.add(_QUORUM + """, s AS (SELECT *, digest % 6 < 3 AS said, digest % 6 = 0 AND requester % 4 = 0 AND requester IN (SELECT u FROM u) AS sound FROM q),
+e AS (SELECT *, said AND sound AND env <> 'other' AND author <> requester AND NOT expired AS emergency FROM s)
+SELECT digest, CASE WHEN said THEN emergency ELSE quorum END AS allowed, emergency, CASE WHEN emergency THEN 'outage ' || digest END AS reason FROM e""")
+def j18_emergency_override(spark, sf_dir):
+    """Every sixth plan is overridden by its requester, others by their author or without a reason; every fourth user has the authority."""
+    plans, approvals, identities, requirements = approval_tables(spark, sf_dir)
+    d = c("digest")
+    kind = d % 6
+    who = F.when(kind == 1, c("author")).otherwise(c("requester"))
+    why = F.when(kind == 2, " ").otherwise(F.concat(F.lit("outage "), d.cast("string")))
+    overrides = plans.filter(kind < 3).select(d.alias("plan_digest"), who.alias("identity"), why.alias("reason"))
+    return g.decisions(plans, approvals, identities.withColumn("emergency", c("id") % 4 == 0), requirements, overrides, now())
+
+
+@registry.add(f"""WITH {GRANTS} SELECT 'no public grants' AS rule, CAST(state_id AS VARCHAR) AS state_id, grantee AS principal, object, 'everyone holds ' || privilege AS message, 'grant to a role' AS remediation FROM gr WHERE grantee = 'PUBLIC'
+UNION ALL SELECT 'nothing is granted on', CAST(state_id AS VARCHAR), grantee, object, 'may be granted on', '' FROM gr WHERE grantable AND k % 17 = 0""")
+def security_rules(spark, sf_dir):
+    """A rule over the grants of a state, and one over those that change."""
+    gr = grants(spark, sf_dir)
+    public = g.Rule("no public grants", lambda t: g.public_grants(t["grants"]).select("state_id", c("grantee").alias("principal"), "object", F.concat(F.lit("everyone holds "), "privilege").alias("message")), "grant to a role")
+    onward = g.Rule("nothing is granted on", lambda t: t["changes"].filter("grantable").select("state_id", c("grantee").alias("principal"), "object", F.lit("may be granted on").alias("message")))
+    return g.evaluate_rules({"grants": gr, "changes": gr.filter(c("k") % 17 == 0)}, [public, onward])
+
+
 @registry.add("""WITH k AS (SELECT o_custkey AS gate, max(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 1 ELSE 0 END) AS urgent, max(CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' THEN 1 ELSE 0 END) AS high, max(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS bound,
 min(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' THEN 0 ELSE 1 END) AS u_all, min(CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus <> 'F' THEN 0 ELSE 1 END) AS h_all FROM orders GROUP BY 1)
 SELECT gate, (gate % 10 = 0 OR (urgent = 1 AND high = 1 AND u_all = 1 AND h_all = 1)) AND bound = 1 AS passed FROM k""")

@@ -474,3 +474,49 @@ def j21_chain_descends(spark, sf_dir):
     chained = h.chain_digests(entries.unionByName(goes_on).unionByName(other))
     pairs = last.select(F.explode(F.array(c("manifest_id") + 1000000, c("manifest_id") + 2000000)).alias("child"), c("manifest_id").alias("ancestor"))
     return h.descends_from(chained, pairs)
+
+
+@registry.add(f"""WITH {MIGRATIONS}, l AS (SELECT target_id, max(position) AS p FROM m GROUP BY 1),
+d AS (SELECT m.target_id, m.version FROM m JOIN l ON m.target_id = l.target_id AND m.position = l.p WHERE m.k % 5 <> 0 AND m.k % 7 = 0)
+SELECT s.target_id, s.version, CASE WHEN d.version IS NOT NULL AND classification <> 'reversed' THEN 'drift' ELSE classification END AS classification, dirty, drift OR d.version IS NOT NULL AS drift
+FROM s LEFT JOIN d ON s.target_id = d.target_id AND s.version = d.version WHERE classification IS NOT NULL""")
+def j14_last_entry_drift(spark, sf_dir):
+    """Revisions of every seventh order were recorded under another manifest; only a target's last migration is held against it."""
+    manifest, revisions, history = migrations(spark, sf_dir)
+    other = (c("started_at") % 7 == 0) & (c("kind") == "migration")
+    bound = revisions.withColumn("manifest_digest", F.when(other, "other").otherwise("now")).withColumn("generation", F.lit("g"))
+    heads = manifest.select("target_id").distinct().select("target_id", F.lit("now").alias("manifest_digest"), F.lit("g").alias("generation"))
+    return h.migration_status(manifest, bound, history, heads)
+
+
+@registry.add("""WITH l AS (SELECT l_orderkey AS artifact, l_linenumber AS step, l_partkey AS k FROM lineitem),
+steps AS (SELECT DISTINCT artifact, step FROM l), a AS (SELECT artifact, unnest([1, 2]) AS attempt FROM (SELECT DISTINCT artifact FROM l WHERE artifact % 7 NOT IN (0, 1))),
+x AS (SELECT artifact, step, 1 AS attempt, k FROM l WHERE k % 5 <> 0 UNION ALL SELECT artifact, step + 100, 2, k FROM l WHERE k % 31 = 0 UNION ALL SELECT artifact, step, 2, k FROM l),
+s AS (SELECT artifact, attempt, step, count(*) AS n, bool_and(k % 11 <> 0) AS ok, bool_and(k % 13 <> 0) AS same FROM x JOIN a USING (artifact, attempt) GROUP BY ALL),
+w AS (SELECT artifact, attempt, step FROM steps JOIN a USING (artifact)),
+f AS (SELECT coalesce(w.artifact, s.artifact) AS artifact, coalesce(w.attempt, s.attempt) AS attempt, coalesce(w.step, s.step) AS step,
+ CASE WHEN n IS NULL THEN 'missing' WHEN w.artifact IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' WHEN NOT ok THEN 'unconfirmed' WHEN NOT same THEN 'conflicting' END AS finding FROM w FULL JOIN s ON w.artifact = s.artifact AND w.attempt = s.attempt AND w.step = s.step)
+SELECT * FROM f WHERE finding IS NOT NULL UNION ALL SELECT DISTINCT artifact, attempt, step, CASE WHEN artifact % 7 = 0 THEN 'unbound' ELSE 'baseline' END FROM x WHERE artifact % 7 IN (0, 1)""")
+def j15_reconcile_executions(spark, sf_dir):
+    """Lines are the steps of an order's artifact; two attempts each, some orders without a revision, some with a baseline only."""
+    k = c("k")
+    lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("artifact"), c("l_linenumber").cast("int").alias("step"), c("l_partkey").alias("k"))
+    revisions = lines.select("artifact").distinct().filter(c("artifact") % 7 != 0).select("artifact", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), F.when(c("artifact") % 7 == 1, "baseline").otherwise("applied").alias("state"))
+    bound = [F.lit(x).alias(x) for x in h.BOUND[1:]]
+    expected = lines.select("artifact", "step").distinct().select("artifact", "step", F.lit("hash").alias("step_hash"), *bound)
+    runs = lines.filter(k % 5 != 0).withColumn("attempt", F.lit(1)).unionByName(lines.filter(k % 31 == 0).withColumn("step", c("step") + 100).withColumn("attempt", F.lit(2))).unionByName(lines.withColumn("attempt", F.lit(2)))
+    executed = runs.select("artifact", "step", "attempt", F.when(k % 11 != 0, "confirmed").otherwise("intended").alias("state"), F.when(k % 13 != 0, "hash").otherwise("other").alias("step_hash"), *bound)
+    return h.reconcile_executions(revisions, expected, executed)
+
+
+@registry.add("""SELECT c_custkey AS changeset_id, CASE c_custkey % 6 WHEN 0 THEN 'head does not descend from base' WHEN 1 THEN 'missing parent' WHEN 2 THEN 'cycle' WHEN 3 THEN 'missing head' WHEN 4 THEN 'outside the directory' END AS problem FROM customer WHERE c_custkey % 6 <> 5""")
+def g3_changeset_problems(spark, sf_dir):
+    """A history of four revisions for each customer: one that is whole, or a kind of problem."""
+    k = c("c_custkey")
+    t = table(spark, sf_dir, "customer").select(k, F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("i"))
+    at = lambda i: F.concat_ws("-", k.cast("string"), i.cast("string"))
+    parent = F.when((k % 6 == 1) & (c("i") == 0), F.lit("gone")).when((k % 6 == 2) & (c("i") == 0), at(F.lit(2))).when(c("i") > 0, at(c("i") - 1))
+    revisions = t.select(at(c("i")).alias("id"), parent.alias("parent"), F.concat(F.when((k % 6 == 4) & (c("i") == 2), "elsewhere/").otherwise("migrations/"), at(c("i"))).alias("file"))
+    base = F.when(k % 6 < 3, F.lit("none")).otherwise(at(F.lit(0)))
+    refs = table(spark, sf_dir, "customer").select(k.alias("changeset_id"), base.alias("base"), F.when(k % 6 == 3, F.lit("none")).otherwise(at(F.lit(3))).alias("head"))
+    return h.changeset(revisions, refs, "migrations")[1]

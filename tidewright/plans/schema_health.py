@@ -247,3 +247,26 @@ def l18_test_tokens(spark, sf_dir):
 @registry.add("SELECT least(count(*), 101) AS counted, count(*) <= 100 AS within FROM part WHERE p_partkey % 10 = 0")
 def o5_max_changes(spark, sf_dir):
     return evidence.at_most(changes(spark, sf_dir).filter(c("op") == "drop"), 100)
+
+
+@registry.add("""WITH i AS (SELECT p_brand AS plan_id, p_partkey % 10 AS k FROM part)
+SELECT plan_id, count(*) AS changes, count(*) FILTER (k IN (0, 3)) AS destructive, count(*) FILTER (k IN (2, 6)) AS rewrites, count(*) FILTER (k IN (1, 2, 3, 5, 7)) AS scans, count(*) FILTER (k <> 2) AS exclusive, count(*) FILTER (k = 2) AS share, bool_or(k IN (0, 3)) AS requires_approval FROM i GROUP BY plan_id""")
+def a16_impact_totals(spark, sf_dir):
+    return lint.impact_totals(l20_impact_classes(spark, sf_dir), ["plan_id"])
+
+
+@registry.add(f"""WITH {_STATS}, f AS (SELECT * FROM ({_expected(_CHANGES, 5)}) LEFT JOIN ts USING (resource_id))
+SELECT plan_id, change_id, rule, CASE WHEN rule NOT IN ('102', '104') THEN 'certain' WHEN estimated_rows IS NULL THEN 'assumed' ELSE 'estimated' END AS confidence,
+concat_ws(', ', CASE WHEN rule IN ('102', '104') THEN CASE WHEN estimated_rows IS NULL THEN 'the table may be of any size' ELSE 'sizes are as of the last statistics' END END, CASE WHEN rule IN ('101', '102', '104') THEN 'the lock is held until the transaction ends' END) AS assumptions FROM f""")
+def l19_confidence(spark, sf_dir):
+    found = lint.with_table_stats(lint.lint_changes(changes(spark, sf_dir), version=16), table_stats(spark, sf_dir))
+    return lint.escalate(found, max_rows=100_000).select("plan_id", "change_id", "rule", "confidence", "assumptions")
+
+
+@registry.add("""SELECT o_orderkey % 5000 AS id, 'repeated' AS reason FROM orders GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT o_orderkey % 5000, 'customer leads nowhere' FROM orders WHERE o_orderkey % 23 = 0 UNION ALL SELECT o_orderkey % 5000, 'digest is no digest' FROM orders WHERE o_orderkey % 19 = 0""")
+def p15_inconsistent_records(spark, sf_dir):
+    k = c("o_orderkey")
+    digest = F.when(k % 19 == 0, F.lit("sha256:short")).when(k % 3 == 0, F.concat(F.lit("sha256:"), F.sha2(k.cast("string"), 256)))
+    o = table(spark, sf_dir, "orders").select((k % 5000).alias("id"), F.when(k % 23 == 0, -1).otherwise(c("o_custkey")).alias("customer"), digest.alias("digest"))
+    return stats.inconsistent_records(o, ["id"], {"customer": (table(spark, sf_dir, "customer"), "c_custkey")}, ["digest"])
