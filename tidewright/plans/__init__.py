@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("rows", "catalog", "schema_health", "governance", "histories", "replicas")
+FAMILIES = ("rows", "catalog", "schema_health", "governance", "histories", "replicas", "files")
 
 
 def queries() -> dict:

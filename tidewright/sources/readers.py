@@ -23,7 +23,8 @@ def headers(spark: SparkSession, path: str) -> list[list[str]]:
     """The names in the first line of each CSV file, without blanks and quotes around them; those of equal files once, at most two."""
     lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
     first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
-    names = F.transform(F.split("line", ","), lambda n: F.regexp_replace(F.regexp_replace(n, r"^\s+|\s+$", ""), '^"+|"+$', ""))
+    # commas outside quotes; a header is one line
+    names = F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*+[^"]*$)'), lambda n: F.regexp_replace(F.regexp_replace(n, r"^\s+|\s+$", ""), '^"+|"+$', ""))
     return [r[0] for r in first.select(names.alias("names")).distinct().limit(2).collect()]
 
 
@@ -37,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     for names in headers(spark, path) or [[]]:
         if names != kind.names:
             raise ValueError(f"the header has {names}, declared are {kind.names}")
-    return spark.read.schema(kind).csv(path, header=True, mode="FAILFAST", nullValue="", enforceSchema=True)
+    return spark.read.schema(kind).csv(path, header=True, mode="FAILFAST", nullValue="", escape='"', enforceSchema=True)
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +49,7 @@ def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
     found = headers(spark, path)
     if len(found) > 1:
         raise ValueError(f"files have different headers: {found[0]} and {found[1]}")
-    rows = spark.read.csv(path, header=True, mode="FAILFAST", nullValue="")
+    rows = spark.read.csv(path, header=True, mode="FAILFAST", nullValue="", escape='"')
 
     def cell(name: str):
         c = F.col(f"`{name}`")

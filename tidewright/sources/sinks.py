@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.config import ManagedTable
@@ -84,6 +85,24 @@ def _point_to(spark: SparkSession, root: str, version: str) -> None:
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/pointers")
 
 
+def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
+    """df in order of keys over all its files: ranges are dealt to tasks, each sorts its own, and files are named in that order.
+
+    Ties of the keys should be none, or their order is open.
+    """
+    df.orderBy(*keys).write.mode("errorifexists").parquet(path)
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of write_ordered with place, their number from 0: files by name, rows as they are in them."""
+    rows = spark.read.parquet(path).select("*", "_metadata.file_name", "_metadata.row_index")
+    sizes = rows.groupBy("file_name").agg(F.count("*").alias("n"))
+    # a row for each file
+    w = W.orderBy("file_name").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("file_name", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return rows.join(before, "file_name").withColumn("place", F.col("before") + F.col("row_index")).drop("before", "file_name", "row_index")
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The version that was pointed to last; versions order as text."""
     current = spark.read.schema("version string").json(f"{root}/pointers").agg(F.max("version")).first()[0]
