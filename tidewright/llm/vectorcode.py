@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import shared_folder, unused
 
 #: Rows of a block, which has a tree for each part, and points of a leaf.
-BLOCK, LEAF = 4096, 32
+BLOCK, LEAF = 4096, 64
 #: Larger components count as this.
 LARGEST = 1 << 62
 #: Up to this size differences of 128 components can be squared and added as 64-bit numbers.
@@ -126,36 +126,27 @@ class Balls:
 def anchors(points: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
     """The points `of`, divided among about sqrt(n) anchors (fewer if leaves suffice), each point with its nearest anchor.
 
-    A new anchor is the farthest point of the widest set. It takes points from an older anchor only within
-    reach: those farther from the old one than half the distance between the two; the rest is not looked at.
+    A new anchor is the point that is farthest from its own one. It takes points from older anchors only within
+    reach: those farther from theirs than half the distance between the two anchors; the rest is not looked at.
     """
     k = max(2, min(round(len(of) ** 0.5), -(-len(of) // LEAF)))
-    first = points[of[0]]
-    d = _root(_squares(points[of] - first))
-    far = np.argsort(-d, kind="stable")
-    sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(first, of[far], d[far])]  # anchor, its points from the farthest, distances
-    while len(sets) < k:
-        widest = max(range(len(sets)), key=lambda i: sets[i][2][0])
-        if sets[widest][2][0] == 0:
+    p = points[of].astype(np.float64)
+    found, owner = [0], np.zeros(len(of), np.int64)
+    away = np.sqrt(_squares(p - p[0]))
+    while len(found) < k:
+        new = int(away.argmax())
+        if away[new] == 0:
             break  # copies
-        new = points[sets[widest][1][0]]
-        taken, at = [], []
-        for i, (anchor, own, away) in enumerate(sets):
-            reach = int(np.searchsorted(-away, -_root(_squares(new - anchor)) / 2, "right"))
-            if not reach:
-                continue
-            to_new = _root(_squares(points[own[:reach]] - new))
-            closer = to_new < away[:reach]
-            if closer.any():
-                taken.append(own[:reach][closer])
-                at.append(to_new[closer])
-                stay = np.concatenate([~closer, np.ones(len(own) - reach, bool)])
-                sets[i] = (anchor, own[stay], away[stay])
-        sets = [s for s in sets if len(s[1])]
-        mine, to_new = np.concatenate(taken), np.concatenate(at)
-        far = np.argsort(-to_new, kind="stable")
-        sets.append((new, mine[far], to_new[far]))
-    return [s[1] for s in sets]
+        gap = np.sqrt(_squares(p[found] - p[new]))
+        reach = np.flatnonzero(away > gap[owner] / 2)
+        to_new = np.sqrt(_squares(p[reach] - p[new]))
+        closer = to_new < away[reach]
+        taken = reach[closer]
+        owner[taken], away[taken] = len(found), to_new[closer]
+        found.append(new)
+    order = np.argsort(owner, kind="stable")
+    sets = np.split(of[order], np.searchsorted(owner[order], np.arange(1, len(found))))
+    return [s for s in sets if len(s)]
 
 
 def middle_out(points: np.ndarray, sets: list[np.ndarray]) -> tuple:
@@ -197,6 +188,7 @@ def owned(balls: Balls, points: np.ndarray, book: np.ndarray) -> tuple[np.ndarra
     gap = _root(_squares(book[:, None] - book[None])) * (1 + 1e-9)
     ball = np.zeros(len(candidates), np.int64)  # (ball, entry) pairs, by ball, entries ascending
     entry = candidates
+    single: list[np.ndarray] = []  # places that were decided point by point
     while len(ball):
         away = _squares(balls.pivots[ball] - book[entry])
         first = np.flatnonzero(np.concatenate([[True], ball[1:] != ball[:-1]]))
@@ -215,21 +207,36 @@ def owned(balls: Balls, points: np.ndarray, book: np.ndarray) -> tuple[np.ndarra
             sums[e] += balls.sums[b]
             counts[e] += balls.hi[b] - balls.lo[b]
         leaf = balls.left[node] < 0
-        for i in np.flatnonzero((size > 1) & leaf).tolist():
-            b, own = node[i], entry[first[i] : first[i] + size[i]]
-            lo, hi = balls.lo[b], balls.hi[b]
-            p = points[lo:hi]
-            nearest = own[_squares(p[:, None] - book[own][None]).argmin(axis=1)]
-            code[lo:hi] = nearest
-            np.add.at(sums, nearest, p)
-            np.add.at(counts, nearest, 1)
+        open_leaves = np.flatnonzero((size > 1) & leaf)
+        if len(open_leaves):
+            place, nearest = _decided(balls, points, book, node[open_leaves], first[open_leaves], size[open_leaves], entry)
+            code[place] = nearest
+            single.append(place)
         inherit = np.repeat((size > 1) & ~leaf, size)
         ball, entry = ball[inherit], entry[inherit]
         order = np.lexsort((np.tile(entry, 2), both := np.concatenate([balls.left[ball], balls.right[ball]])))
         ball, entry = both[order], np.tile(entry, 2)[order]
+    if single:
+        place = np.concatenate(single)
+        np.add.at(sums, code[place], points[place])
+        np.add.at(counts, code[place], 1)
     return code, sums, counts
 
 
+def _decided(balls: Balls, points: np.ndarray, book: np.ndarray, node: np.ndarray, first: np.ndarray, size: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, entries): the nearest one of each leaf's candidates, entry[first : first + size], for its points; ties to the lower one."""
+    lo, m = balls.lo[node], balls.hi[node] - balls.lo[node]
+    pairs = m * size
+    k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    width = np.repeat(size, pairs)
+    place, candidate = np.repeat(lo, pairs) + k // width, entry[np.repeat(first, pairs) + k % width]
+    away = _squares(points[place] - book[candidate])
+    begin = np.flatnonzero(k % width == 0)
+    least = np.repeat(np.minimum.reduceat(away, begin), np.diff(np.append(begin, len(away))))
+    at = np.minimum.reduceat(np.where(away == least, np.arange(len(away)), len(away)), begin)
+    return place[begin], candidate[at]
+
+
 def _pack(trees: list[Balls], vectors: np.ndarray) -> bytes:
     """The trees and vectors of a block; Python's integers as text, so that nothing is pickled."""
     columns = {f"{i}.{k}": v for i, t in enumerate(trees) for k, v in t.columns().items()} | {"vectors": vectors}
