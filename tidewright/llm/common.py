@@ -39,6 +39,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job wrote, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def released(df: DataFrame) -> DataFrame:
     """checkpointed, and the shuffle files that went into it are deleted at once, not when the driver forgets them."""
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -37,7 +37,7 @@ MAX_BROADCAST = 100_000
 #: Links of each row between components that are verified in the rounds after the forest; None: all that are left.
 ROUNDS = (2, 16, None)
 #: Bits of a sketch, by which candidates of those rounds are sifted before they are verified.
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -170,7 +170,7 @@ _TURNS = mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64)) | np.uint64(1)
 def sketch_of(shingles: np.ndarray) -> bytes:
     """One bit of each of SKETCH_BITS minimum hashes: two sketches differ in about (1 - Jaccard index) / 2 of them."""
     least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max)
-    for part in np.array_split(shingles, len(shingles) // 4096 + 1):
+    for part in np.array_split(shingles, len(shingles) // 2048 + 1):
         if len(part):
             np.minimum(least, (_TURNS[:, None] * part).min(axis=1), out=least)
     return np.packbits((mix(least) & np.uint64(1)).astype(bool)).tobytes()
@@ -384,7 +384,7 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
     Fingerprints have 128 bits here, of distinct shingles. Candidates are nearest ones of at most
     max_total differing bits, max_bits at most in one of the halves, each of which has a trie; two are linked if the Jaccard index of their
     texts' k-word shingles is at least `similarity`, or if all 128 bits are equal. A candidate is
-    left unverified only if its ends are connected by links already, or if 1024 bits of minimum
+    left unverified only if its ends are connected by links already, or if SKETCH_BITS bits of minimum
     hashes say that its index lies below `similarity` by four standard deviations. Of each connected
     group the row with the smallest doc_id (null before all; ties by a hash of the text) stays, of
     rows repeated with doc_id and text just one. All columns pass through.
