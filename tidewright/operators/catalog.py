@@ -136,7 +136,7 @@ def select_closure(resources: DataFrame, edges: DataFrame, contains: DataFrame,
     """target_id, id: resources that the globs select, by id, name or kind:name.
 
     Included ones bring what they contain and all their dependencies; excluded ones take all their
-    dependents with them. contains: target_id, id (the part), dep (the whole).
+    parts and dependents with them, and theirs. contains: target_id, id (the part), dep (the whole).
     """
     def matches(globs: list[str]) -> DataFrame:
         names = [F.col("id"), F.col("name"), F.concat_ws(":", "kind", "name")]
@@ -146,7 +146,8 @@ def select_closure(resources: DataFrame, edges: DataFrame, contains: DataFrame,
     start = matches(include) if include else resources.select("target_id", "id")
     kept = reachable(reachable(start, contains, forward=False), edges, forward=True)
     if exclude:
-        kept = kept.join(reachable(matches(exclude), edges, forward=False), ["target_id", "id"], "left_anti")
+        held = edges.select("target_id", "id", "dep").unionByName(contains.select("target_id", "id", "dep"))
+        kept = kept.join(reachable(matches(exclude), held, forward=False), ["target_id", "id"], "left_anti")
     return kept
 
 

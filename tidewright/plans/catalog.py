@@ -156,6 +156,23 @@ def g1_select_closure(spark, sf_dir):
     return catalog.select_closure(nodes, edges, edges, ["region:2"], ["nation:8"])
 
 
+@registry.add("""WITH part AS (SELECT 'nation:' || n_nationkey AS id, 'region:' || n_regionkey AS dep FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer),
+need AS (SELECT 'customer:' || o_custkey AS id, 'order:' || o_orderkey AS dep FROM orders UNION ALL SELECT 'customer:' || c_custkey, 'customer:' || (c_custkey - 1) FROM customer WHERE c_custkey % 40 = 1),
+n AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+kept AS (SELECT c_custkey AS k FROM n WHERE n_regionkey = 2 UNION SELECT c_custkey - 1 FROM n WHERE n_regionkey = 2 AND c_custkey % 40 = 1),
+gone AS (SELECT c_custkey AS k FROM n WHERE c_nationkey = 8 UNION SELECT c_custkey + 1 FROM n WHERE c_nationkey = 8 AND c_custkey % 40 = 0)
+SELECT 'all' AS target_id, 'region:2' AS id UNION ALL SELECT 'all', 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 2 AND n_nationkey <> 8
+UNION ALL SELECT 'all', 'customer:' || k FROM kept WHERE k NOT IN (SELECT k FROM gone) UNION ALL SELECT 'all', 'order:' || o_orderkey FROM orders WHERE o_custkey IN (SELECT k FROM kept)""")
+def g1_parts_and_needs(spark, sf_dir):
+    """Customers are parts of nations and these of regions; a customer needs its orders, and each fortieth another customer."""
+    nodes, links = containment(spark, sf_dir)
+    is_order = c("id").startswith("order:")
+    needs = links.filter(is_order).select("target_id", c("dep").alias("id"), c("id").alias("dep"))
+    k = c("c_custkey")
+    others = table(spark, sf_dir, "customer").filter(k % 40 == 1).select(F.lit("all").alias("target_id"), F.concat(F.lit("customer:"), k.cast("string")).alias("id"), F.concat(F.lit("customer:"), (k - 1).cast("string")).alias("dep"))
+    return catalog.select_closure(nodes, needs.unionByName(others), links.filter(~is_order), ["region:2"], ["nation:8"])
+
+
 @registry.add("""WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 ELSE c_custkey // 2 END AS dep FROM customer),
 ok(id) AS (SELECT DISTINCT dep FROM e WHERE dep NOT IN (SELECT id FROM e) UNION SELECT e.id FROM e JOIN ok ON e.dep = ok.id)
 SELECT 'all' AS target_id, id FROM e WHERE id NOT IN (SELECT id FROM ok)""")
