@@ -26,8 +26,8 @@ MIN_QUALITY = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject.
 
-    Null and empty texts are scored as texts without words; equal texts have equal scores. Without labels all scores are the
-    same and nothing is rejected.
+    Null and empty texts are scored as texts without words; equal texts have equal scores. Without labels all
+    scores are 0.5 and nothing is rejected.
     """
     score = "_quality" + "_" * max(map(len, docs.columns))
     return with_quality(docs, table(spark, sf_dir, "labels"), score).filter(F.col(score) >= MIN_QUALITY).drop(score)
