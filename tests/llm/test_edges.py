@@ -386,10 +386,12 @@ def plain_pseudonym(kind, m, key):
         return f"{i + 2 if i >= 665 else i + 1:03}-{x % 99 + 1:02}-{y + 1:04}"
     if kind == "phone":
         own = digits[-10:]
-        if own[0] in "01" or own[3] in "01":
+        area, exchange = int(own[:3]), int(own[3:6])
+        if (area < 200 or exchange < 200) and "(" not in m and not m.startswith("+"):
             return None
-        x, y = feistel((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200, int(own[6:]), 640_000, 10_000, "phone")
-        return fill(f"{digits[:-10]}{x // 800 + 200}{x % 800 + 200}{y:04}")
+        (a0, an), (e0, en) = ((0, 200) if x < 200 else (200, 800) for x in (area, exchange))
+        x, y = feistel((area - a0) * en + exchange - e0, int(own[6:]), an * en, 10_000, "phone" if a0 and e0 else f"phone/{a0}/{e0}")
+        return fill(f"{digits[:-10]}{x // en + a0:03}{x % en + e0:03}{y:04}")
     if luhn(digits) % 10:
         return None
     body, n = digits[1:-1], len(digits) - 2

@@ -146,14 +146,24 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """A number whose area and exchange begin with 2 to 9 becomes another such one; the shape stays."""
+    """Another number of the same kind; the shape stays.
+
+    Area and exchange of a real number begin with 2 to 9. One that does not is taken for a phone number only if a country
+    code or brackets say so. Each of the four kinds is permuted in itself.
+    """
     digits = _only_digits(m)
     own = F.right(digits, F.lit(10))
     area, exchange, line = (F.substr(own, F.lit(i), F.lit(n)).cast("int") for i, n in ((1, 3), (4, 3), (7, 4)))
-    out = feistel((area - 200) * 800 + exchange - 200, line, F.lit(800 * 800), F.lit(10_000), F.lit("phone"), key)
-    text = lambda s: F.concat((F.floor(s["l"] / 800) + 200).cast("string"), (F.pmod(s["l"], F.lit(800)) + 200).cast("string"), _digits_of(s["r"], F.lit(4)))
+    low = lambda x: F.when(x < 200, 0).otherwise(200)
+    count = lambda x: F.when(x < 200, 200).otherwise(800)
+    real = (area >= 200) & (exchange >= 200)
+    tweak = F.when(real, "phone").otherwise(F.concat_ws("/", F.lit("phone"), low(area).cast("string"), low(exchange).cast("string")))
+    out = feistel((area - low(area)) * count(exchange) + exchange - low(exchange), line, count(area) * count(exchange), F.lit(10_000), tweak, key)
+    three = lambda x: _digits_of(x.cast("bigint"), F.lit(3))
+    text = lambda s: F.concat(three(F.floor(s["l"] / count(exchange)) + low(area)), three(F.pmod(s["l"], count(exchange)) + low(exchange)), _digits_of(s["r"], F.lit(4)))
     new = F.transform(F.array(out), text)[0]
-    return F.when((area >= 200) & (exchange >= 200), _fill(m, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), new)))
+    marked = m.startswith("+") | F.contains(m, F.lit("("))
+    return F.when(real | marked, _fill(m, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), new)))
 
 
 def _email(m: Column, key: str) -> Column:
