@@ -35,7 +35,7 @@ LEAF_PAIRS = 1024
 #: A table of large groups of at most so many rows is broadcast.
 MAX_BROADCAST = 100_000
 #: Links of each row between components that are verified in the rounds after the forest; None: all that are left.
-ROUNDS = (2, 16, None)
+ROUNDS = (4, None)
 #: Bits of a sketch, by which candidates of those rounds are sifted before they are verified.
 SKETCH_BITS = 2048
 
@@ -133,23 +133,35 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: i
     return found
 
 
-def links_between(fps, group, side, max_bits, check, max_total, root: np.ndarray, sketch: np.ndarray, max_apart: int, most: int | None) -> Iterator[np.ndarray]:
+def links_between(fps, group, side, max_bits, check, max_total, root: np.ndarray, sketch: np.ndarray, max_apart: int, most: int | None, table: np.ndarray, masks: np.ndarray, second: bool) -> Iterator[np.ndarray]:
     """The links (i, j) of trie_pairs between rows of different root whose sketches differ in at most max_apart bits.
 
-    With `most`, those that are among the `most` nearest ones of an end, and (i, i) for both ends of each link that is left out.
+    A link lies in the groups of all choices of blocks that its ends agree on; it is given in the group of the first of these
+    only (masks: the choices' bits; table: each row's choice). `second`: links that the other half's tries hold as well are theirs.
+    With `most`, links are left out that are not among the `most` nearest ones of an end, in their group.
     """
-    found, more = np.zeros((0, 2), np.int64), np.zeros(len(fps), bool)
+
+    def own(links: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(links), bool)
+        for at in np.array_split(np.arange(len(links)), len(links) // 50_000 + 1):
+            i, j = links[at].T
+            equal = ((fps[i] ^ fps[j])[:, None] & masks) == 0
+            keep[at] = equal.argmax(axis=1) == table[i]
+            if second:
+                other = check[i] ^ check[j]
+                keep[at] &= ~((np.bitwise_count(other) <= max_bits) & ((other[:, None] & masks) == 0).any(axis=1))
+        return links[keep]
+
+    found = np.zeros((0, 2), np.int64)
     for links in trie_pairs(fps, group, side, max_bits, check, max_total):
         links = links[root[links[:, 0]] != root[links[:, 1]]]
         links = links[sketch_distance(sketch, links) <= max_apart]
         if most is None:
-            yield links
+            yield own(links)
             continue
         found = np.concatenate([found, links])
-        near = nearest_links(found, sketch_distance(sketch, found), most)
-        more[found[~near].ravel()] = True
-        found = found[near]
-    yield np.concatenate([found, np.repeat(np.flatnonzero(more)[:, None], 2, axis=1)])
+        found = found[nearest_links(found, sketch_distance(sketch, found), most)]
+    yield own(found)
 
 
 def sketch_distance(sketch: np.ndarray, links: np.ndarray) -> np.ndarray:
@@ -241,14 +253,14 @@ def _leaf(fps, check, alo, ahi, blo, bhi, max_bits, max_total) -> Iterator[np.nd
         yield np.stack([i[near], j[near]], 1)
 
 
-def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1, max_total: int = 2 * BITS, most: int | None = None, max_apart: int = SKETCH_BITS) -> DataFrame:
+def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: int = 1, max_total: int = 2 * BITS, most: int | None = None, max_apart: int = SKETCH_BITS, second: bool = False) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all at most max_bits apart.
 
     With columns node and check, links are between nodes, and of at most max_total bits with check's.
     Links of up to blocks - exact bits are all accounted for; of the longer ones, those that leave
     `exact` blocks equal. Links of fewer bits are preferred. With columns root and sketch, links are
     those of links_between instead of forests: between different roots, of at most max_apart
-    differing bits of the sketches, `most` of a row at least, and (a, a) where links of a are left out.
+    differing bits of the sketches, each given once; `second` leaves those to the other half's tries that these hold as well.
     """
     tables = _tables(blocks, exact)
     rounds = ["root", "sketch"] if "root" in distinct.columns else []
@@ -276,14 +288,16 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
         "row.*",
         F.xxhash64("block", "value", F.least("node", "other"), F.greatest("node", "other")).alias("grp"),
         (F.col("node") > F.col("other")).cast("int").alias("side"),
+        *([F.col("block").alias("table")] if rounds else []),
     )
+    masks = np.array([mask for mask, _ in tables], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
         def between(frame: pd.DataFrame, given: tuple) -> Iterator[np.ndarray]:
             sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
-            return links_between(*given, frame["root"].to_numpy(), sketch, max_apart, most)
+            return links_between(*given, frame["root"].to_numpy(), sketch, max_apart, most, frame["table"].to_numpy(), masks, second)
 
         def solve(frame: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             fps = frame["fp"].to_numpy().view(np.uint64)
@@ -303,7 +317,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 5, exact: i
             yield from solve(rest)
 
     order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned
-    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "id", "check", "grp", "side", *rounds)
+    ordered = pairs.repartition("grp").sortWithinPartitions("grp", "side", order).select("fp", "id", "check", "grp", "side", *rounds, *(["table"] if rounds else []))
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -405,7 +419,7 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
     def candidates(nodes: DataFrame, most: int | None = None) -> DataFrame:
         rest = ["root", "sketch"] if "root" in nodes.columns else []
         halves = nodes.select("fp", "node", "check", *rest), nodes.select(F.col("check").alias("fp"), "node", F.col("fp").alias("check"), *rest)
-        a, b = (near_links(half, max_bits, blocks, exact, max_total, most, sketch_limit(similarity)) for half in halves)
+        a, b = (near_links(half, max_bits, blocks, exact, max_total, most, sketch_limit(similarity), second) for half, second in zip(halves, (False, True)))
         return released(a.unionByName(b).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def judged(links: DataFrame) -> DataFrame:
@@ -436,18 +450,14 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_
         for most in ROUNDS:
             now = checkpointed(split.join(merged, "was").select("node", "fp", "check", "sketch", F.col("now").alias("root")))
             between = candidates(now, most)
-            fresh = judged(between.filter("a <> b").join(tried, ["a", "b"], "left_anti"))
+            fresh = judged(between.join(tried, ["a", "b"], "left_anti"))
             label = now.select("node", "root")
             passed = fresh.filter("similar").select("a", "b").join(label.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(label.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
             passed = checkpointed(passed.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
             if not passed.isEmpty():
                 over = checkpointed(components(passed).select(F.col("node").alias("now"), F.col("root").alias("new")))
                 merged = checkpointed(merged.join(over, "now", "left").select("was", F.coalesce("new", "now").alias("now")))
-            more = between.filter("a = b").select(F.col("a").alias("node"))
-            if more.isEmpty():
-                break
-            # only the ends of links that were left out have any to try
-            split, tried = split.join(more, "node", "left_semi"), tried.unionByName(fresh)
+            tried = tried.unionByName(fresh)
     member = distinct.join(roots, F.col("node") == F.col("n"), "left").select("first", F.coalesce("root", "node").alias("was"))
     member = member.join(merged, "was", "left").select("first", F.coalesce("now", "was").alias("root"))
     hash_, d, h = unused(docs, "_row_hash", "_d", "_h")
