@@ -72,6 +72,26 @@ def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
     assert graphs.reachable(start, edges, forward=False).count() == 4
 
 
+def test_long_runs_are_solved_by_samples_and_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "SAMPLED", 30)
+    monkeypatch.setattr(graphs, "BROADCAST", 5)
+    edges = [("t", i, i + 1) for i in range(150)] + [("u", i, (i + 1) % 60) for i in range(60)] + [("v", 0, 1), ("v", 1, 2), ("v", 2, 1)]
+    df = spark.createDataFrame(edges, EDGE)
+    levels, cyclic = graphs.levels(df.select("target_id", "id").limit(0), df)
+    level, stuck = plain_levels(edges)
+    assert {(r[0], r[1]): r[2] for r in levels.collect()} == level
+    assert {tuple(r) for r in cyclic.collect()} == stuck
+
+
+def test_checkpoints_plan_no_broadcast_by_file_size(spark, monkeypatch):
+    seen = []
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "checkpoint", lambda df: seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) or df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    graphs.checkpointed(spark.range(1))
+    assert seen == ["-1"] and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
 CHANGE = "target_id string, change_id string, op string, before_id string, after_id string, kind string, parent string, name string, ordinal int"
 
 

@@ -39,45 +39,95 @@ class Parts:
 @dataclass(frozen=True)
 class Contracted:
     """short: target_id, id, dep, weight, chain: edges between the nodes that stay; chain names the run that an edge goes through.
+    used, uses: whether something depends on id, and whether dep depends on something.
 
-    inner: target_id, id, chain, end, distance: the other nodes, the node their run ends at and how far away it is.
+    inner: target_id, id, chain, end, distance: the other nodes, the node their run ends at and how far away it is; uses as above.
     loops: target_id, id: nodes of cycles that consist of such nodes only.
+    nodes: target_id, id, out, in: the edges of each node.
     """
 
     short: DataFrame
     inner: DataFrame
     loops: DataFrame
+    nodes: DataFrame
 
 
-def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
-    """edges without the nodes that have one edge in and one out, but for those of keep(target_id, id).
+#: Pointers beyond this number double among a sample of the nodes; below it, those that still move are broadcast.
+SAMPLED, BROADCAST = 1_000_000, 20_000
+#: One node in so many is of a sample.
+SAMPLE = 8
 
-    Each such node points to the next one; a round replaces its pointer by that of the node it points to, so a run of n
-    nodes takes log2(n) rounds. Pointers that never leave such nodes run in circles.
+
+def _final(pointers: DataFrame, level: int = 0) -> DataFrame:
+    """target_id, id, chain, end, distance, uses of pointers (with open: end is a pointer's id, too); nodes of circles are left out.
+
+    A round replaces a pointer by that of the node it points to, and only writes pointers that moved. Of many pointers, a
+    sample is chosen by hash first: each pointer moves up to the next node of the sample, those of the sample are solved in
+    the same way, and the others go on from there, so that the work is in proportion to the nodes and not to their
+    logarithm.
+    """
+    n = pointers.filter("open").count()
+    sampled = n > SAMPLED
+    hit = lambda node: F.pmod(F.xxhash64("target_id", node, F.lit(level)), F.lit(SAMPLE)) == 0
+    moves = F.col("open") & ~hit("end") if sampled else F.col("open")
+    tasks = int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a broadcast join has as many as all parts before
+    parts, moving, left = [pointers.filter(~moves)], pointers.filter(moves), None
+    if sampled:
+        n = moving.count()
+    while n and n != left:
+        left = n
+        ahead = reduce(DataFrame.unionByName, [*parts, moving]).select("target_id", F.col("id").alias("end"), F.col("chain").alias("chain2"), F.col("end").alias("end2"), F.col("distance").alias("more"), F.col("open").alias("open2"), F.col("uses").alias("uses2"))
+        if sampled:
+            ahead = ahead.filter(~hit("end"))
+        jumped = (F.broadcast(moving) if n <= BROADCAST else moving).join(ahead, ["target_id", "end"])
+        moved = checkpointed(jumped.select("target_id", "id", F.col("chain2").alias("chain"), F.col("end2").alias("end"), (F.col("distance") + F.col("more")).alias("distance"), F.col("open2").alias("open"), F.col("uses2").alias("uses"))).coalesce(tasks)
+        parts.append(moved.filter(~moves))
+        moving = moved.filter(moves)
+        n = moving.count()
+    found = reduce(DataFrame.unionByName, parts)
+    closed = found.filter("not open").drop("open")
+    if not sampled:
+        return closed
+    solved = _final(found.filter(hit("id")), level + 1)
+    ends = solved.select("target_id", F.col("id").alias("end"), F.col("chain").alias("chain2"), F.col("end").alias("end2"), F.col("distance").alias("more"), F.col("uses").alias("uses2"))
+    others = found.filter(F.col("open") & ~hit("id")).join(ends, ["target_id", "end"])
+    others = others.select("target_id", "id", F.col("chain2").alias("chain"), F.col("end2").alias("end"), (F.col("distance") + F.col("more")).alias("distance"), F.col("uses2").alias("uses"))
+    return checkpointed(closed.filter(~hit("id")).unionByName(solved).unionByName(others))
+
+
+def contract(edges: DataFrame, keep: DataFrame | None = None, nodes: DataFrame | None = None) -> Contracted:
+    """edges without the nodes that have one edge in and one out, but for those of keep(target_id, id); more nodes have no edges.
+
+    Each such node points to the next one; pointers that never leave such nodes run in circles.
     """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
     edges = edges.select("target_id", "id", "dep", weight.cast("long").alias("weight")).groupBy("target_id", "id", "dep").agg(F.max("weight").alias("weight"))
     edges = checkpointed(edges)
     ends = edges.select("target_id", F.col("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select("target_id", F.col("dep").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
-    single = ends.groupBy(*KEY).agg(F.sum("out").alias("out"), F.sum("in").alias("in")).filter("out = 1 and `in` = 1").select(*KEY)
+    if nodes is not None:
+        ends = ends.unionByName(nodes.select(*KEY, F.lit(0).alias("out"), F.lit(0).alias("in")))
+    counted = checkpointed(ends.groupBy(*KEY).agg(F.sum("out").alias("out"), F.sum("in").alias("in")))
+    # nodes with edges on both sides; all others begin or end each path that they are on
+    middle = counted.filter("out > 0 and `in` > 0").select(*KEY, ((F.col("out") == 1) & (F.col("in") == 1)).alias("single"))
     if keep is not None:
-        single = single.join(keep.select(*KEY).distinct(), KEY, "left_anti")
-    single = checkpointed(single)
-    pointers = edges.join(single, KEY, "left_semi").select("target_id", "id", F.col("id").alias("chain"), F.col("dep").alias("end"), F.col("weight").alias("distance"))
-    is_inner = single.select("target_id", F.col("id").alias("end"), F.lit(True).alias("open"))
-    pointers = checkpointed(pointers.join(is_inner, ["target_id", "end"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
-    left = None
-    while (n := pointers.filter("open").count()) and n != left:
-        left = n
-        ahead = pointers.select("target_id", F.col("id").alias("end"), F.col("chain").alias("chain2"), F.col("end").alias("end2"), F.col("distance").alias("more"), F.col("open").alias("open2"))
-        jumped = pointers.filter("open").join(ahead, ["target_id", "end"]).select("target_id", "id", F.col("chain2").alias("chain"), F.col("end2").alias("end"), (F.col("distance") + F.col("more")).alias("distance"), F.col("open2").alias("open"))
-        pointers = checkpointed(pointers.filter("not open").select(jumped.columns).unionByName(jumped))
-    inner = pointers.filter("not open").select(*KEY, "chain", "end", "distance")
-    loops = pointers.filter("open").select(*KEY)
-    into = inner.select("target_id", F.col("id").alias("dep"), "chain", "end", "distance")
-    outer = edges.join(single, KEY, "left_anti").join(into, ["target_id", "dep"], "left")
-    short = outer.select("target_id", "id", F.coalesce("end", "dep").alias("dep"), (F.col("weight") + F.coalesce("distance", F.lit(0))).alias("weight"), "chain")
-    return Contracted(checkpointed(short), inner, loops)
+        kept = keep.select(*KEY, F.lit(True).alias("_kept")).distinct()
+        middle = middle.join(kept, KEY, "left").select(*KEY, (F.col("single") & F.col("_kept").isNull()).alias("single"))
+    middle = checkpointed(middle)
+    below = middle.select("target_id", F.col("id").alias("dep"), F.col("single").alias("dep_single"))
+    looked = edges.join(middle, KEY, "left").join(below, ["target_id", "dep"], "left")
+    no = F.lit(False)
+    looked = checkpointed(looked.select("target_id", "id", "dep", "weight", F.col("single").isNotNull().alias("used"), F.col("dep_single").isNotNull().alias("uses"), F.coalesce("single", no).alias("single"), F.coalesce("dep_single", no).alias("open")))
+    inside = looked.filter("single")
+    pointers = inside.select("target_id", "id", F.col("id").alias("chain"), F.col("dep").alias("end"), F.col("weight").alias("distance"), "open", "uses")
+    inner = _final(pointers)
+    loops = inside.filter("open").select(*KEY).join(inner.select(*KEY), KEY, "left_anti")
+    outer = looked.filter("not single")
+    into = inner.select("target_id", F.col("id").alias("dep"), F.col("chain"), "end", "distance", F.col("uses").alias("uses2"))
+    # no edge leads into a loop from outside: its nodes have one edge in
+    through = outer.filter("open").join(into, ["target_id", "dep"])
+    through = through.select("target_id", "id", F.col("end").alias("dep"), (F.col("weight") + F.col("distance")).alias("weight"), "chain", "used", F.col("uses2").alias("uses"))
+    direct = outer.filter("not open").withColumn("chain", F.lit(None).cast(dict(inner.dtypes)["chain"])).select(through.columns)
+    return Contracted(direct.unionByName(checkpointed(through)), inner, checkpointed(loops), counted)
 
 
 def reachable(start: DataFrame, edges: DataFrame, forward: bool = True) -> DataFrame:
@@ -101,30 +151,39 @@ def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A level is the greatest weight of a path to a node without dependencies (weight 1 an edge, if there is no such column).
     Nodes are freed when all their edges are: a round counts the edges to the nodes freed in the last one, so each edge is
-    looked at once.
+    looked at once. Rounds are for edges between nodes with edges on both sides; nodes without dependencies are freed before
+    them, nodes that nothing depends on after them, in one job each.
     """
-    graph = contract(edges)
-    ends = graph.short.select(*KEY).unionByName(graph.short.select("target_id", F.col("dep").alias("id"))).unionByName(nodes.select(*KEY))
-    ends = ends.unionByName(graph.inner.select("target_id", F.col("end").alias("id")))
-    inside = graph.inner.select(*KEY).unionByName(graph.loops)
-    all_nodes = checkpointed(ends.join(inside, KEY, "left_anti").distinct())
-    degrees = checkpointed(graph.short.groupBy(*KEY).agg(F.count("*").alias("degree")))
-    frontier = checkpointed(all_nodes.join(degrees, KEY, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    graph = contract(edges, nodes=nodes)
+    core = checkpointed(graph.short.filter("used and uses").select("target_id", "id", "dep", "weight"))
+    base = graph.short.filter("used and not uses").groupBy(*KEY).agg(F.lit(0).cast("long").alias("n"), F.max("weight").alias("level"))
+    base = checkpointed(base)
+    degrees = checkpointed(core.groupBy(*KEY).agg(F.count("*").alias("degree")))
+    frontier = checkpointed(base.join(degrees, KEY, "left_anti").select(*KEY, "level"))
     found = Parts(frontier)
-    counts = Parts(frontier.select(*KEY, F.lit(0).cast("long").alias("n"), "level").limit(0))
+    counts = Parts(base)
     while not frontier.isEmpty():
         freed = frontier.select("target_id", F.col("id").alias("dep"), F.col("level").alias("below"))
-        touched = graph.short.join(freed, ["target_id", "dep"]).groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.col("below") + F.col("weight")).alias("level"))
+        touched = core.join(freed, ["target_id", "dep"]).groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.col("below") + F.col("weight")).alias("level"))
         touched = checkpointed(touched)
         counts.add(touched)
         total = counts.all().join(touched.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("level").alias("level"))
         frontier = checkpointed(total.join(degrees, KEY).filter("n = degree").select(*KEY, "level"))
         found.add(frontier)
-    short_levels = checkpointed(found.all())
-    end_levels = short_levels.select("target_id", F.col("id").alias("end"), F.col("level").alias("below"))
-    inner = graph.inner.join(end_levels, ["target_id", "end"], "left").select(*KEY, (F.col("below") + F.col("distance")).alias("level"))
-    stuck = all_nodes.join(short_levels, KEY, "left_anti").unionByName(inner.filter("level is null").select(*KEY)).unionByName(graph.loops)
-    return short_levels.unionByName(inner.filter("level is not null")), stuck
+    middle = checkpointed(found.all())
+    known = middle.select("target_id", F.col("id").alias("dep"), F.col("level").alias("below"))
+    first = graph.nodes.filter("out = 0").select(*KEY, F.lit(0).cast("long").alias("level"))
+    # the level of what nothing depends on; null if one of its edges leads to a node without a level
+    last = graph.short.filter("not used")
+    reached = last.filter("uses").join(known, ["target_id", "dep"], "left").select(*KEY, (F.col("below") + F.col("weight")).alias("level"))
+    reached = last.filter("not uses").select(*KEY, F.col("weight").alias("level")).unionByName(reached)
+    top = checkpointed(reached.groupBy(*KEY).agg(F.when(F.count("level") == F.count("*"), F.max("level")).alias("level")))
+    inner = graph.inner.filter("uses").join(known.withColumnRenamed("dep", "end"), ["target_id", "end"], "left").select(*KEY, (F.col("below") + F.col("distance")).alias("level"))
+    inner = checkpointed(inner)
+    found_all = reduce(DataFrame.unionByName, [first, middle, top.filter("level is not null"), graph.inner.filter("not uses").select(*KEY, F.col("distance").alias("level")), inner.filter("level is not null")])
+    held = checkpointed(core.select(*KEY).distinct().join(middle, KEY, "left_anti"))
+    stuck = reduce(DataFrame.unionByName, [held, top.filter("level is null").select(*KEY), inner.filter("level is null").select(*KEY), graph.loops])
+    return found_all, stuck
 
 
 def in_or_behind_cycles(edges: DataFrame) -> DataFrame:
