@@ -92,6 +92,15 @@ def test_checkpoints_plan_no_broadcast_by_file_size(spark, monkeypatch):
     assert seen == ["-1"] and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
 
 
+def test_a_name_of_many_does_not_meet_all_its_pairs(spark):
+    n = 20_000
+    side = lambda mark: spark.range(n).select(F.lit("t").alias("target_id"), F.concat(F.lit(mark), F.col("id").cast("string")).alias("id"), F.lit("table").alias("kind"), F.lit(mark).alias("name"), F.lit(None).cast("string").alias("parent"))
+    hints = spark.createDataFrame([("t", "a", "b"), ("t", "a1", "b2")], "target_id string, old_name string, new_name string")
+    renames, problems = catalog.apply_rename_hints(side("a"), side("b"), hints)
+    assert [tuple(r) for r in renames.collect()] == [("t", "a1", "b2")]
+    assert [tuple(r) for r in problems.collect()] == [("t", "a", "b", "ambiguous")]
+
+
 CHANGE = "target_id string, change_id string, op string, before_id string, after_id string, kind string, parent string, name string, ordinal int"
 
 

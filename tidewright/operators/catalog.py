@@ -79,29 +79,28 @@ def apply_rename_hints(current: DataFrame, desired: DataFrame, hints: DataFrame)
     created resource of a kind is a problem, and so are sides with other parents.
     """
     def sides(all_: DataFrame, other: DataFrame, side: str) -> DataFrame:
-        """Each resource that only one side has, under its id, its name and kind:name."""
+        """What only one side has, in one row per id, name or kind:name: a name of many resources meets one of many without all their pairs."""
         own = all_.join(other.select("target_id", "id"), ["target_id", "id"], "left_anti")
         keys = F.explode(F.array_distinct(F.array("id", "name", F.concat_ws(":", "kind", "name"))))
-        return own.select("target_id", keys.alias(f"{side}_name"), F.col("id").alias(f"{side}_id"), F.col("kind").alias(f"{side}_kind"), F.col("parent").alias(f"{side}_parent"))
+        ends = [f(x).alias(f"{side}_{which}_{n}") for n, x in (("parent", F.struct("parent")), ("kind", F.col("kind"))) for which, f in (("low", F.min), ("high", F.max))]
+        named = own.select("target_id", keys.alias(f"{side}_name"), "id", "kind", "parent")
+        return named.groupBy("target_id", f"{side}_name").agg(F.count_distinct("id").alias(f"n_{side}"), F.min("id").alias(f"{side}_id"), *ends)
 
-    old_side = hints.join(sides(current, desired, "old"), ["target_id", "old_name"], "left")
-    pairs = old_side.join(sides(desired, current, "new"), ["target_id", "new_name"], "left")
     key = ["target_id", "old_name", "new_name"]
-    counted = pairs.groupBy(*key).agg(
-        F.count_distinct("old_id").alias("n_old"),
-        F.count_distinct("new_id").alias("n_new"),
-        F.min("old_id").alias("old_id"),
-        F.min("new_id").alias("new_id"),
-        F.bool_and(F.col("old_parent").eqNullSafe(F.col("new_parent"))).alias("same_parent"),
-        F.bool_and(F.col("old_kind") == F.col("new_kind")).alias("same_kind"),
-    )
+    wanted = hints.select(*key).distinct()
+    counted = wanted.join(sides(current, desired, "old"), ["target_id", "old_name"], "left").join(sides(desired, current, "new"), ["target_id", "new_name"], "left")
+    counted = counted.withColumn("n_old", F.coalesce("n_old", F.lit(0))).withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    low = F.col("old_low_parent")
+    same_parent = low.eqNullSafe(F.col("old_high_parent")) & low.eqNullSafe(F.col("new_low_parent")) & low.eqNullSafe(F.col("new_high_parent"))
+    kind = F.col("old_low_kind")
+    same_kind = (kind == F.col("old_high_kind")) & (kind == F.col("new_low_kind")) & (kind == F.col("new_high_kind"))
     problem = (
         F.when((F.col("n_old") == 0) | (F.col("n_new") == 0), "not found")
         .when((F.col("n_old") > 1) | (F.col("n_new") > 1), "ambiguous")
-        .when(~F.col("same_parent"), "other parent")
-        .when(~F.col("same_kind"), "other kind")
+        .when(~same_parent, "other parent")
+        .when(~same_kind, "other kind")
     )
-    judged = counted.withColumn("problem", problem)
+    judged = checkpointed(counted.select(*key, "old_id", "new_id", problem.alias("problem")))
     return judged.filter("problem is null").select("target_id", "old_id", "new_id"), judged.filter("problem is not null").select(*key, "problem")
 
 
