@@ -6,41 +6,65 @@ zeros; what they print otherwise, doubles, is brought to the same form token by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 _NUMBER = r"-?[0-9][0-9.eE+-]*"
 _TOKEN = rf'{_STRING}|{_NUMBER}|[^"0-9-]+'
+#: A double as variants print it.
+_DOUBLE = r"^[-0-9].*(?:E|\.0$)"
 #: Numbers of up to so many digits are written out, others with an exponent.
 PLAIN = 38
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def number_text(token: Column) -> Column:
     """The one text of a number's value: an integer without a point, a fraction without trailing zeros, or digits and an exponent."""
     part = lambda i: F.regexp_extract(token, r"^-?([0-9]+)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", i)
-    digits = F.regexp_replace(F.concat(part(1), part(2)), "^0+", "")
-    significant = F.regexp_replace(digits, "0+$", "")
-    exponent = F.coalesce(part(3).try_cast("int"), F.lit(0)) - F.length(part(2)) + F.length(digits) - F.length(significant)
-    n = F.length(significant)
-    whole = F.concat(significant, F.repeat(F.lit("0"), F.greatest(exponent, F.lit(0))))
-    filled = F.concat(F.repeat(F.lit("0"), F.greatest(1 - exponent - n, F.lit(0))), significant)
-    at = F.length(filled) + F.least(exponent, F.lit(0))
-    fraction = F.concat(F.substr(filled, F.lit(1), at), F.lit("."), F.substr(filled, at + 1))
-    text = (
-        F.when((exponent >= 0) & (n + exponent <= PLAIN), whole)
-        .when((exponent < 0) & (F.greatest(n, -exponent) <= PLAIN), fraction)
-        .otherwise(F.concat(significant, F.lit("E"), exponent.cast("string")))
-    )
-    return F.when(significant == "", "0").otherwise(F.concat(F.when(F.startswith(token, F.lit("-")), "-").otherwise(""), text))
+    zero = F.lit(0)
+
+    def from_parts(p: Column) -> Column:
+        digits = F.regexp_replace(F.concat(p["whole"], p["fraction"]), "^0+", "")
+        return let(F.struct(digits.alias("digits"), F.regexp_replace(digits, "0+$", "").alias("significant"), (F.coalesce(p["exponent"].try_cast("int"), zero) - F.length(p["fraction"])).alias("shift")), from_digits)
+
+    def from_digits(d: Column) -> Column:
+        exponent = d["shift"] + F.length(d["digits"]) - F.length(d["significant"])
+        return let(F.struct(d["significant"].alias("significant"), exponent.alias("exponent"), F.length(d["significant"]).alias("n")), from_value)
+
+    def from_value(v: Column) -> Column:
+        significant, exponent, n = v["significant"], v["exponent"], v["n"]
+        whole = F.concat(significant, F.repeat(F.lit("0"), F.greatest(exponent, zero)))
+        filled = F.concat(F.repeat(F.lit("0"), F.greatest(1 - exponent - n, zero)), significant)
+        at = lambda text: F.length(text) + F.least(exponent, zero)
+        fraction = let(filled, lambda text: F.concat(F.substr(text, F.lit(1), at(text)), F.lit("."), F.substr(text, at(text) + 1)))
+        text = (
+            F.when((exponent >= 0) & (n + exponent <= PLAIN), whole)
+            .when((exponent < 0) & (F.greatest(n, -exponent) <= PLAIN), fraction)
+            .otherwise(F.concat(significant, F.lit("E"), exponent.cast("string")))
+        )
+        return F.when(significant == "", "0").otherwise(F.concat(F.when(F.startswith(token, F.lit("-")), "-").otherwise(""), text))
+
+    return let(F.struct(part(1).alias("whole"), part(2).alias("fraction"), part(3).alias("exponent")), from_parts)
+
+
+def normal_text(text: Column) -> Column:
+    """The canonical text of what a variant prints: its doubles are written anew, all else is in that form."""
+    def tokens(t: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0)), lambda x: F.when(x.rlike(_DOUBLE), number_text(x)).otherwise(x)), "")
+
+    return let(text, lambda t: F.when(F.regexp_replace(t, _STRING, '""').rlike(r"[0-9](?:\.0|E)"), tokens(t)).otherwise(t))
 
 
 def canonical(value: Column) -> Column:
     """The canonical text of a variant; null for null, the text null for a JSON null."""
-    text = F.to_json(value)
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    normal = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^[-0-9]"), number_text(t)).otherwise(t)), "")
-    return F.when(text.rlike(r"[0-9](?:\.0|E)"), normal).otherwise(text)
+    return normal_text(F.to_json(value))
 
 
 def canonical_json(text: Column) -> Column:
