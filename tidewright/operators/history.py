@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,7 +120,9 @@ def descends_from(manifests: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     last = manifests.groupBy(F.col("manifest_id").alias("ancestor")).agg(F.max("position").alias("position"), F.max_by("chain_digest", "position").alias("digest"))
     child = manifests.select(F.col("manifest_id").alias("child"), "position", F.col("chain_digest").alias("own"))
-    return pairs.join(last, "ancestor").join(child, ["child", "position"], "left").select("child", "ancestor", F.coalesce(F.col("own") == F.col("digest"), F.lit(False)).alias("descends"))
+    # sizes are guessed from files here, so that a broadcast could take any number of rows through the driver
+    ends = pairs.join(last.hint("merge"), "ancestor").join(child.hint("merge"), ["child", "position"], "left")
+    return ends.select("child", "ancestor", F.coalesce(F.col("own") == F.col("digest"), F.lit(False)).alias("descends"))
 
 
 def changeset(revisions: DataFrame, refs: DataFrame, directory: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -180,44 +183,64 @@ CHAINED = ("version", "file", "sql_digest", "kind", "covered_from", "covered_to"
 DATA_POLICIES = ("schema_only", "declared_replay")
 
 
-def chain_digests(entries: DataFrame) -> DataFrame:
+def chain_digests(entries: DataFrame, only: Column | None = None) -> DataFrame:
     """manifest_id, position, version, chain_digest: each entry's digest over its own content and those of all its parents.
 
     entries: manifest_id, position, the columns of CHAINED, parents (array of versions; none: the entry before), nonlinear.
     A digest is the SHA-256 of the domain, the content, nonlinear, the parents and their digests, sorted; what a parent is
-    not known to is "". Nulls count as empty.
+    not known to is "". Nulls count as empty. All entries are folded; with only, the digests of those that it holds for are given.
 
     An entry waits for its parents, so a manifest is a fold in one task, and manifests are folded side by side: sorted
     entries stream through, and a digest is kept only as long as some later entry has it as a parent, so that a
-    manifest of any length needs as much memory as it has open branches.
+    manifest of any length needs as much memory as it has open branches. Entries move once, to the task of their manifest.
     """
-    named = entries.select("manifest_id", F.col("position").alias("_at"), F.explode("parents").alias("version"))
-    last_use = named.groupBy("manifest_id", "version").agg(F.max("_at").alias("last_use"))
-    kept = entries.join(last_use, ["manifest_id", "version"], "left")
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CHAINED]
-    rows = kept.select("manifest_id", F.col("position").cast("long").alias("position"), F.col("version").cast("string").alias("version"), F.concat_ws("\0", *text).alias("content"), F.coalesce("parents", F.array()).cast("array<string>").alias("parents"), F.coalesce("nonlinear", F.lit(False)).alias("nonlinear"), F.col("last_use").cast("long").alias("last_use"))
-    ordered = rows.repartition("manifest_id").sortWithinPartitions("manifest_id", "position")
+    content = F.concat_ws("\0", F.lit("chain"), *text, F.coalesce("nonlinear", F.lit(False)).cast("string"))
+    rows = entries.select(
+        "manifest_id", F.col("position").cast("long").alias("position"), F.col("version").cast("string").alias("version"), content.alias("content"),
+        F.coalesce("parents", F.array()).cast("array<string>").alias("parents"), (F.lit(True) if only is None else F.coalesce(only, F.lit(False))).alias("wanted"),
+    ).repartition("manifest_id")
+    # an entry meets those that name it as a parent: the first of its names is its own, the others are its parents'
+    names = rows.select("*", F.posexplode(F.concat(F.array("version"), "parents")).alias("_i", "_name"))
+    own = lambda name: F.when(F.col("_i") == 0, F.col(name)).alias(name)
+    named = names.select("manifest_id", "position", "_i", "_name", *[own(name) for name in ("content", "parents", "wanted")])
+    last_use = F.max(F.when(F.col("_i") > 0, F.col("position"))).over(W.partitionBy("manifest_id", "_name"))
+    kept = named.withColumn("last_use", F.coalesce(last_use, F.lit(-(2**63)))).filter("_i = 0").select("manifest_id", "position", F.col("_name").alias("version"), "content", "parents", "last_use", "wanted")
+    ordered, chosen = kept.sortWithinPartitions("manifest_id", "position"), only is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        manifest, before, first = None, None, True
+        manifest, begun = None, False
+        before: tuple[str, str] | None = None
         known: dict[str, tuple[str, int]] = {}
         for batch in batches:
+            values = lambda column: column.to_numpy(zero_copy_only=False).tolist()
+            positions, versions, contents, lasts = (values(batch.column(i)) for i in (1, 2, 3, 5))
+            counts, parents = values(pc.list_value_length(batch.column(4))), values(batch.column(4).flatten())
+            runs = pc.run_end_encode(batch.column(0))
+            row = at = 0
             digests = []
-            for key, position, version, content, parents, nonlinear, last in zip(*(c.to_pylist() for c in batch.columns)):
-                if first or key != manifest:
-                    manifest, before, known, first = key, None, {}, False
-                links = parents or ([before[0]] if before else [])
-                own = lambda v: before[1] if before and v == before[0] else known.get(v, ("",))[0]  # noqa: B023, E731
-                above = sorted(own(v) for v in links)
-                digest = hashlib.sha256("\0".join(["chain", content, str(bool(nonlinear)).lower(), ",".join(links), ",".join(above)]).encode()).hexdigest()
-                digests.append(digest)
-                before = (version, digest)
-                if last is not None and last > position:
-                    known[version] = (digest, last)
-                for v in parents:
-                    if v in known and known[v][1] <= position:
-                        del known[v]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.string())], ["manifest_id", "position", "version", "chain_digest"])
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if not begun or key != manifest:
+                    manifest, begun, before, known = key, True, None, {}
+                for row in range(row, end):
+                    version, position, n = versions[row], positions[row], counts[row]
+                    if n:
+                        links, at = parents[at : at + n], at + n
+                        above = sorted(before[1] if before and v == before[0] else known.get(v, ("",))[0] for v in links)
+                        linked = ",".join(links) + "\0" + ",".join(above)
+                    else:
+                        links, linked = (), "\0".join(before) if before else "\0"
+                    digest = hashlib.sha256(f"{contents[row]}\0{linked}".encode()).hexdigest()
+                    digests.append(digest)
+                    before = (version, digest)
+                    if lasts[row] > position:
+                        known[version] = (digest, lasts[row])
+                    for v in links:
+                        if v in known and known[v][1] <= position:
+                            del known[v]
+                row = end
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.string())], ["manifest_id", "position", "version", "chain_digest"])
+            yield found.filter(batch.column(6)) if chosen else found
 
     kind = dict(rows.dtypes)["manifest_id"]
     return ordered.mapInArrow(run, f"manifest_id {kind}, position long, version string, chain_digest string")
