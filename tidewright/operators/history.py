@@ -131,24 +131,24 @@ def changeset(revisions: DataFrame, refs: DataFrame, directory: str | None = Non
     Members are what the parents of head reach before base. Problems: a missing head, a parent that is missing, a walk that
     comes back to itself, one that ends without meeting base, and a member whose file lies outside the directory.
     """
-    changes, own = F.col("target_id").alias("changeset_id"), ["changeset_id"]
+    changes = F.col("target_id").alias("changeset_id")
     parents = revisions.filter("parent is not null")
     walks = refs.select(F.col("changeset_id").alias("target_id"), F.col("head").alias("id"), "base")
     start = walks.join(revisions.select("id"), "id", "left_semi")
     # one walk per changeset: its edges stop at its base
     walked = reachable_edges(start, parents)
-    member = walked.filter(~F.col("id").eqNullSafe(F.col("base")))
-    met = walked.filter(F.col("id").eqNullSafe(F.col("base"))).select(changes).distinct()
-    known = revisions.select("id", "parent", F.lit(True).alias("known"), *(["file"] if directory else []))
-    looked = member.join(known, "id", "left")
-    ends = looked.groupBy(changes).agg(F.bool_or(F.col("known").isNull()).alias("missing"), F.bool_or(F.col("known").isNotNull() & F.col("parent").isNull()).alias("root"))
+    member = ~F.col("id").eqNullSafe(F.col("base"))
+    known = revisions.select("id", "parent", F.lit(True).alias("known"), F.startswith("file", F.lit(directory.rstrip("/") + "/")).alias("inside") if directory else F.lit(True).alias("inside"))
+    looked = walked.join(known, "id", "left").select(changes, F.lit(0).alias("ref"), (~member).alias("met"), (member & F.col("known").isNull()).alias("missing"), (member & F.col("known").isNotNull() & F.col("parent").isNull()).alias("root"), (member & ~F.col("inside")).alias("outside"))
+    nothing = [F.lit(None).cast("boolean").alias(name) for name in ("met", "missing", "root", "outside")]
+    seen = looked.unionByName(refs.select("changeset_id", F.lit(1).alias("ref"), *nothing)).groupBy("changeset_id")
+    # one row for each changeset, found where sizes are measured: guessed ones could take any number of them through the driver
+    facts = checkpointed(seen.agg(F.sum("ref").cast("int").alias("refs"), *[F.coalesce(F.bool_or(name), F.lit(False)).alias(name) for name in ("met", "root", "outside")], F.bool_or("missing").alias("missing")))
     why = F.when(F.col("missing"), "missing parent").when(F.col("root"), "head does not descend from base").when(F.col("missing").isNull(), "missing head").otherwise("cycle")
-    problems = refs.join(met, own, "left_anti").join(ends, own, "left").select("changeset_id", why.alias("problem"))
-    if directory is not None:
-        outside = looked.filter(~F.startswith("file", F.lit(directory.rstrip("/") + "/"))).select(changes, F.lit("outside the directory").alias("problem")).distinct()
-        problems = problems.unionByName(outside.join(met, own, "left_semi"))
-    wrong = problems.select("changeset_id").distinct()
-    return member.select(changes, "id").join(met, own, "left_semi").join(wrong, own, "left_anti"), problems
+    unmet = facts.filter("not met").select("changeset_id", F.explode(F.array_repeat(why, F.col("refs"))).alias("problem"))
+    problems = unmet.unionByName(facts.filter("met and outside").select("changeset_id", F.lit("outside the directory").alias("problem")))
+    whole = facts.filter("met and not outside").select("changeset_id")
+    return walked.filter(member).select(changes, "id").join(whole.hint("merge"), "changeset_id", "left_semi"), problems
 
 
 def reachable_edges(start: DataFrame, parents: DataFrame) -> DataFrame:
