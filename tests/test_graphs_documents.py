@@ -4,6 +4,7 @@ import json
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,43 @@ def test_long_runs_are_solved_by_samples_and_never_broadcast(spark, monkeypatch)
     assert {tuple(r) for r in cyclic.collect()} == stuck
 
 
+@pytest.mark.parametrize("sampled, broadcast", [(10**6, 20_000), (200, 50)])
+def test_pointers_of_scattered_ids_leave_no_growing_estimates(spark, monkeypatch, sampled, broadcast):
+    monkeypatch.setattr(graphs, "SAMPLED", sampled)
+    monkeypatch.setattr(graphs, "BROADCAST", broadcast)
+    bits = []
+    plain = graphs.checkpointed
+
+    def watched(df):
+        done = plain(df)
+        bits.append(done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return done
+
+    monkeypatch.setattr(graphs, "checkpointed", watched)
+    scattered = lambda i: i * 7919 % 10_007
+    n, circle = 2000, [3000 + i for i in range(60)]
+    rows = [("t", scattered(i), scattered(i + 1)) for i in range(n)] + [("t", scattered(a), scattered(b)) for a, b in zip(circle, circle[1:] + circle[:1])]
+    df = spark.createDataFrame(rows, EDGE).repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        levels, cyclic = graphs.levels(df.select("target_id", "id").limit(0), df)
+        assert {r["id"]: r["level"] for r in levels.collect()} == {scattered(i): n - i for i in range(n + 1)}
+        assert {r["id"] for r in cyclic.collect()} == {scattered(i) for i in circle}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert max(bits) < 2000  # a size of so many binary digits is kept for each plan
+
+
+def test_a_task_moves_its_pointers_as_far_as_its_nodes_lead():
+    rows = [("t", 1, 1, 2, 1, True, False), ("t", 2, 2, 3, 5, True, False), ("t", 3, 3, 9, 1, False, True), ("u", 1, 1, 2, 1, True, False), ("v", 7, 7, 8, 1, True, False), ("v", 8, 8, 7, 1, True, False), ("v", 1, 1, 1, 1, True, False)]
+    columns = ["target_id", "id", "chain", "end", "distance", "open", "uses"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in part]) for part in (rows[:2], rows[2:])]
+    moved = [tuple(r.values()) for b in graphs._move(iter(batches)) for r in b.to_pylist()]
+    assert moved == [("t", 1, 3, 9, 7, False, True), ("t", 2, 3, 9, 6, False, True), rows[2], rows[3]]
+    assert list(graphs._move(iter([]))) == []
+
+
 def test_checkpoints_plan_no_broadcast_by_file_size(spark, monkeypatch):
     seen = []
     frame = type(spark.range(1))

@@ -1,17 +1,20 @@
 """Walks over dependency graphs of many targets at once.
 
 edges: target_id, id, dep (id depends on dep; more columns: weight). Runs of nodes with one edge in and
-one out are contracted first, by pointers that jump twice as far in each round, so that the rounds of a
-walk follow the forks of a graph and not its length. A walk keeps what a round finds as a part of its
+one out are contracted first, within ranges of ids and by pointers that jump twice as far in each round, so that
+the rounds of a walk follow the forks of a graph and not its length. A walk keeps what a round finds as a part of its
 own; parts are put together now and then, not in each round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.session import checkpointed
@@ -52,47 +55,105 @@ class Contracted:
     nodes: DataFrame
 
 
-#: Pointers beyond this number double among a sample of the nodes; below it, those that still move are broadcast.
+#: Pointers beyond the first number double among a sample of the nodes; of those that still move, up to the second are broadcast.
 SAMPLED, BROADCAST = 1_000_000, 20_000
 #: One node in so many is of a sample.
 SAMPLE = 8
 
 
-def _final(pointers: DataFrame, level: int = 0) -> DataFrame:
+#: Types whose pointers move within tasks.
+PLAIN = ("string", "bigint", "int")
+
+
+def _move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's pointers, moved as far as its own nodes lead; circles of these are left out."""
+    rows = pa.Table.from_batches(found).combine_chunks() if (found := list(batches)) else None
+    if not rows:
+        return
+    n = len(rows)
+    coded = lambda *columns: pa.chunked_array([c for name in columns for c in rows[name].chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
+    nodes, targets = coded("id", "end"), coded("target_id") * (2 * n + 1)
+    ids, ends = targets + nodes[:n], targets + nodes[n:]
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, ends, sorter=order), n - 1)]
+    following = np.where(rows["open"].to_numpy() & (ids[at] == ends), at, -1)
+    last, distance = np.arange(n), rows["distance"].to_numpy().copy()
+    for _ in range(n.bit_length() + 1):
+        moving = np.flatnonzero(following >= 0)
+        ahead = following[moving]
+        last[moving], distance[moving], following[moving] = last[ahead], distance[moving] + distance[ahead], following[ahead]
+    led = rows.select(["chain", "end", "open", "uses"]).take(last)
+    moved = pa.table({c: pa.chunked_array([distance]) if c == "distance" else led[c] if c in led.column_names else rows[c] for c in rows.column_names})
+    yield from moved.filter(pa.array(following < 0)).to_batches(max_chunksize=10_000)
+
+
+def _final(pointers: DataFrame) -> DataFrame:
     """target_id, id, chain, end, distance, uses of pointers (with open: end is a pointer's id, too); nodes of circles are left out.
 
+    Each task takes a range of ids and moves its pointers as far as they lead within it. Only the nodes at which a pointer enters
+    another range are left to be solved, in the same way, as long as they are fewer by half.
+    """
+    columns = ["target_id", "id", "chain", "end", "distance", "uses"]
+    kinds = dict(pointers.dtypes)
+    if kinds["target_id"] not in PLAIN or kinds["id"] not in PLAIN or kinds["id"] != kinds["end"]:
+        return _doubled(pointers)
+    moved = checkpointed(pointers.repartitionByRange("target_id", "id").mapInArrow(_move, pointers.schema))
+    closed = moved.filter("not open").select(columns)
+    entered = checkpointed(moved.filter("open").select("target_id", F.col("end").alias("id")).distinct())
+    n = entered.count()
+    if not n:
+        return closed
+    if 2 * n > moved.count():
+        return _doubled(moved)
+    return closed.unionByName(_behind(moved.filter("open"), _final(checkpointed(moved.join(entered, KEY, "left_semi")))))
+
+
+def _behind(pointers: DataFrame, solved: DataFrame) -> DataFrame:
+    """Pointers to solved ones, led on to where these end."""
+    ends = solved.select("target_id", F.col("id").alias("end"), F.col("chain").alias("chain2"), F.col("end").alias("end2"), F.col("distance").alias("more"), F.col("uses").alias("uses2"))
+    led = pointers.join(ends, ["target_id", "end"])
+    return checkpointed(led.select("target_id", "id", F.col("chain2").alias("chain"), F.col("end2").alias("end"), (F.col("distance") + F.col("more")).alias("distance"), F.col("uses2").alias("uses")))
+
+
+def _doubled(pointers: DataFrame, level: int = 0) -> DataFrame:
+    """As _final, for ids whose order says nothing of the runs.
+
     A round replaces a pointer by that of the node it points to, and only writes pointers that moved. Of many pointers, a
     sample is chosen by hash first: each pointer moves up to the next node of the sample, those of the sample are solved in
     the same way, and the others go on from there, so that the work is in proportion to the nodes and not to their
-    logarithm.
+    logarithm. Pointers meet in windows, not joins: a join's size is estimated as the product of its sides', a number that
+    would have twice the digits after each round, and is kept by the driver.
     """
     n = pointers.filter("open").count()
     sampled = n > SAMPLED
     hit = lambda node: F.pmod(F.xxhash64("target_id", node, F.lit(level)), F.lit(SAMPLE)) == 0
     moves = F.col("open") & ~hit("end") if sampled else F.col("open")
-    tasks = int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a broadcast join has as many as all parts before
-    parts, moving, left = [pointers.filter(~moves)], pointers.filter(moves), None
+    tasks = int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a semi join by broadcast has as many as all parts before
+    parts, moving, left = Parts(pointers.filter(~moves)), pointers.filter(moves), None
     if sampled:
         n = moving.count()
+    node = Window.partitionBy("target_id", "node")
     while n and n != left:
         left = n
-        ahead = reduce(DataFrame.unionByName, [*parts, moving]).select("target_id", F.col("id").alias("end"), F.col("chain").alias("chain2"), F.col("end").alias("end2"), F.col("distance").alias("more"), F.col("open").alias("open2"), F.col("uses").alias("uses2"))
-        if sampled:
-            ahead = ahead.filter(~hit("end"))
-        jumped = (F.broadcast(moving) if n <= BROADCAST else moving).join(ahead, ["target_id", "end"])
-        moved = checkpointed(jumped.select("target_id", "id", F.col("chain2").alias("chain"), F.col("end2").alias("end"), (F.col("distance") + F.col("more")).alias("distance"), F.col("open2").alias("open"), F.col("uses2").alias("uses"))).coalesce(tasks)
-        parts.append(moved.filter(~moves))
+        movers = moving.select("target_id", F.col("end").alias("node"), F.struct("id", "distance").alias("mover"))
+        own = parts.all().unionByName(moving).select("target_id", F.col("id").alias("node"), F.struct("chain", "end", "distance", "open", "uses").alias("own"))
+        if n <= BROADCAST:
+            own = own.join(F.broadcast(movers.select("target_id", "node")), ["target_id", "node"], "left_semi")
+        elif sampled:
+            own = own.filter(~hit("node"))
+        met = own.unionByName(movers, allowMissingColumns=True).withColumn("own", F.max("own").over(node)).filter("mover is not null and own is not null")
+        moved = met.select("target_id", "mover.id", "own.chain", "own.end", (F.col("mover.distance") + F.col("own.distance")).alias("distance"), "own.open", "own.uses")
+        moved = checkpointed(moved).coalesce(tasks)
+        parts.add(moved.filter(~moves))
         moving = moved.filter(moves)
         n = moving.count()
-    found = reduce(DataFrame.unionByName, parts)
-    closed = found.filter("not open").drop("open")
+    closed = parts.all().filter("not open").drop("open")
     if not sampled:
         return closed
-    solved = _final(found.filter(hit("id")), level + 1)
-    ends = solved.select("target_id", F.col("id").alias("end"), F.col("chain").alias("chain2"), F.col("end").alias("end2"), F.col("distance").alias("more"), F.col("uses").alias("uses2"))
-    others = found.filter(F.col("open") & ~hit("id")).join(ends, ["target_id", "end"])
-    others = others.select("target_id", "id", F.col("chain2").alias("chain"), F.col("end2").alias("end"), (F.col("distance") + F.col("more")).alias("distance"), F.col("uses2").alias("uses"))
-    return checkpointed(closed.filter(~hit("id")).unionByName(solved).unionByName(others))
+    found = checkpointed(parts.all())
+    solved = checkpointed(_doubled(checkpointed(found.filter(hit("id"))), level + 1))
+    others = _behind(found.filter(F.col("open") & ~hit("id")), solved)
+    return found.filter("not open").drop("open").filter(~hit("id")).unionByName(solved).unionByName(others)
 
 
 def contract(edges: DataFrame, keep: DataFrame | None = None, nodes: DataFrame | None = None) -> Contracted:
