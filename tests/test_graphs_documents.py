@@ -220,6 +220,22 @@ def test_overlay_of_any_depth(spark):
     assert found == {i: merge(a, b) for i, (a, b) in enumerate(pairs)} | {1000: {"x": 1}, 1001: {"y": {}}}
 
 
+def test_overlaid_texts_are_read_once_at_any_depth(spark, monkeypatch):
+    jobs = []
+    plain = documents.checkpointed
+    monkeypatch.setattr(documents, "checkpointed", lambda df: jobs.append(1) or plain(df))
+    deep = lambda leaf: '{"k":' * 60 + leaf + "}" * 60
+    odd = [({"a": {"]": 1, "}": ["[", {"x": {}}], '"': 2}, "b\\": {}}, {"a": {"]": [[]], "\uffee": 1, "\U0001f600": 2, "\n": {"c": "{"}}, "b\\": {"d": ":,"}})]
+    odd += [({"a": 1}, [1]), ([1], {"a": {"b": 1}}), ({"a": {}}, {"a": 1.50}), ({"a": "1.0"}, {"a": {}}), ({"a": {"b": 1}}, {"a": {}}), ({}, {}), (1, None)]
+    pairs = [(deep('{"a":1,"x":2.0}'), deep('{"a":3}'))] + [(json.dumps(a, indent=1), json.dumps(b, ensure_ascii=False)) for a, b in odd]
+    side = lambda i: spark.createDataFrame([(n, p[i]) for n, p in enumerate(pairs)], "id long, document string")
+    found = documents.overlay(side(0), side(1))
+    rows = {r["id"]: r for r in found.select("id", "document", canonical.canonical_json(F.col("document")).alias("normal")).collect()}
+    assert [json.loads(rows[n]["document"]) for n in range(len(pairs))] == [merge(json.loads(a), json.loads(b)) for a, b in pairs]
+    assert [r["document"] for r in rows.values()] == [r["normal"] for r in rows.values()]
+    assert len(jobs) == 2
+
+
 def test_four_levels_of_documents_take_one_job(spark, monkeypatch):
     jobs = []
     plain = documents.checkpointed

@@ -264,8 +264,10 @@ def s6_compose_overlay(spark, sf_dir):
     base = e.select("event_id", _nested(below, lambda i: F.lit(f'"k":"b{i}"')).alias("document"))
     over = e.select("event_id", _nested(above, lambda i: F.when((c("event_id") + i) % 3 == 0, F.lit(f'"k":"o{i}"'))).alias("document"))
     merged = documents.overlay(base, over, id="event_id")
-    at = lambda i: F.get_json_object("document", "$" + ".n" * (i - 1) + ".k").alias(f"l{i}")
-    return merged.select("event_id", *[at(i) for i in range(1, LEVELS + 1)], F.get_json_object("document", "$" + ".n" * LEVELS).alias("leaf"))
+    parsed = merged.select("event_id", F.parse_json("document").alias("v"))
+    at = lambda i: F.variant_get("v", "$" + ".n" * (i - 1) + ".k", "string").alias(f"l{i}")
+    leaf = F.variant_get("v", "$" + ".n" * LEVELS, "variant")
+    return parsed.select("event_id", *[at(i) for i in range(1, LEVELS + 1)], F.when(~F.is_variant_null(leaf), F.to_json(leaf)).alias("leaf"))
 
 
 @registry.add("""SELECT event_id, unnest(['a', 'b/c', 'b/d/e', 'f']) AS path, unnest([CAST(event_id AS VARCHAR), '"' || event_type || '"', '[1,{}]', '{}']) AS value FROM events""")
